@@ -8,8 +8,8 @@ the columns chosen for a question. Inputs:
 
 Layout. Rows are split into blocks of ``block_rows`` consecutive row ids. Term statistics are counted
 per block first, so what is shuffled by term is a vocabulary and never the postings. For scoring,
-the tokenised rows are shuffled once by (corpus, block); a corpus holding most of the rows is spread
-over as many places as it has blocks. The term weights are laid out by block as well, and every later
+the rows are shuffled once by (corpus, block) and tokenised there; a corpus holding most of the rows
+is spread over as many places as it has blocks. The term weights are laid out by block as well, and every later
 join, aggregate and window has (corpus, block) in its key and stays where the rows are.
 """
 
@@ -53,18 +53,17 @@ def bag_of_terms(text: Column) -> Column:
 
 
 def bags(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Tokenised rows: ``corpus, block, row_id, len, bag``; ``len`` counts white-space pieces.
+    """Rows placed by (corpus, block) and tokenised: ``corpus, block, row_id, len, bag``.
 
-    Every bag also holds one mark, so that each row is counted and later meets each question.
+    ``len`` counts white-space pieces. Every bag also holds one mark, so that each row is counted
+    and later meets each question; bags are unnested with ``inline_outer``, as the inner form makes
+    the optimiser tokenise a second time in a filter at the scan.
     """
     mark = F.array(F.struct(F.lit(MARK).alias("kind"), F.lit("").alias("term"), F.lit(1).alias("tf")))
     return (
-        rows.select(
-            "corpus",
-            block_of(F.col("row_id"), block_rows).alias("block"),
-            "row_id",
-            F.concat(bag_of_terms(F.col("text")), mark).alias("bag"),
-        )
+        rows.select("corpus", block_of(F.col("row_id"), block_rows).alias("block"), "row_id", "text")
+        .repartition("corpus", "block")
+        .select("corpus", "block", "row_id", F.concat(bag_of_terms(F.col("text")), mark).alias("bag"))
         .withColumn(
             "len",
             F.aggregate("bag", F.lit(0), lambda acc, p: acc + F.when(p.kind == PIECE, p.tf).otherwise(0)),
@@ -86,7 +85,7 @@ def statistics(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
     """Count terms per block (written down, it feeds all other statistics) and per corpus."""
     counted = materialize(
         bags(rows, block_rows)
-        .select("corpus", "block", "len", F.inline("bag"))
+        .select("corpus", "block", "len", F.inline_outer("bag"))
         .groupBy("corpus", "block", "kind", "term")
         .agg(F.count("*").alias("df"), F.sum("len").alias("len"))
     )
@@ -128,7 +127,7 @@ def question_terms(stats: Statistics, questions: DataFrame) -> DataFrame:
     """
     asked = (
         questions.join(stats.corpora, "corpus")
-        .select("qid", "corpus", "n", "mean_idf", F.inline(bag_of_terms(F.col("question"))))
+        .select("qid", "corpus", "n", "mean_idf", F.inline_outer(bag_of_terms(F.col("question"))))
         .withColumnRenamed("tf", "qtf")
         .join(stats.terms, ["corpus", "kind", "term"], "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
@@ -205,8 +204,7 @@ def score_rows(
     saturation = tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
     sums = (
         bags(rows, block_rows)
-        .repartition("corpus", "block")
-        .select("corpus", "block", "row_id", "len", F.inline("bag"))
+        .select("corpus", "block", "row_id", "len", F.inline_outer("bag"))
         .join(weights, ["corpus", "block", "kind", "term"])
         .groupBy("corpus", "block", "row_id", "qid")
         .agg(

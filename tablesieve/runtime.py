@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # sizes on disk are compressed, so the static limit is low; measured sizes decide the rest
+    "spark.sql.autoBroadcastJoinThreshold": "1m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
     # rows are placed once by (corpus, block); joins on more columns may reuse that placement
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
@@ -44,11 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read on from there.
 
     Used where a result feeds several later passes: it is computed once, later passes see
-    the same values even after an executor is lost, and the lineage ends there.
+    the same values even after an executor is lost, and the lineage ends there. Columns and
+    filters of the later passes reach the table's scan, and its size on disk is what decides
+    whether a join may broadcast it.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime SQL settings the plans are laid out for. They change speed, never results.
 SETTINGS = {
@@ -58,3 +58,17 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SALTS = 32
+
+
+def join_spread(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Join where one value of ``on`` may hold a large share of ``big``.
+
+    Rows of ``big`` with equal keys are spread over ``SALTS`` places by ``spread_by`` and ``small``
+    (questions, selected columns) is repeated for each of them. ``how`` is inner or left.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")

@@ -83,6 +83,19 @@ def shown(value: Column) -> Column:
     return F.coalesce(value, F.lit(MISSING))
 
 
+def json_value(text: Column, dtype: str, single_quotes: bool = False) -> Column:
+    """``text`` read as one JSON value of ``dtype``; null when it is anything else or has text after it.
+
+    The value is put inside an object with a closing field, which is only found if the value ends
+    where the text ends.
+    """
+    whole = F.concat(F.lit('{"a":'), text, F.lit(',"end":1}'))
+    options = {"allowSingleQuotes": str(single_quotes).lower()}
+    return let(
+        F.from_json(whole, f"a {dtype}, end int", options), lambda v: F.when(v.end == 1, v.a)
+    )
+
+
 def joined(items: Column, separator: str, order: str, text: str) -> Column:
     """Aggregate: ``text`` of the collected (order, text) items, in order. Groups must be bounded."""
     return F.array_join(F.transform(F.sort_array(items), lambda i: i.getField(text)), separator)

@@ -37,10 +37,16 @@ def start_centres(points: Column) -> Column:
     return let(distinct, pick).cast(POINT)
 
 
+def steady(value: Column, digits: int) -> Column:
+    """``value`` to a number of decimals, so that the order of summation cannot change what follows."""
+    scale = float(10**digits)
+    return F.floor(value * scale + 0.5) / F.lit(scale)
+
+
 def nearest(centres: Column, point: Column) -> Column:
     """Number of the nearest centre; equal distances go to the lowest."""
     distances = F.transform(
-        centres, lambda c: F.round((c.x - point.x) * (c.x - point.x) + (c.y - point.y) * (c.y - point.y), 9)
+        centres, lambda c: steady((c.x - point.x) * (c.x - point.x) + (c.y - point.y) * (c.y - point.y), 9)
     )
     return let(distances, lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
@@ -48,19 +54,25 @@ def nearest(centres: Column, point: Column) -> Column:
 def moved(centres: Column, points: Column) -> Column:
     """Centres after one round; a centre without points stays where it is."""
 
-    def centre(c: Column, number: Column) -> Column:
-        def mean(members: Column) -> Column:
-            def of(pick) -> Column:
-                total = F.aggregate(members, F.lit(0.0), lambda acc, p: acc + pick(p))
-                return F.round(total / F.size(members), 12)
+    def updated(placed: Column) -> Column:
+        def centre(c: Column, number: Column) -> Column:
+            def mean(members: Column) -> Column:
+                def of(pick) -> Column:
+                    total = F.aggregate(members, F.lit(0.0), lambda acc, p: acc + pick(p))
+                    return steady(total / F.size(members), 12)
 
-            return F.when(
-                F.size(members) > 0, F.struct(of(lambda p: p.x).alias("x"), of(lambda p: p.y).alias("y"))
-            ).otherwise(F.struct(c.x.alias("x"), c.y.alias("y")))
+                return F.when(
+                    F.size(members) > 0, F.struct(of(lambda p: p.x).alias("x"), of(lambda p: p.y).alias("y"))
+                ).otherwise(F.struct(c.x.alias("x"), c.y.alias("y")))
 
-        return let(F.filter(points, lambda p: nearest(centres, p) == number), mean)
+            return let(F.filter(placed, lambda p: p.k == number), mean)
 
-    return F.transform(centres, centre).cast(POINT)
+        return F.transform(centres, centre)
+
+    placed = F.transform(
+        points, lambda p: F.struct(nearest(centres, p).alias("k"), p.x.alias("x"), p.y.alias("y"))
+    )
+    return let(placed, updated).cast(POINT)
 
 
 def cluster_columns(scores: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablesieve.functions.text import let, trimmed
+from tablesieve.functions.text import json_value, let, trimmed
 
 # Patterns and texts of the response formats.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -17,8 +17,6 @@ SKIPPED_STARTS = r"^(Question|Table)"
 NOT_FOUND = "Answer not found in the table."
 OTHER_TYPE = "Other"
 
-STRICT = {"allowSingleQuotes": "false"}
-
 
 def named_lines(responses: DataFrame, keys: list[str]) -> DataFrame:
     """Lines ``name: rest`` of each response: ``keys..., line_no, line, name, rest``."""
@@ -64,9 +62,7 @@ def descriptions(responses: DataFrame, examples: DataFrame | None = None) -> Dat
 
 def parsed_list(text: Column) -> Column:
     """A JSON list as ARRAY<STRING>, null unless the whole text is one; null elements read ``None``."""
-    wrapped = F.concat(F.lit('{"a":'), text, F.lit("}"))
-    items = F.from_json(wrapped, "a array<string>", STRICT).getField("a")
-    return F.transform(items, lambda x: F.coalesce(x, F.lit("None")))
+    return F.transform(json_value(text, "array<string>"), lambda x: F.coalesce(x, F.lit("None")))
 
 
 def first_parsed(candidates: Column) -> Column:
@@ -91,7 +87,7 @@ def named_type(text: Column) -> Column:
 
 def answers(responses: DataFrame) -> DataFrame:
     """Adds ``answers`` and ``answer_type`` to responses(qid, method, text)."""
-    text = F.col("text")
+    text = trimmed(F.col("text"))
     return responses.withColumn("answers", answer_list(text)).withColumn("answer_type", named_type(text))
 
 
@@ -100,8 +96,7 @@ def answer_types(responses: DataFrame) -> DataFrame:
 
     Equal confidences go to the first; anything else than a map of numbers is ``Other``.
     """
-    wrapped = F.concat(F.lit('{"a":'), "text", F.lit("}"))
-    entries = F.map_entries(F.from_json(wrapped, "a map<string,double>", STRICT).getField("a"))
+    entries = F.map_entries(json_value(F.col("text"), "map<string,double>"))
 
     def best(e: Column) -> Column:
         usable = (F.size(e) > 0) & ~F.exists(e, lambda x: x.value.isNull())
@@ -119,7 +114,7 @@ def essential_columns(responses: DataFrame, columns: DataFrame) -> DataFrame:
     """
     text = trimmed(F.col("text"))
     body = F.regexp_replace(text, r",\s*\]$", "]")
-    names = F.when(text.rlike(QUOTED_LIST), F.from_json(F.concat(F.lit('{"a":'), body, F.lit("}")), "a array<string>").getField("a"))
+    names = F.when(text.rlike(QUOTED_LIST), json_value(body, "array<string>", single_quotes=True))
     parsed = responses.select("qid", names.alias("names"))
     listed = (
         parsed.where(F.col("names").isNotNull())

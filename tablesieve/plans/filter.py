@@ -14,7 +14,7 @@ from tablesieve.runtime import join_spread, materialize
 
 def filter_columns(scores: DataFrame, questions: DataFrame, essential: DataFrame | None = None) -> DataFrame:
     """Scores to clusters to vote to columns: ``qid, pos, col_ord, col_name``."""
-    clusters = cluster_columns(scores)
+    clusters = materialize(cluster_columns(scores), "clusters")
     return select_columns(clusters, choose_cluster(clusters, questions), essential)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tablesieve.functions.text import json_value
+
 FIELDS = ("question", "answer", "original_table_id")  # fixed values: field names of the format
 
 
@@ -14,8 +16,16 @@ def table_name(table_id: Column) -> Column:
 
 def answer_array(raw: Column) -> Column:
     """An answer given as a scalar or as a JSON list, as ARRAY<STRING>."""
-    listed = F.from_json(F.concat(F.lit('{"a":'), raw, F.lit("}")), "a array<string>", {"allowSingleQuotes": "false"})
-    return F.when(raw.startswith("[") & listed.getField("a").isNotNull(), listed.getField("a")).otherwise(F.array(raw))
+    return F.coalesce(F.when(raw.startswith("["), json_value(raw, "array<string>")), F.array(raw))
+
+
+def field_entries(name: str) -> Column:
+    """Entries of one field as (field, index, value)."""
+    found = F.transform(
+        F.map_entries(F.col("fields").getField(name)),
+        lambda e: F.struct(F.lit(name).alias("field"), e.key.alias("index"), e.value.alias("value")),
+    )
+    return F.coalesce(found, F.array().cast("array<struct<field:string,index:string,value:string>>"))
 
 
 def read_questions(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -25,19 +35,9 @@ def read_questions(spark: SparkSession, path: str, whole_files: bool = False) ->
     """
     text = spark.read.text(path, wholetext=whole_files).withColumn("doc", F.monotonically_increasing_id())
     fields = F.from_json("value", "struct<" + ",".join(f"{f}:map<string,string>" for f in FIELDS) + ">")
-    entries = F.concat(
-        *[
-            F.coalesce(
-                F.transform(
-                    F.map_entries(F.col("doc_fields").getField(f)),
-                    lambda e, f=f: F.struct(F.lit(f).alias("field"), e.key.alias("index"), e.value.alias("value")),
-                ),
-                F.array().cast("array<struct<field:string,index:string,value:string>>"),
-            )
-            for f in FIELDS
-        ]
+    flat = text.select("doc", fields.alias("fields")).select(
+        "doc", F.inline_outer(F.concat(*[field_entries(f) for f in FIELDS]))
     )
-    flat = text.select("doc", fields.alias("doc_fields")).select("doc", F.inline_outer(entries))
     wide = flat.where(F.col("index").isNotNull()).groupBy("doc", "index").agg(
         *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS]
     )

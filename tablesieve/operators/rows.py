@@ -73,31 +73,39 @@ def bags(rows: DataFrame, block_rows: int) -> DataFrame:
 
 @dataclass
 class Statistics:
-    """Term statistics of all corpora."""
+    """Term statistics of all corpora, read from one written table."""
 
-    block_terms: DataFrame  # corpus, block, kind, term
+    block_terms: DataFrame  # corpus, block, kind, term, df: df counts the whole corpus
     terms: DataFrame        # corpus, kind, term, df
     blocks: DataFrame       # corpus, block, n, avg_len
     corpora: DataFrame      # corpus, n, avg_len, mean_idf
 
 
 def statistics(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
-    """Count terms per block (written down, it feeds all other statistics) and per corpus."""
-    counted = materialize(
+    """Count terms per block and per corpus, and write the result down.
+
+    A term's rows in the window below are its blocks, however many rows hold it.
+    """
+    counted = (
         bags(rows, block_rows)
         .select("corpus", "block", "len", F.inline_outer("bag"))
         .groupBy("corpus", "block", "kind", "term")
-        .agg(F.count("*").alias("df"), F.sum("len").alias("len"))
+        .agg(F.count("*").alias("block_df"), F.sum("len").alias("len"))
     )
-    is_mark = F.col("kind") == MARK
-    per_block = counted.where(is_mark).select("corpus", "block", F.col("df").alias("rows"), "len")
-    sizes = (
-        per_block.groupBy("corpus")
-        .agg(F.sum("rows").alias("n"), F.sum("len").alias("len"))
-        .select("corpus", "n", (F.col("len") / F.col("n")).alias("avg_len"))
+    one_term = W.partitionBy("corpus", "kind", "term")
+    table = materialize(
+        counted.withColumn("df", F.sum("block_df").over(one_term)).withColumn(
+            "first", F.row_number().over(one_term.orderBy("block")) == 1
+        ),
+        "terms",
     )
-    block_terms = counted.where(~is_mark).select("corpus", "block", "kind", "term", "df")
-    terms = block_terms.groupBy("corpus", "kind", "term").agg(F.sum("df").alias("df"))
+    is_mark = F.col("kind") == MARK
+    per_block = table.where(is_mark).select("corpus", "block", F.col("df").alias("n"), "len")
+    # a mark's df is the number of rows of its corpus
+    sizes = per_block.groupBy("corpus").agg(F.max("n").alias("n"), F.sum("len").alias("len"))
+    sizes = sizes.select("corpus", "n", (F.col("len") / F.col("n")).alias("avg_len"))
+    block_terms = table.where(~is_mark).select("corpus", "block", "kind", "term", "df")
+    terms = table.where(~is_mark & F.col("first")).select("corpus", "kind", "term", "df")
 
     # the vocabulary is reduced to "how many terms have this df" before it meets the corpus size
     spectrum = terms.where(F.col("kind") == PIECE).groupBy("corpus", "df").agg(F.count("*").alias("terms"))
@@ -107,7 +115,7 @@ def statistics(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
     )
     corpora = sizes.join(mean_idf, "corpus", "left").withColumn("mean_idf", F.coalesce("mean_idf", F.lit(0.0)))
     blocks = per_block.select("corpus", "block").join(sizes, "corpus")
-    return Statistics(block_terms.drop("df"), terms, blocks, corpora)
+    return Statistics(block_terms, terms, blocks, corpora)
 
 
 def tfidf_idf(n: Column, df: Column) -> Column:
@@ -120,7 +128,7 @@ def bm25_idf(n: Column, df: Column) -> Column:
 
 
 def question_terms(stats: Statistics, questions: DataFrame) -> DataFrame:
-    """Terms of each question with their weights in its corpus.
+    """Terms of each question with their weights in its corpus, written down.
 
     The question counts as one more text for TF-IDF, so ``n`` and ``df`` grow by one there;
     BM25 knows the rows only and a negative idf becomes a quarter of the mean idf.
@@ -134,12 +142,13 @@ def question_terms(stats: Statistics, questions: DataFrame) -> DataFrame:
     )
     n, df = F.col("n"), F.col("df")
     raw = bm25_idf(n, df)
-    return asked.select(
+    weighted = asked.select(
         "qid", "corpus", "kind", "term", "qtf", "df",
         tfidf_idf(n + 1, df + 1).alias("idf"),
         tfidf_idf(n + 1, df).alias("idf_rows"),
         F.when(raw < 0, F.col("mean_idf") * BM25_FLOOR).otherwise(raw).alias("idf_bm25"),
     )
+    return materialize(weighted, "asked")
 
 
 def block_weights(stats: Statistics, questions: DataFrame, asked: DataFrame) -> DataFrame:
@@ -161,14 +170,14 @@ def block_weights(stats: Statistics, questions: DataFrame, asked: DataFrame) ->
 
     in_blocks = stats.block_terms.join(stats.blocks, ["corpus", "block"])
     alone = shaped(
-        in_blocks.where(is_word).join(stats.terms, key),
+        in_blocks.where(is_word),
         F.lit(None).cast(dict(asked.dtypes)["qid"]),
         zero,
         F.pow(tfidf_idf(F.col("n") + 1, F.col("df")), 2),
         zero,
     )
     shared = shaped(
-        in_blocks.join(asked.where(F.col("df") > 0), key),
+        in_blocks.join(asked.where(F.col("df") > 0).drop("df"), key),
         F.col("qid"),
         F.when(is_word, F.col("qtf") * F.pow("idf", 2)).otherwise(zero),
         F.when(is_word, F.pow("idf", 2) - F.pow("idf_rows", 2)).otherwise(zero),

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "1m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     "spark.sql.session.timeZone": "UTC",
+    # hash joins where every partition of the build side is measured to be small, sorts elsewhere
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # token and cluster work is heavy for its bytes: keep tasks apart that are small on disk
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # rows are placed once by (corpus, block); joins on more columns may reuse that placement

@@ -408,6 +408,7 @@ def text_cells(spark, sf):
     return fx.all_cells(spark, sf).withColumnRenamed("col_ord", "pos")
 
 
+RANK_PART = f"(rnk // {PER_PART}) + 1"
 PART_NO = f"(row_id // {PER_PART}) + 1"
 
 
@@ -609,7 +610,20 @@ def ablation_rows_only(spark, sf):
     return part_rows_only(spark, sf)
 
 
-@register("ablation_pack", None)
+PACK_SQL = f"""WITH {FILTERED_SQL},
+    ro AS (WITH {ROWS_ONLY_INPUT}, {sql.row_scores()} SELECT k.qid, k.rnk, pc.col_ord AS pos, pc.col_name, pc.value
+           FROM ranked k JOIN pc ON pc.table_id = k.corpus AND pc.row_id = k.row_id WHERE {sql.KEEP}),
+    oc AS (SELECT sel.qid, pc.row_id, sel.pos, sel.col_name, pc.value FROM sel JOIN pq USING (qid) JOIN pc USING (table_id, col_name)),
+    tk AS (WITH {TOP_SQL.format(points='cs')} SELECT k.qid, k.rnk, tc.pos, tc.col_name, pc.value FROM ranked k JOIN pq ON pq.qid = k.qid
+           JOIN tc ON tc.qid = k.qid JOIN pc ON pc.table_id = pq.table_id AND pc.row_id = k.row_id AND pc.col_name = tc.col_name WHERE {sql.KEEP}),
+    a AS {records_sql('oc', 'qid', 'row_id', 'pos', PART_NO)},
+    b AS {records_sql('ro', 'qid', 'rnk', 'pos', RANK_PART)},
+    d AS {records_sql('tk', 'qid', 'rnk', 'pos', RANK_PART)}
+    SELECT qid, part, a.text AS column_filtered, b.text AS row_filtered, d.text AS top_filtered
+    FROM a FULL JOIN b USING (qid, part) FULL JOIN d USING (qid, part)"""
+
+
+@register("ablation_pack", PACK_SQL)
 def ablation_pack(spark, sf):
     """Three reduced tables side by side: columns only, rows only, columns by score length."""
     asked, cells = fx.part_questions(spark, sf), fx.part_cells(spark, sf)

@@ -33,25 +33,24 @@ def trimmed(text: Column) -> Column:
 
 def term_counts(tokens: Column) -> Column:
     """Tokens of one text as an array of (term, tf): run lengths of the sorted tokens."""
+    empty = F.array().cast("array<struct<term:string,tf:int>>")
 
-    def runs(ordered: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
-        return let(
-            starts,
-            lambda at: F.transform(
-                at,
-                lambda i, nth: F.struct(
-                    F.get(ordered, i).alias("term"),
-                    (F.coalesce(F.get(at, nth + 1), F.size(ordered)) - i).alias("tf"),
-                ),
-            ),
-        )
+    def starts(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        return F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
 
-    empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(empty)
+    def lengths(ordered: Column, at: Column) -> Column:
+        def run(i: Column, nth: Column) -> Column:
+            end = F.coalesce(F.get(at, nth + 1), F.size(ordered))
+            return F.struct(F.get(ordered, i).alias("term"), (end - i).alias("tf"))
+
+        return F.transform(at, run)
+
+    def counted(ordered: Column) -> Column:
+        runs = let(starts(ordered), lambda at: lengths(ordered, at))
+        return F.when(F.size(ordered) > 0, runs).otherwise(empty)
+
+    return let(F.sort_array(tokens), counted)
 
 
 def cell_text(value: Column, dtype: T.DataType) -> Column:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesieve.functions import text as tx, vectors as vx
-from tablesieve.runtime import materialize
+from tablesieve.runtime import join_spread, materialize
 
 BLOCK_ROWS = 10_000
 
@@ -133,13 +133,15 @@ def question_terms(stats: Statistics, questions: DataFrame) -> DataFrame:
     The question counts as one more text for TF-IDF, so ``n`` and ``df`` grow by one there;
     BM25 knows the rows only and a negative idf becomes a quarter of the mean idf.
     """
+    key = ["corpus", "kind", "term"]
     asked = (
-        questions.join(stats.corpora, "corpus")
+        join_spread(questions, stats.corpora, ["corpus"], "qid")
         .select("qid", "corpus", "n", "mean_idf", F.inline_outer(bag_of_terms(F.col("question"))))
         .withColumnRenamed("tf", "qtf")
-        .join(stats.terms, ["corpus", "kind", "term"], "left")
-        .withColumn("df", F.coalesce("df", F.lit(0)))
     )
+    # each term is looked up once, however many questions ask for it
+    known = stats.terms.join(asked.select(key).distinct(), key)
+    asked = join_spread(asked, known, key, "qid", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     n, df = F.col("n"), F.col("df")
     raw = bm25_idf(n, df)
     weighted = asked.select(

@@ -8,6 +8,7 @@ from tablesieve.operators.columns import top_norm_columns
 from tablesieve.operators.linearize import ROWS_PER_PART, records
 from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, keep_top, rank_table_rows
 from tablesieve.plans.filter import kept_cells, row_text
+from tablesieve.runtime import join_spread
 from tablesieve.sources.cells import project
 
 
@@ -35,8 +36,9 @@ def rank_all_columns(
 
 def rows_only(questions: DataFrame, cells: DataFrame, ranked: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
     """Best rows, all columns: ``qid, rnk, pos, col_name, value``. ``ranked`` as from ``rank_all_columns``."""
-    placed = keep_top(ranked, ratio).join(questions.select("qid", "table_id"), "qid")
-    return cells.join(placed.select("qid", "table_id", "row_id", "rnk"), ["table_id", "row_id"]).select(
+    best = keep_top(ranked, ratio).select("qid", "row_id", "rnk")
+    placed = join_spread(best, questions.select("qid", "table_id"), ["qid"], "row_id")
+    return cells.join(placed, ["table_id", "row_id"]).select(
         "qid", "rnk", F.col("col_ord").alias("pos"), "col_name", "value"
     )
 

@@ -69,7 +69,7 @@ def kept_cells(questions: DataFrame, cells: DataFrame, selected: DataFrame, kept
 
     ``selected(qid, pos, col_name)``, ``kept_rows(qid, row_id, rnk)``.
     """
-    placed = kept_rows.join(questions.select("qid", "table_id"), "qid").select("qid", "table_id", "row_id", "rnk")
+    placed = join_spread(kept_rows.select("qid", "row_id", "rnk"), questions.select("qid", "table_id"), ["qid"], "row_id")
     in_rows = cells.select("table_id", "row_id", "col_name", "value").join(placed, ["table_id", "row_id"])
     return join_spread(in_rows, selected.select("qid", "pos", "col_name"), ["qid", "col_name"], "row_id").select(
         "qid", "rnk", "pos", "col_name", "value"

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesieve.functions.text import joined, shown
+from tablesieve.runtime import join_spread
 
 ROWS_PER_PART = 1000
 NO_TABLE = "[No Table]"  # fixed value
@@ -76,9 +77,10 @@ def table_text(
 
 def or_no_table(parts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Parts of the wanted tables; a table without rows reads ``[No Table]``."""
-    return wanted.select(*keys).join(parts, keys, "left").select(
-        *keys, F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("text", F.lit(NO_TABLE)).alias("text")
-    )
+    wanted = wanted.select(*keys).distinct()
+    found = join_spread(parts, wanted, keys, "part").select(*keys, "part", "text")
+    empty = wanted.join(parts.select(*keys).distinct(), keys, "left_anti")
+    return found.unionByName(empty.withColumn("part", F.lit(0).cast("long")).withColumn("text", F.lit(NO_TABLE)))
 
 
 def records(

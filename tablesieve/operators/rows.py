@@ -114,7 +114,8 @@ def statistics(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
         (F.sum(F.col("terms") * F.col("idf")) / F.sum("terms")).alias("mean_idf")
     )
     corpora = sizes.join(mean_idf, "corpus", "left").withColumn("mean_idf", F.coalesce("mean_idf", F.lit(0.0)))
-    blocks = per_block.select("corpus", "block").join(sizes, "corpus")
+    # written down: small, used often, and without a placement by corpus that joins could fall back to
+    blocks = materialize(join_spread(per_block.select("corpus", "block"), sizes, ["corpus"], "block"), "blocks")
     return Statistics(block_terms, terms, blocks, corpora)
 
 
@@ -186,7 +187,7 @@ def block_weights(stats: Statistics, questions: DataFrame, asked: DataFrame) ->
         F.when(is_word, zero).otherwise(F.col("qtf") * F.col("idf_bm25")),
     )
     marks = shaped(
-        stats.blocks.join(questions.select("qid", "corpus"), "corpus").select(
+        join_spread(stats.blocks, questions.select("qid", "corpus"), ["corpus"], "block").select(
             "*", F.lit(MARK).alias("kind"), F.lit("").alias("term")
         ),
         F.col("qid"), zero, zero, zero,
@@ -255,7 +256,8 @@ def score_rows(
 
     q_length = F.sqrt(F.coalesce("q_square", F.lit(0.0)))
     r_length = F.sqrt(F.greatest(F.col("alone") + F.col("square"), F.lit(0.0)))
-    return pairs.join(stats.blocks.join(heads, "corpus"), ["corpus", "block", "qid"]).select(
+    per_block = join_spread(stats.blocks, heads, ["corpus"], "block")
+    return pairs.join(per_block, ["corpus", "block", "qid"]).select(
         "corpus", "block", "row_id", "qid", "n",
         vx.cosine(F.col("product"), q_length, r_length).alias("tfidf"),
         "bm25",
@@ -275,7 +277,8 @@ def softmax(scores: DataFrame, columns: list[str]) -> DataFrame:
     def per_question(parts: DataFrame, combine) -> DataFrame:
         names = [c for c in parts.columns if c not in key]
         totals = parts.groupBy("qid").agg(*[combine(c).alias(c) for c in names])
-        return parts.select(key).join(totals, "qid")
+        # placed by the whole key, or the rows would be pulled together by question
+        return parts.select(key).join(totals, "qid").repartition(*key)
 
     tops = scores.groupBy(key).agg(*[F.max(c).alias(f"{c}_top") for c in columns])
     raised = scores.join(per_question(tops, F.max), key)
@@ -316,6 +319,8 @@ def rank_rows(fused: DataFrame) -> DataFrame:
     runs = placed.groupBy("qid", "part").agg(F.min("position").alias("first"), F.count("*").alias("size"))
     earlier = W.partitionBy("qid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = runs.select("qid", "part", "first", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    # placed by the whole key, or the rows would be pulled together by question
+    starts = starts.repartition("qid", "part")
     return (
         placed.join(starts, ["qid", "part"])
         .withColumn("rnk", F.col("position") - F.col("first") + F.col("before") + 1)

@@ -71,8 +71,11 @@ def join_spread(big: DataFrame, small: DataFrame, on: list[str], spread_by: str,
     """Join where one value of ``on`` may hold a large share of ``big``.
 
     Rows of ``big`` with equal keys are spread over ``SALTS`` places by ``spread_by`` and ``small``
-    (questions, selected columns) is repeated for each of them. ``how`` is inner or left.
+    (questions, selected columns) is repeated for each of them. ``small`` is placed by the whole key,
+    as a placement it may already have by part of the key would pull ``big`` together again.
+    ``how`` is inner or left.
     """
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = salted.repartition(*on, "_salt")
     return big.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")

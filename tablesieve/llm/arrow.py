@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -22,9 +23,18 @@ CHUNK_CHARS = 1 << 18
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with the library's settings and bounded Arrow batches."""
+    """The session with the library's settings and bounded Arrow batches.
+
+    Workers on the driver's machine find the library where the driver does; others need it installed or in --py-files.
+    """
     tune(spark)
+    known = spark.sparkContext.environment
+    if HOME not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), HOME]))
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

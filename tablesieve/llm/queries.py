@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesieve.llm import bpe, quality, records, sharding, token_counts
+from tablesieve.llm import bpe, language, packing, quality, records, sharding, token_counts, toxicity
 from tablesieve.llm.arrow import prepared
 from tablesieve.runtime import scratch_path
 
@@ -20,6 +20,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = 40
 SEQUENCE_TOKENS = 1024
 END_OF_RECORD = 0
+END_OF_DOCUMENT = 2
 
 
 def register(name: str, oracle: str | None = None):
@@ -50,12 +51,34 @@ def op1(spark, sf):
     )
 
 
+@register("op2_best_fit_packing")
+def op2(spark, sf):
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf, "documents"), BYTE_BPE, END_OF_DOCUMENT, SEQUENCE_TOKENS)
+
+
 @register("op4_token_counts")
 def op4(spark, sf):
     """Tokens of every document."""
     return token_counts.count_tokens(table(spark, sf, "documents"), BYTE_BPE, SEQUENCE_TOKENS)
 
 
+@register("op5_language_id")
+def op5(spark, sf):
+    """Language of every document, learnt from three quarters of them."""
+    docs, held = table(spark, sf, "documents"), language.remainder(F.col("doc_id"), 4) == 2
+    found = language.identify(docs, docs.where(~held).select("lang", "text"))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@register("op6_toxicity")
+def op6(spark, sf):
+    """Toxicity of every document, learnt from the labels of four fifths of them."""
+    docs, held = table(spark, sf, "documents"), language.remainder(F.col("doc_id"), 5) == 0
+    scored = toxicity.score(docs, table(spark, sf, "labels").where(~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @register("op7_quality_rules")
 def op7(spark, sf):
     """Counts, base rules and verdict for every document."""

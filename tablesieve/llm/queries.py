@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesieve.llm import bpe, language, packing, quality, records, sharding, token_counts, toxicity
+from tablesieve.llm import bpe, jaccard, language, neighbours, packing, quality, records, sharding, token_counts, toxicity
 from tablesieve.llm.arrow import prepared
 from tablesieve.runtime import scratch_path
 
@@ -18,6 +18,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 SHARDS = 40
+QUERY_STEP, NEIGHBOURS = 20, 20
 SEQUENCE_TOKENS = 1024
 END_OF_RECORD = 0
 END_OF_DOCUMENT = 2
@@ -57,6 +58,12 @@ def op2(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), BYTE_BPE, END_OF_DOCUMENT, SEQUENCE_TOKENS)
 
 
+@register("op3_nearest_neighbours")
+def op3(spark, sf):
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours.search(table(spark, sf, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, NEIGHBOURS)
+
+
 @register("op4_token_counts")
 def op4(spark, sf):
     """Tokens of every document."""
@@ -88,6 +95,12 @@ def op7(spark, sf):
     )
 
 
+@register("op8_ngram_jaccard")
+def op8(spark, sf):
+    """Near-duplicate class of every document."""
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
 @register("op9_token_records")
 def op9(spark, sf):
     """Ids of all documents written as binary records in order of doc_id, and read back."""

@@ -183,8 +183,8 @@ def read_ids(spark: SparkSession, uri: str, seed: int | None = None) -> DataFram
     """
     arrow.prepared(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
-    # files are few, tasks should be many: one file per task as far as there are places
-    spread = manifest.repartition(F.col("part"), F.col("seq"))
+    # a task per file: the manifest is small, what it stands for is not
+    spread = manifest.repartition(max(1, manifest.count()), "part", "seq")
     return spread.mapInArrow(
         lambda it: read_batches(it, uri, seed),
         "part long, seq long, place long, before long, doc_id long, n_tokens long, ids binary",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tablesieve.runtime import tune
 
@@ -60,3 +60,18 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """A record batch of plain lists or arrays, in the order of ``schema``."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def kept_rows(docs: DataFrame, text: str, passes: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text passes, with all their columns and whatever their names.
+
+    ``passes`` sees the texts of a batch in UTF-8. Rows are judged where they are: nothing is joined or shuffled.
+    """
+    place = docs.columns.index(text)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column(place).cast(pa.binary()).to_pylist()
+            yield rows.filter(pa.array(passes(texts), pa.bool_()))
+
+    return docs.mapInArrow(filtered, docs.schema)

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablesieve.llm import arrow, trees
-from tablesieve.runtime import materialize
 
 # Characters that count as symbols, and the rules every kept text passes.
 SYMBOLS = b"#*$%&|<>"
@@ -18,12 +17,17 @@ MOST_REPEATED_PERCENT = 50
 
 #: Most labelled documents the trees are fitted on: those whose hashed ids are smallest.
 MOST_LABELLED = 20_000
+KEPT_SCORE = 0.5
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits",
     "n_marks", "n_bars",
 ]
-COUNT_SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
+LABELLED = pa.schema([("label", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
+JUDGED = pa.schema(
+    [("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("score", pa.float64()), ("base_failed", pa.bool_()),
+     ("kept", pa.bool_())]
+)
 
 #: Feature and the way the score may go with it: -1 may not rise, 0 free.
 FEATURES = {
@@ -83,12 +87,6 @@ def counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        found = [counts(t or b"") for t in rows.column(1).to_pylist()]
-        yield arrow.batch(COUNT_SCHEMA, [rows.column(0), *map(list, zip(*found))] if found else [[]] * len(COUNT_SCHEMA))
-
-
 def features(table: dict[str, np.ndarray]) -> np.ndarray:
     """Features of counted documents, one row each, in the order of ``FEATURES``."""
     c = {k: np.asarray(table[k], float) for k in COUNTS}
@@ -103,58 +101,71 @@ def features(table: dict[str, np.ndarray]) -> np.ndarray:
     )
 
 
-def document_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``COUNTS`` of every whole text, one row per row; a missing text counts as empty."""
-    arrow.prepared(docs.sparkSession)
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(count_batches, ", ".join(f"{f.name} long" for f in COUNT_SCHEMA))
+def counted(texts: list[bytes | None]) -> dict[str, np.ndarray]:
+    """Counts of a batch of texts; a missing text counts as empty."""
+    rows = np.array([counts(t or b"") for t in texts], np.int64).reshape(-1, len(COUNTS))
+    return dict(zip(COUNTS, rows.T, strict=True))
 
 
-def base_failed():
-    words, repeats = F.col("n_words"), F.col("n_repeat_words")
+def base_failed(table: dict[str, np.ndarray]) -> np.ndarray:
+    words, repeats = table["n_words"], table["n_repeat_words"]
     return (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED_PERCENT * words)
 
 
-def fit_forest(counted: DataFrame, labels: DataFrame) -> trees.Forest:
-    """Trees for ``labels(doc_id, quality)`` on at most ``MOST_LABELLED`` counted documents that pass the base rules.
+def labelled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        table = counted(rows.column(1).to_pylist())
+        found = arrow.batch(LABELLED, [rows.column(0), *table.values()])
+        yield found.filter(pa.array(~base_failed(table)))
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> trees.Forest:
+    """Trees for labels(doc_id, quality), on at most ``MOST_LABELLED`` labelled documents; those that fail the base rules
+    are left to these.
 
     Rows without id or label take no part. Without labels of both kinds, every document scores alike.
     """
-    known = labels.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("label")
-    ).dropna()
-    rows = counted.where(~base_failed()).join(known, "doc_id")
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", *COUNTS).limit(MOST_LABELLED).toPandas()
-    return trees.fit(features(sample), sample["label"].to_numpy(float), list(FEATURES.values()))
+    arrow.prepared(docs.sparkSession)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("label"))
+    known = known.dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").cast("binary").alias("text"))
+    # the chosen rows are few by their bound
+    sample = rows.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("long"), "text")
+    found = sample.mapInArrow(labelled_batches, ", ".join(f"{f.name} long" for f in LABELLED)).toPandas()
+    found = found.sort_values(list(found.columns))
+    return trees.fit(features(found), found["label"].to_numpy(float), list(FEATURES.values()))
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], forest: trees.Forest) -> Iterator[pa.RecordBatch]:
-    schema = COUNT_SCHEMA.append(pa.field("score", pa.float64()))
+def judge_batches(batches: Iterator[pa.RecordBatch], forest: trees.Forest) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        table = {c: rows.column(c).to_numpy() for c in COUNTS}
-        yield arrow.batch(schema, [*rows.columns, forest.score(features(table))])
+        table = counted(rows.column(1).to_pylist())
+        score, failed = forest.score(features(table)), base_failed(table)
+        yield arrow.batch(JUDGED, [rows.column(0), *table.values(), score, failed, ~failed & (score >= KEPT_SCORE)])
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``COUNTS``, ``score``, ``base_failed``, ``kept`` for every document.
 
-    The texts are read once, for the counts, which are written down; the trees are fitted on a bounded sample of them
-    and then score them all. One row comes out per row that goes in. Missing and empty texts
-    fail the base rules; missing keys stay missing; repeated rows are judged alike; an empty table gives an
-    empty one; without usable labels the base rules decide alone. Other columns are not read.
+    The trees are fitted on a bounded labelled sample; then every whole text is counted and scored where it is,
+    one row per row that goes in. Missing and empty texts fail the base rules; missing keys stay missing; repeated
+    rows are judged alike; an empty table gives an empty one; without usable labels the base rules decide alone.
+    Other columns are not read.
     """
-    counted = materialize(document_counts(docs, key, text), "quality-counts")
-    forest = fit_forest(counted, labels)
-    schema = ", ".join(f"{f.name} long" for f in COUNT_SCHEMA) + ", score double"
-    scored = counted.mapInArrow(lambda it: score_batches(it, forest), schema)
-    failed = base_failed()
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= 0.5))
+    forest = fit_forest(docs, labels, key, text)
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").cast("binary").alias("text"))
+    columns = ", ".join(f"{c} long" for c in ["doc_id", *COUNTS])
+    return rows.mapInArrow(
+        lambda it: judge_batches(it, forest), columns + ", score double, base_failed boolean, kept boolean"
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns.
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    forest = fit_forest(docs, labels, key, text)
 
-    The verdict depends on the text alone, so rows are judged by key, and repeated keys pass if any of their texts does.
-    """
-    good = judge(docs, labels, key, text).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs[key].cast("long") == good["_good"], "left_semi")
+    def passes(texts: list[bytes | None]) -> list[bool]:
+        table = counted(texts)
+        return list(~base_failed(table) & (forest.score(features(table)) >= KEPT_SCORE))
+
+    return arrow.kept_rows(docs, text, passes)

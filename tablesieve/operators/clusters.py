@@ -1,7 +1,8 @@
 """3-means of the two column scores, for all questions at once.
 
 A question's group holds one row per column of its table, so it is bounded by the table's width.
-Points are gathered per question and all rounds run inside one expression: one shuffle in total.
+Points are gathered per question and all rounds run inside one expression: one shuffle in total. A question's
+rounds end when its centres no longer move.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesieve.functions.text import let
 
-ROUNDS = 10
+# Fixed value: most rounds. Centres stand still long before: every round lowers the sum of squares.
+MOST_ROUNDS = 300
+RUN = 15
 POINT = "array<struct<x:double,y:double>>"
 
 
@@ -75,17 +78,37 @@ def moved(centres: Column, points: Column) -> Column:
     return let(placed, updated).cast(POINT)
 
 
-def cluster_columns(scores: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def settled_centres(points: Column, most_rounds: int = MOST_ROUNDS) -> Column:
+    """Centres after as many rounds as they move in.
+
+    The rounds are run in turns of ``RUN``: once a round has changed nothing, the state is handed on as it is, and what
+    is left costs a look per turn.
+    """
+
+    def round_of(state: Column) -> Column:
+        after = moved(state.centres, points)
+        return F.when(state.still, state).otherwise(
+            let(after, lambda c: F.struct(c.alias("centres"), (c == state.centres).alias("still")))
+        )
+
+    def turn(state: Column, length: int) -> Column:
+        return F.when(state.still, state).otherwise(
+            F.aggregate(F.sequence(F.lit(1), F.lit(length)), state, lambda acc, _: round_of(acc))
+        )
+
+    turns = -(-most_rounds // RUN)
+    start = F.struct(start_centres(points).alias("centres"), F.lit(False).alias("still"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), start, lambda acc, _: turn(acc, RUN)).centres
+
+
+def cluster_columns(scores: DataFrame) -> DataFrame:
     """Add ``cluster_id, cx, cy`` to ``qid, col_ord, col_name, llm, sim``.
 
     A question with fewer than three distinct points gets that many clusters.
     """
     member = F.struct("col_ord", "col_name", F.col("llm").alias("x"), F.col("sim").alias("y"))
     grouped = scores.groupBy("qid").agg(F.sort_array(F.collect_list(member)).alias("points"))
-    points = F.col("points")
-    centres = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), start_centres(points), lambda acc, _: moved(acc, points)
-    )
+    centres = settled_centres(F.col("points"))
     labelled = grouped.withColumn("centres", centres).select("qid", "centres", F.explode("points").alias("p"))
     labelled = labelled.withColumn("cluster_id", nearest(F.col("centres"), F.col("p")))
     own = F.get("centres", F.col("cluster_id"))

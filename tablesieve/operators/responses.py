@@ -11,7 +11,9 @@ NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 LIST = r"(?s)\[.*?\]"
 ANSWER_LIST = r"(?is)answer:\s*(\[.*?\])"
 WIDEST_LIST = r"(?s)\[.*\]"
-QUOTED_LIST = r"""^\[\s*((("([^"\\]|\\.)*")|('([^'\\]|\\.)*'))\s*(,\s*(("([^"\\]|\\.)*")|('([^'\\]|\\.)*'))\s*)*,?\s*)?\]$"""
+# possessive throughout: Java's engine then loops where it would otherwise recurse once per character or name
+QUOTED = r"""(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')"""
+QUOTED_LIST = rf"^\[\s*+(?:{QUOTED}\s*+(?:,\s*+{QUOTED}\s*+)*+,?+\s*+)?+\]$"
 NAMED_TYPE = r'(?i)"?predicted_answer_entity"?\s*[:=]\s*"?(.*?)"?[\n,}]'
 SKIPPED_STARTS = r"^(Question|Table)"
 NOT_FOUND = "Answer not found in the table."

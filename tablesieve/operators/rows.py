@@ -302,17 +302,30 @@ def fuse(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     return parts.withColumn("fusion", total)
 
 
+SIGNIFICANT = 12
+
+
+def significant(value: Column, digits: int = SIGNIFICANT) -> Column:
+    """``value`` to a number of significant digits; 0 stays 0."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(value))))
+    return F.when(value == 0, value).otherwise(F.round(value * scale) / scale)
+
+
 def rank_rows(fused: DataFrame) -> DataFrame:
     """Add ``rnk``, the place of each row within its question, best first.
 
-    Scores are compared after scaling by the number of rows, to 9 decimals, so that the order of
-    summation cannot decide between equal rows; equal rows come with the larger row id first.
+    Fusion is compared to the digits a double carries, relative to its size, so that the order of summation cannot
+    decide between equal rows and no row that matches is lost among those that do not. Then the scores
+    themselves decide, to 9 decimals in the order of their weights, and then the larger row id.
     One global sort gives every row a position; a question's rows may span any number of
     partitions, and only (question, partition) counts are combined to find where each run starts.
     """
-    keyed = fused.withColumn("sort_key", F.round(F.col("fusion") * F.col("n"), 9))
+    keyed = fused.withColumn("sort_key", significant(F.col("fusion")))
+    scores = [F.desc(c) for c in ("tfidf_key", "bm25_key", "dense_key")]
+    for c in ("tfidf", "bm25", "dense"):
+        keyed = keyed.withColumn(f"{c}_key", F.round(c, 9) if c in fused.columns else F.lit(0.0))
     placed = materialize(
-        keyed.orderBy("qid", F.desc("sort_key"), F.desc("row_id"))
+        keyed.orderBy("qid", F.desc("sort_key"), *scores, F.desc("row_id"))
         .withColumn("position", F.monotonically_increasing_id())
         .withColumn("part", F.shiftright("position", 33))
     )
@@ -324,7 +337,7 @@ def rank_rows(fused: DataFrame) -> DataFrame:
     return (
         placed.join(starts, ["qid", "part"])
         .withColumn("rnk", F.col("position") - F.col("first") + F.col("before") + 1)
-        .drop("sort_key", "position", "part", "first", "before")
+        .drop("sort_key", "tfidf_key", "bm25_key", "dense_key", "position", "part", "first", "before")
     )
 
 

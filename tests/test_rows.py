@@ -96,6 +96,15 @@ def test_rank_is_dense_and_ties_take_the_larger_row_first(spark):
     assert [r.row_id for r in sorted((r for r in ranked if r.qid == 2), key=lambda r: r.rnk)] == [5, 4, 3, 2, 1, 0]
 
 
+def test_a_weak_match_ranks_before_rows_that_match_nothing(spark):
+    """One row leads by far; the other row that matches differs from the rest in the 13th decimal only."""
+    data = [(1, 0, 0.5, 32.5, 0.0, 40), (1, 1, 0.0, 5.9, 0.0, 40)] + [(1, i, 0.0, 0.0, 0.0, 40) for i in range(2, 40)]
+    frame = spark.createDataFrame(data, "qid long, row_id long, tfidf double, bm25 double, dense double, n long")
+    frame = frame.withColumn("corpus", F.lit("t")).withColumn("block", F.lit(0).cast("long"))
+    got = {r.row_id: r.rnk for r in rw.rank_rows(rw.fuse(materialize(frame))).collect()}
+    assert (got[0], got[1], got[39], got[2]) == (1, 2, 3, 40)
+
+
 def test_rank_over_many_partitions_equals_a_window(spark):
     from pyspark.sql import Window as W
 

@@ -56,6 +56,22 @@ def test_essential_columns(spark):
     assert got == {0: ["c", "a"], 1: ["b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"]}
 
 
+def test_long_lists_of_essential_columns(spark):
+    names = ["n" * 100_000, *[f"c{i}" for i in range(10_000)]]
+    quoted = lambda q: "[" + ", ".join(q + n + q for n in names) + "]"
+    responses = spark.createDataFrame(
+        [(1, quoted('"')), (2, quoted("'")), (3, quoted('"')[:-1]), (4, '["a\\"' + "x" * 100_000 + '"]'), (5, "[" * 100_000), (6, '["c1",]'),
+         (7, '["c1" "c2"]')], "qid long, text string")
+    columns = spark.createDataFrame([(q, i, c) for q in range(1, 8) for i, c in enumerate(["c9999", "c1", names[0]])],
+                                    "qid long, col_ord int, col_name string")
+    got = {}
+    for r in rs.essential_columns(responses, columns).collect():
+        got.setdefault(r.qid, []).append((r.ess_ord, r.col_name))
+    listed = [(0, names[0]), (2, "c1"), (10_000, "c9999")]
+    everything = [(0, "c9999"), (1, "c1"), (2, names[0])]
+    assert {q: sorted(v) for q, v in got.items()} == {1: listed, 2: listed, 3: everything, 5: everything, 6: [(0, "c1")], 7: everything}
+
+
 def test_parts_put_together_are_the_whole_text(spark):
     df = spark.createDataFrame([(i, f"v{i}", None if i % 3 else "x|y") for i in range(7)], "id long, a string, `b c` string")
     cells = sc.cells_from_table(df, F.lit("t"), F.col("id"), ["a", "b c"]).withColumnRenamed("col_ord", "pos")

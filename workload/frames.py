@@ -246,6 +246,21 @@ ss AS (SELECT l_suppkey AS qid, (l_partkey % 12)::INTEGER AS col_ord, 'c_' || (l
        FROM lineitem GROUP BY l_suppkey, l_partkey % 12)"""
 
 
+def customer_scores(spark, sf):
+    """Tables of a hundred columns: runs of customers with two scores that form no clear groups."""
+    number = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        F.floor(number / 100).cast("long").alias("qid"), (number % 100).cast("int").alias("col_ord"),
+        F.concat(F.lit("c_"), (number % 100).cast("string")).alias("col_name"),
+        F.round((F.col("c_acctbal") + 1000) / 11000, 9).alias("llm"), (number * 7919 % 1009 / 1009).alias("sim"),
+    )
+
+
+CUSTOMER_SCORES_SQL = """
+cu AS (SELECT c_custkey // 100 AS qid, (c_custkey % 100)::INTEGER AS col_ord, 'c_' || (c_custkey % 100) AS col_name,
+       round((c_acctbal + 1000) / 11000, 9) AS llm, (c_custkey * 7919 % 1009) / 1009.0::DOUBLE AS sim FROM customer)"""
+
+
 # -- events as votes, responses and runs ----------------------------------------------------------------
 
 def event_votes_text(spark, sf):

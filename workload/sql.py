@@ -51,32 +51,28 @@ raised AS (SELECT *, exp(tfidf - max(tfidf) OVER o) AS e1, exp(bm25 - max(bm25)
 soft AS (SELECT *, e1 / sum(e1) OVER o AS tfidf_p, e2 / sum(e2) OVER o AS bm25_p, e3 / sum(e3) OVER o AS dense_p
          FROM raised WINDOW o AS (PARTITION BY qid)),
 fused AS (SELECT *, 0.4::DOUBLE * tfidf_p + 0.3::DOUBLE * bm25_p + 0.3::DOUBLE * dense_p AS fusion FROM soft),
-ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fusion * n, 9) DESC, row_id DESC) AS rnk FROM fused)"""
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fusion, 12 - 1 - floor(log10(fusion))::INT) DESC, round(tfidf, 9) DESC,
+           round(bm25, 9) DESC, round(dense, 9) DESC, row_id DESC) AS rnk FROM fused)"""
 
 
-def kmeans(points: str = "cs", rounds: int = 10) -> str:
-    """CTEs ending in ``cl(qid, col_ord, col_name, llm, sim, cluster_id, cx, cy)``: the rounds written out."""
-    ctes = [
-        f"""
+def kmeans(points: str = "cs") -> str:
+    """CTEs ending in ``cl(qid, col_ord, col_name, llm, sim, cluster_id, cx, cy)``: rounds over whole questions until none moves."""
+    far = "list_transform(c, lambda e: round((e.x - m.x) * (e.x - m.x) + (e.y - m.y) * (e.y - m.y), 9))"
+    members = f"list_filter(p, lambda m: list_position({far}, list_min({far})) = i)"
+    middle = ", ".join(f"'{v}': round(list_sum(list_transform(g, lambda m: m.{v})) / len(g), 12)" for v in "xy")
+    step = f"list_transform(c, lambda o, i: coalesce(list_transform([{members}], lambda g: CASE WHEN len(g) > 0 THEN {{{middle}}} END)[1], o))"
+    own = far.replace("m.x", "llm").replace("m.y", "sim")
+    return f"""
 dist0 AS (SELECT DISTINCT qid, round(llm + sim, 12) AS s, round(llm, 12) AS x, round(sim, 12) AS y FROM {points}),
 ord0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s, x, y) AS i, count(*) OVER (PARTITION BY qid) AS m FROM dist0),
-c0 AS MATERIALIZED (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY i) - 1 AS k, x, y FROM ord0
-       WHERE i = 1 OR i = (m + 1) // 2 OR i = m)"""
-    ]
-    for n in range(rounds + 1):
-        ctes.append(f"""
-a{n} AS MATERIALIZED (SELECT p.qid, p.col_ord, p.col_name, p.llm, p.sim,
-        arg_min(c.k, round((c.x - p.llm) * (c.x - p.llm) + (c.y - p.sim) * (c.y - p.sim), 9) * 1000 + c.k * 1e-9) AS k
-        FROM {points} p JOIN c{n} c USING (qid) GROUP BY ALL)""")
-        if n < rounds:
-            ctes.append(f"""
-c{n + 1} AS MATERIALIZED (SELECT c.qid, c.k, coalesce(any_value(m.x), any_value(c.x)) AS x, coalesce(any_value(m.y), any_value(c.y)) AS y
-        FROM c{n} c LEFT JOIN (SELECT qid, k, round(sum(llm) / count(*), 12) AS x, round(sum(sim) / count(*), 12) AS y
-                               FROM a{n} GROUP BY qid, k) m USING (qid, k) GROUP BY c.qid, c.k)""")
-    ctes.append(f"""
-cl AS MATERIALIZED (SELECT a.qid, a.col_ord, a.col_name, a.llm, a.sim, a.k AS cluster_id, c.x AS cx, c.y AS cy
-        FROM a{rounds} a JOIN c{rounds} c USING (qid, k))""")
-    return ",".join(ctes)
+c0 AS (SELECT qid, list({{'x': x, 'y': y}} ORDER BY i) AS c FROM ord0 WHERE i = 1 OR i = (m + 1) // 2 OR i = m GROUP BY qid),
+p0 AS (SELECT qid, list({{'x': llm, 'y': sim}} ORDER BY col_ord, col_name, llm, sim) AS p FROM {points} GROUP BY qid),
+km AS (SELECT qid, p, c, c AS was, 0 AS round FROM p0 JOIN c0 USING (qid)
+       UNION ALL SELECT qid, p, {step}, c, round + 1 FROM km WHERE round < 300 AND (round = 0 OR c <> was)),
+cend AS MATERIALIZED (SELECT qid, arg_max(c, round) AS c FROM km GROUP BY qid),
+cl AS MATERIALIZED (SELECT qid, col_ord, col_name, llm, sim, k - 1 AS cluster_id, c[k].x AS cx, c[k].y AS cy FROM
+       (SELECT p.*, c, list_position({own}, list_min({own})) AS k
+        FROM {points} p JOIN cend USING (qid)))"""
 
 
 def cluster_choice(q: str) -> str:

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesieve.functions.text import joined, shown
-from tablesieve.runtime import join_spread
 
 ROWS_PER_PART = 1000
 NO_TABLE = "[No Table]"  # fixed value
@@ -75,11 +74,14 @@ def table_text(
     return parts.unionByName(head.withColumn("part", F.lit(0).cast("long")))
 
 
-def or_no_table(parts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Parts of the wanted tables; a table without rows reads ``[No Table]``."""
+def or_no_table(parts: DataFrame, cells: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of the wanted tables; a table without rows reads ``[No Table]``.
+
+    Whether a table has rows is seen from its cells, so the text is made once and for nothing else.
+    """
     wanted = wanted.select(*keys).distinct()
-    found = join_spread(parts, wanted, keys, "part").select(*keys, "part", "text")
-    empty = wanted.join(parts.select(*keys).distinct(), keys, "left_anti")
+    empty = wanted.join(cells.select(*keys).distinct(), keys, "left_anti")
+    found = parts.join(wanted, keys, "left_semi").select(*keys, "part", "text")
     return found.unionByName(empty.withColumn("part", F.lit(0).cast("long")).withColumn("text", F.lit(NO_TABLE)))
 
 

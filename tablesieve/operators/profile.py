@@ -48,9 +48,9 @@ def example_text(examples):
 
 
 def column_blocks(cells: DataFrame) -> DataFrame:
-    """One line per column, its name followed by its examples."""
-    columns = cells.select("table_id", "col_ord", "col_name").distinct()
+    """``examples`` and ``block`` of each column: its values, and one line of its name followed by them."""
+    columns = cells.groupBy("table_id", "col_ord", "col_name").agg(F.count("value").alias("values"))
     return columns.join(column_examples(cells), ["table_id", "col_ord", "col_name"], "left").select(
-        "table_id", "col_ord", "col_name",
+        "table_id", "col_ord", "col_name", "examples",
         F.concat("col_name", F.coalesce(example_text(F.col("examples")), F.lit(""))).alias("block"),
     )

@@ -68,8 +68,10 @@ def parsed_list(text: Column) -> Column:
 
 
 def first_parsed(candidates: Column) -> Column:
-    """First candidate that is a list."""
-    return F.get(F.filter(F.transform(candidates, parsed_list), lambda a: a.isNotNull()), F.lit(0))
+    """First candidate that is a list; those after it are not parsed."""
+    return F.aggregate(
+        candidates, F.lit(None).cast("array<string>"), lambda found, c: F.coalesce(found, parsed_list(c))
+    )
 
 
 def answer_list(text: Column) -> Column:
@@ -94,18 +96,20 @@ def answers(responses: DataFrame) -> DataFrame:
 
 
 def answer_types(responses: DataFrame) -> DataFrame:
-    """Most confident type in responses(qid, text) that hold a JSON map of confidences.
+    """Most confident type in responses(qid, text) that hold a JSON map of confidences, and the map as ``type_scores``.
 
-    Equal confidences go to the first; anything else than a map of numbers is ``Other``.
+    Equal confidences go to the first; anything else than a map of numbers is ``Other`` and has no scores.
     """
     entries = F.map_entries(json_value(F.col("text"), "map<string,double>"))
-
-    def best(e: Column) -> Column:
-        usable = (F.size(e) > 0) & ~F.exists(e, lambda x: x.value.isNull())
-        top = F.array_max(F.transform(e, lambda x: x.value))
-        return F.when(usable, F.get(F.filter(e, lambda x: x.value == top), F.lit(0)).getField("key"))
-
-    return responses.withColumn("answer_type", F.coalesce(let(entries, best), F.lit(OTHER_TYPE)))
+    usable = F.when(
+        (F.size(F.col("entries")) > 0) & ~F.exists("entries", lambda x: x.value.isNull()), F.col("entries")
+    )
+    read = responses.withColumn("entries", entries).withColumn("entries", usable)
+    top = F.array_max(F.transform("entries", lambda x: x.value))
+    best = F.get(F.filter("entries", lambda x: x.value == top), F.lit(0)).getField("key")
+    return read.withColumn("answer_type", F.coalesce(best, F.lit(OTHER_TYPE))).withColumn(
+        "type_scores", F.map_from_entries("entries")
+    ).drop("entries")
 
 
 def essential_columns(responses: DataFrame, columns: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 A *corpus* is the set of rows one question is asked against: a table, or a table cut down to
 the columns chosen for a question. Inputs:
 
-* ``rows(corpus, row_id, text)``, row_id unique in its corpus;
+* ``rows(corpus, row_id, text)``, row_id unique in its corpus, or the postings of such rows;
 * ``questions(qid, corpus, question)``.
 
-Layout. Rows are split into blocks of ``block_rows`` consecutive row ids. Term statistics are counted
-per block first, so what is shuffled by term is a vocabulary and never the postings. For scoring,
-the rows are shuffled once by (corpus, block) and tokenised there; a corpus holding most of the rows
-is spread over as many places as it has blocks. The term weights are laid out by block as well, and every later
-join, aggregate and window has (corpus, block) in its key and stays where the rows are.
+Layout. Texts are tokenised once: their terms are counted per row and written down as postings
+``(corpus, row_id, kind, term, tf, len)``, with one mark per row. Document frequencies are aggregates of the postings,
+combined before the shuffle. A row's length under TF-IDF depends on the row and its corpus alone and is summed
+once. For the products with questions, rows fall into blocks by a hash of their id, as many as their number asks for, and
+questions into groups; a term asked in a group is laid out once per block and a posting once per group. So neither a
+table with most of the rows, nor a table with most of the questions, nor a word that all of them share meets in one task.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesieve.functions import text as tx, vectors as vx
-from tablesieve.runtime import join_spread, materialize
+from tablesieve.runtime import materialize
 
 BLOCK_ROWS = 10_000
+GROUP_QUESTIONS = 256
 
 # Parameters of the scores.
 BM25_K1 = 1.5
@@ -32,91 +34,72 @@ WEIGHTS = {"tfidf": 0.4, "bm25": 0.3, "dense": 0.3}
 KEEP_RATIO = 0.4
 
 WORD, PIECE, MARK = "w", "p", "m"
+SIGNALS = tuple(WEIGHTS)
 
 
-def block_of(row_id: Column, block_rows: int) -> Column:
-    return F.floor(row_id / F.lit(block_rows))
+def places(count: Column, size: int) -> Column:
+    """How many places of about ``size`` members ``count`` of them need."""
+    return F.greatest(F.lit(1), F.ceil(count / F.lit(size))).cast("long")
 
 
-def bag_of_terms(text: Column) -> Column:
-    """Both kinds of terms of a text as one array of (kind, term, tf)."""
+def place_of(member: Column, count: Column) -> Column:
+    """Place of a member, whatever the spacing of ids."""
+    return F.pmod(F.xxhash64(member), count)
 
-    def tagged(kind: str, counts: Column) -> Column:
-        return F.transform(
-            counts, lambda c: F.struct(F.lit(kind).alias("kind"), c.term.alias("term"), c.tf.alias("tf"))
-        )
 
-    return F.concat(
-        tagged(WORD, tx.term_counts(tx.word_tokens(text))),
-        tagged(PIECE, tx.term_counts(tx.space_tokens(text))),
+def tokens(texts: DataFrame, keys: list[str], text: str, kinds: tuple[str, ...] = (WORD, PIECE)) -> DataFrame:
+    """All tokens of each text: ``keys..., kind, term``, and one mark per text."""
+    body = F.col(text)
+    none = F.array().cast("array<string>")
+    words = F.coalesce(tx.word_tokens(body), none) if WORD in kinds else none
+    pieces = F.coalesce(F.split(F.lower(body), tx.SPACE), none) if PIECE in kinds else none
+    # told apart by position: no expression runs once per token before they are rows
+    listed = texts.select(*keys, words.alias("_w"), pieces.alias("_p")).select(
+        *keys, F.size("_w").alias("_words"), (F.size("_w") + F.size("_p")).alias("_all"),
+        F.posexplode(F.concat("_w", "_p", F.array(F.lit("")))).alias("_pos", "term"),
     )
+    kind = F.when(F.col("_pos") < F.col("_words"), WORD).when(F.col("_pos") < F.col("_all"), PIECE).otherwise(MARK)
+    return listed.select(*keys, kind.alias("kind"), "term").where((F.col("kind") != PIECE) | (F.col("term") != ""))
+
 
+def with_length(counted: DataFrame) -> DataFrame:
+    """Adds ``len``, the white-space pieces of a row, to counted terms placed by row."""
+    one_row = W.partitionBy("corpus", "row_id")
+    return counted.withColumn("len", F.sum(F.when(F.col("kind") == PIECE, F.col("tf")).otherwise(0)).over(one_row))
 
-def bags(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Rows placed by (corpus, block) and tokenised: ``corpus, block, row_id, len, bag``.
 
-    ``len`` counts white-space pieces. Every bag also holds one mark, so that each row is counted
-    and later meets each question; bags are unnested with ``inline_outer``, as the inner form makes
-    the optimiser tokenise a second time in a filter at the scan.
+def postings(rows: DataFrame, kinds: tuple[str, ...] = (WORD, PIECE)) -> DataFrame:
+    """Counted terms of rows(corpus, row_id, text): ``corpus, row_id, kind, term, tf, len``.
+
+    The text is shuffled once, by row; counting and lengths stay where the row is.
     """
-    mark = F.array(F.struct(F.lit(MARK).alias("kind"), F.lit("").alias("term"), F.lit(1).alias("tf")))
-    return (
-        rows.select("corpus", block_of(F.col("row_id"), block_rows).alias("block"), "row_id", "text")
-        .repartition("corpus", "block")
-        .select("corpus", "block", "row_id", F.concat(bag_of_terms(F.col("text")), mark).alias("bag"))
-        .withColumn(
-            "len",
-            F.aggregate("bag", F.lit(0), lambda acc, p: acc + F.when(p.kind == PIECE, p.tf).otherwise(0)),
-        )
-    )
+    placed = rows.select("corpus", "row_id", "text").repartition("corpus", "row_id")
+    counted = tokens(placed, ["corpus", "row_id"], "text", kinds).groupBy("corpus", "row_id", "kind", "term")
+    return with_length(counted.agg(F.count("*").alias("tf")))
 
 
 @dataclass
 class Statistics:
-    """Term statistics of all corpora, read from one written table."""
+    """What a corpus knows of its rows and terms, read from written tables."""
 
-    block_terms: DataFrame  # corpus, block, kind, term, df: df counts the whole corpus
-    terms: DataFrame        # corpus, kind, term, df
-    blocks: DataFrame       # corpus, block, n, avg_len
-    corpora: DataFrame      # corpus, n, avg_len, mean_idf
+    terms: DataFrame    # corpus, kind, term, df
+    corpora: DataFrame  # corpus, n, avg_len, mean_idf, blocks
 
 
-def statistics(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
-    """Count terms per block and per corpus, and write the result down.
-
-    A term's rows in the window below are its blocks, however many rows hold it.
-    """
-    counted = (
-        bags(rows, block_rows)
-        .select("corpus", "block", "len", F.inline_outer("bag"))
-        .groupBy("corpus", "block", "kind", "term")
-        .agg(F.count("*").alias("block_df"), F.sum("len").alias("len"))
-    )
-    one_term = W.partitionBy("corpus", "kind", "term")
-    table = materialize(
-        counted.withColumn("df", F.sum("block_df").over(one_term)).withColumn(
-            "first", F.row_number().over(one_term.orderBy("block")) == 1
-        ),
-        "terms",
-    )
+def statistics(counted: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
+    """Document frequencies and sizes of all corpora of written postings."""
     is_mark = F.col("kind") == MARK
-    per_block = table.where(is_mark).select("corpus", "block", F.col("df").alias("n"), "len")
-    # a mark's df is the number of rows of its corpus
-    sizes = per_block.groupBy("corpus").agg(F.max("n").alias("n"), F.sum("len").alias("len"))
-    sizes = sizes.select("corpus", "n", (F.col("len") / F.col("n")).alias("avg_len"))
-    block_terms = table.where(~is_mark).select("corpus", "block", "kind", "term", "df")
-    terms = table.where(~is_mark & F.col("first")).select("corpus", "kind", "term", "df")
-
+    terms = materialize(counted.where(~is_mark).groupBy("corpus", "kind", "term").agg(F.count("*").alias("df")), "terms")
+    sizes = counted.where(is_mark).groupBy("corpus").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
     # the vocabulary is reduced to "how many terms have this df" before it meets the corpus size
     spectrum = terms.where(F.col("kind") == PIECE).groupBy("corpus", "df").agg(F.count("*").alias("terms"))
     idf = spectrum.join(sizes, "corpus").select("corpus", "terms", bm25_idf(F.col("n"), F.col("df")).alias("idf"))
-    mean_idf = idf.groupBy("corpus").agg(
-        (F.sum(F.col("terms") * F.col("idf")) / F.sum("terms")).alias("mean_idf")
+    mean_idf = idf.groupBy("corpus").agg((F.sum(F.col("terms") * F.col("idf")) / F.sum("terms")).alias("mean_idf"))
+    corpora = sizes.join(mean_idf, "corpus", "left").select(
+        "corpus", "n", (F.col("len") / F.col("n")).alias("avg_len"),
+        F.coalesce("mean_idf", F.lit(0.0)).alias("mean_idf"), places(F.col("n"), block_rows).alias("blocks"),
     )
-    corpora = sizes.join(mean_idf, "corpus", "left").withColumn("mean_idf", F.coalesce("mean_idf", F.lit(0.0)))
-    # written down: small, used often, and without a placement by corpus that joins could fall back to
-    blocks = materialize(join_spread(per_block.select("corpus", "block"), sizes, ["corpus"], "block"), "blocks")
-    return Statistics(block_terms, terms, blocks, corpora)
+    return Statistics(terms, materialize(corpora, "corpora"))
 
 
 def tfidf_idf(n: Column, df: Column) -> Column:
@@ -128,25 +111,24 @@ def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def question_terms(stats: Statistics, questions: DataFrame) -> DataFrame:
-    """Terms of each question with their weights in its corpus, written down.
+def question_terms(stats: Statistics, questions: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Terms of each question with their weights in its corpus, and a mark per question, written down.
 
     The question counts as one more text for TF-IDF, so ``n`` and ``df`` grow by one there;
     BM25 knows the rows only and a negative idf becomes a quarter of the mean idf.
     """
     key = ["corpus", "kind", "term"]
-    asked = (
-        join_spread(questions, stats.corpora, ["corpus"], "qid")
-        .select("qid", "corpus", "n", "mean_idf", F.inline_outer(bag_of_terms(F.col("question"))))
-        .withColumnRenamed("tf", "qtf")
-    )
+    listed = tokens(questions, ["qid", "corpus"], "question", kinds).groupBy("qid", *key).agg(F.count("*").alias("qtf"))
+    many = questions.groupBy("corpus").agg(places(F.count("*"), GROUP_QUESTIONS).alias("groups"))
+    asked = listed.join(stats.corpora.join(many, "corpus"), "corpus")
     # each term is looked up once, however many questions ask for it
-    known = stats.terms.join(asked.select(key).distinct(), key)
-    asked = join_spread(asked, known, key, "qid", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    known = stats.terms.join(listed.select(key).distinct(), key)
+    asked = asked.join(known, key, "left").withColumn("df", F.coalesce("df", F.lit(0)))
     n, df = F.col("n"), F.col("df")
     raw = bm25_idf(n, df)
     weighted = asked.select(
-        "qid", "corpus", "kind", "term", "qtf", "df",
+        "qid", "corpus", "kind", "term", "qtf", "df", "n", "avg_len", "blocks", "groups",
+        place_of(F.col("qid"), F.col("groups")).alias("group"),
         tfidf_idf(n + 1, df + 1).alias("idf"),
         tfidf_idf(n + 1, df).alias("idf_rows"),
         F.when(raw < 0, F.col("mean_idf") * BM25_FLOOR).otherwise(raw).alias("idf_bm25"),
@@ -154,117 +136,118 @@ def question_terms(stats: Statistics, questions: DataFrame) -> DataFrame:
     return materialize(weighted, "asked")
 
 
-def block_weights(stats: Statistics, questions: DataFrame, asked: DataFrame) -> DataFrame:
-    """What one occurrence of a term adds to the scores, laid out by block.
+def row_lengths(counted: DataFrame, stats: Statistics) -> DataFrame:
+    """Every row with its squared length under TF-IDF, from the rows alone: ``corpus, row_id, alone``.
 
-    ``qid`` null: the term's share in the squared length of any row holding it, from the rows alone.
-    ``qid`` set: its share in the product with that question, the correction the question makes to the
-    squared length, and its BM25 idf; marks carry zeros, they pair each row with each question.
+    A frequent word has one line on the side of the terms, so its postings can be split between tasks.
     """
-    key = ["corpus", "kind", "term"]
-    is_word = F.col("kind") == WORD
-    zero = F.lit(0.0)
+    idf = stats.terms.where(F.col("kind") == WORD).join(stats.corpora.select("corpus", "n"), "corpus").select(
+        "corpus", "term", tfidf_idf(F.col("n") + 1, F.col("df")).alias("idf")
+    )
+    words = counted.where(F.col("kind") == WORD).join(idf, ["corpus", "term"])
+    return words.groupBy("corpus", "row_id").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("alone"))
 
-    def shaped(frame: DataFrame, qid: Column, product: Column, square: Column, bm25: Column) -> DataFrame:
-        return frame.select(
-            "corpus", "block", "kind", "term", qid.alias("qid"), "avg_len",
-            product.alias("w_product"), square.alias("w_square"), bm25.alias("w_bm25"),
-        )
 
-    in_blocks = stats.block_terms.join(stats.blocks, ["corpus", "block"])
-    alone = shaped(
-        in_blocks.where(is_word),
-        F.lit(None).cast(dict(asked.dtypes)["qid"]),
-        zero,
-        F.pow(tfidf_idf(F.col("n") + 1, F.col("df")), 2),
-        zero,
-    )
-    shared = shaped(
-        in_blocks.join(asked.where(F.col("df") > 0).drop("df"), key),
-        F.col("qid"),
-        F.when(is_word, F.col("qtf") * F.pow("idf", 2)).otherwise(zero),
-        F.when(is_word, F.pow("idf", 2) - F.pow("idf_rows", 2)).otherwise(zero),
-        F.when(is_word, zero).otherwise(F.col("qtf") * F.col("idf_bm25")),
+def products(counted: DataFrame, stats: Statistics, asked: DataFrame) -> DataFrame:
+    """Sums over common terms: ``corpus, row_id, qid, product, square, bm25``.
+
+    ``square`` is the correction the question makes to the squared length of the row.
+    """
+    terms = asked.where((F.col("kind") != MARK) & (F.col("df") > 0))
+    laid_out = terms.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    split = asked.select("corpus", "blocks", "groups").distinct()
+    spread = counted.where(F.col("kind") != MARK).join(split, "corpus").select(
+        "corpus", "row_id", "kind", "term", "tf", "len",
+        place_of(F.col("row_id"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"),
     )
-    marks = shaped(
-        join_spread(stats.blocks, questions.select("qid", "corpus"), ["corpus"], "block").select(
-            "*", F.lit(MARK).alias("kind"), F.lit("").alias("term")
-        ),
-        F.col("qid"), zero, zero, zero,
+    pairs = spread.join(laid_out.drop("blocks", "groups", "n"), ["corpus", "block", "group", "kind", "term"])
+    tf, is_word = F.col("tf"), F.col("kind") == WORD
+    saturation = tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
+    return pairs.groupBy("corpus", "row_id", "qid").agg(
+        F.sum(F.when(is_word, F.col("qtf") * tf * F.pow("idf", 2)).otherwise(0.0)).alias("product"),
+        F.sum(F.when(is_word, tf * tf * (F.pow("idf", 2) - F.pow("idf_rows", 2))).otherwise(0.0)).alias("square"),
+        F.sum(
+            F.when(~is_word, F.col("qtf") * F.col("idf_bm25") * tf * (BM25_K1 + 1) / saturation).otherwise(0.0)
+        ).alias("bm25"),
     )
-    return alone.unionByName(shared).unionByName(marks)
 
 
-def score_rows(
+def score_postings(
     questions: DataFrame,
-    rows: DataFrame,
+    counted: DataFrame,
     question_vectors: DataFrame | None = None,
     row_vectors: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
+    kinds: tuple[str, ...] = (WORD, PIECE),
 ) -> DataFrame:
-    """Scores of every row for every question of its corpus.
-
-    ``question_vectors(qid, vector)`` and ``row_vectors(corpus, row_id, vector)`` are optional;
-    without them, or where one is missing, the dense score is 0.
-    Out: ``corpus, block, row_id, qid, n, tfidf, bm25, dense``.
-    """
-    stats = statistics(rows, block_rows)
-    asked = question_terms(stats, questions)
-    weights = block_weights(stats, questions, asked)
-
-    tf = F.col("tf")
-    saturation = tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
-    sums = (
-        bags(rows, block_rows)
-        .select("corpus", "block", "row_id", "len", F.inline_outer("bag"))
-        .join(weights, ["corpus", "block", "kind", "term"])
-        .groupBy("corpus", "block", "row_id", "qid")
-        .agg(
-            F.sum(tf * F.col("w_product")).alias("product"),
-            F.sum(tf * tf * F.col("w_square")).alias("square"),
-            F.sum(
-                F.when(F.col("w_bm25") != 0, F.col("w_bm25") * tf * (BM25_K1 + 1) / saturation).otherwise(0.0)
-            ).alias("bm25"),
-        )
-    )
-    alone = F.max(F.when(F.col("qid").isNull(), F.col("square"))).over(W.partitionBy("corpus", "block", "row_id"))
-    pairs = sums.withColumn("alone", F.coalesce(alone, F.lit(0.0))).where(F.col("qid").isNotNull())
-
-    question_lengths = asked.where(F.col("kind") == WORD).groupBy("qid").agg(
+    """Scores from written postings, as ``score_rows``."""
+    stats = statistics(counted, block_rows)
+    asked = question_terms(stats, questions, kinds)
+    lengths = asked.where(F.col("kind") == WORD).groupBy("qid").agg(
         F.sum(F.pow(F.col("qtf") * F.col("idf"), 2)).alias("q_square")
     )
-    heads = questions.select("qid", "corpus").join(question_lengths, "qid", "left")
+    heads = asked.where(F.col("kind") == MARK).select("qid", "corpus", "n", "blocks", "groups", "group")
+    heads = heads.join(lengths, "qid", "left")
+    rows = counted.where(F.col("kind") == MARK).select("corpus", "row_id")
+    if WORD in kinds:
+        rows = rows.join(row_lengths(counted, stats), ["corpus", "row_id"], "left")
+    else:
+        rows = rows.withColumn("alone", F.lit(0.0))
     dense = F.lit(0.0)
     if question_vectors is not None and row_vectors is not None:
         heads = heads.join(
             question_vectors.select("qid", F.col("vector").alias("q_vector"), vx.norm(F.col("vector")).alias("q_norm")),
-            "qid",
-            "left",
+            "qid", "left",
         )
-        pairs = pairs.join(
+        rows = rows.join(
             row_vectors.select(
-                "corpus",
-                block_of(F.col("row_id"), block_rows).alias("block"),
-                "row_id",
-                F.col("vector").alias("r_vector"),
-                vx.norm(F.col("vector")).alias("r_norm"),
+                "corpus", "row_id", F.col("vector").alias("r_vector"), vx.norm(F.col("vector")).alias("r_norm")
             ),
-            ["corpus", "block", "row_id"],
-            "left",
+            ["corpus", "row_id"], "left",
         )
         dense = vx.cosine(vx.dot(F.col("q_vector"), F.col("r_vector")), F.col("q_norm"), F.col("r_norm"))
-
-    q_length = F.sqrt(F.coalesce("q_square", F.lit(0.0)))
-    r_length = F.sqrt(F.greatest(F.col("alone") + F.col("square"), F.lit(0.0)))
-    per_block = join_spread(stats.blocks, heads, ["corpus"], "block")
-    return pairs.join(per_block, ["corpus", "block", "qid"]).select(
+    split = asked.select("corpus", "blocks", "groups").distinct()
+    rows = rows.join(split, "corpus").withColumn("block", place_of(F.col("row_id"), F.col("blocks")))
+    rows = rows.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("blocks", "groups")
+    heads = heads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "groups")
+    # the vectors end here: what is shuffled per pair is a number
+    pairs = rows.join(heads, ["corpus", "block", "group"]).select(
+        "corpus", "block", "row_id", "qid", "n", "alone", "q_square", F.coalesce(dense, F.lit(0.0)).alias("dense")
+    )
+    zero = F.lit(0.0)
+    none = {c: F.coalesce(c, zero) for c in ("product", "square", "bm25", "alone", "q_square")}
+    q_length = F.sqrt(none["q_square"])
+    r_length = F.sqrt(F.greatest(none["alone"] + none["square"], zero))
+    if not kinds:
+        return pairs.select("corpus", "block", "row_id", "qid", "n", zero.alias("tfidf"), zero.alias("bm25"), "dense")
+    return pairs.join(products(counted, stats, asked), ["corpus", "row_id", "qid"], "left").select(
         "corpus", "block", "row_id", "qid", "n",
-        vx.cosine(F.col("product"), q_length, r_length).alias("tfidf"),
-        "bm25",
-        F.coalesce(dense, F.lit(0.0)).alias("dense"),
+        vx.cosine(none["product"], q_length, r_length).alias("tfidf"), none["bm25"].alias("bm25"), "dense",
     )
 
 
+def score_rows(
+    questions: DataFrame,
+    rows: DataFrame,
+    question_vectors: DataFrame | None = None,
+    row_vectors: DataFrame | None = None,
+    block_rows: int = BLOCK_ROWS,
+    signals: tuple[str, ...] = SIGNALS,
+) -> DataFrame:
+    """Scores of every row for every question of its corpus.
+
+    ``question_vectors(qid, vector)`` and ``row_vectors(corpus, row_id, vector)`` are optional; without them, or where
+    one is missing, the dense score is 0. Of ``signals``, those not asked for are 0 and cost nothing.
+    Out: ``corpus, block, row_id, qid, n, tfidf, bm25, dense``.
+    """
+    kinds = tuple(k for k, s in ((WORD, "tfidf"), (PIECE, "bm25")) if s in signals)
+    if "dense" not in signals:
+        question_vectors = row_vectors = None
+    counted = materialize(postings(rows, kinds), "postings")
+    return score_postings(questions, counted, question_vectors, row_vectors, block_rows, kinds)
+
+
 def softmax(scores: DataFrame, columns: list[str]) -> DataFrame:
     """Softmax of each score over all rows of a question, as ``<score>_p``.
 
@@ -311,34 +294,41 @@ def significant(value: Column, digits: int = SIGNIFICANT) -> Column:
     return F.when(value == 0, value).otherwise(F.round(value * scale) / scale)
 
 
+def positions(rows: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """Adds ``place``, the position of each row within its group from 0.
+
+    One global sort gives every row a position; a group's rows may span any number of partitions, and only
+    (group, partition) counts are combined to find where each run starts.
+    """
+    placed = materialize(
+        rows.orderBy(group, *order)
+        .withColumn("_position", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_position", 33))
+    )
+    runs = placed.groupBy(group, "_part").agg(F.min("_position").alias("_first"), F.count("*").alias("_size"))
+    earlier = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = runs.select(group, "_part", "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    return (
+        placed.join(starts, [group, "_part"])
+        .withColumn("place", F.col("_position") - F.col("_first") + F.col("_before"))
+        .drop("_position", "_part", "_first", "_before")
+    )
+
+
 def rank_rows(fused: DataFrame) -> DataFrame:
     """Add ``rnk``, the place of each row within its question, best first.
 
     Fusion is compared to the digits a double carries, relative to its size, so that the order of summation cannot
     decide between equal rows and no row that matches is lost among those that do not. Then the scores
     themselves decide, to 9 decimals in the order of their weights, and then the larger row id.
-    One global sort gives every row a position; a question's rows may span any number of
-    partitions, and only (question, partition) counts are combined to find where each run starts.
     """
     keyed = fused.withColumn("sort_key", significant(F.col("fusion")))
     scores = [F.desc(c) for c in ("tfidf_key", "bm25_key", "dense_key")]
     for c in ("tfidf", "bm25", "dense"):
         keyed = keyed.withColumn(f"{c}_key", F.round(c, 9) if c in fused.columns else F.lit(0.0))
-    placed = materialize(
-        keyed.orderBy("qid", F.desc("sort_key"), *scores, F.desc("row_id"))
-        .withColumn("position", F.monotonically_increasing_id())
-        .withColumn("part", F.shiftright("position", 33))
-    )
-    runs = placed.groupBy("qid", "part").agg(F.min("position").alias("first"), F.count("*").alias("size"))
-    earlier = W.partitionBy("qid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = runs.select("qid", "part", "first", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
-    # placed by the whole key, or the rows would be pulled together by question
-    starts = starts.repartition("qid", "part")
-    return (
-        placed.join(starts, ["qid", "part"])
-        .withColumn("rnk", F.col("position") - F.col("first") + F.col("before") + 1)
-        .drop("sort_key", "tfidf_key", "bm25_key", "dense_key", "position", "part", "first", "before")
-    )
+    order = [F.desc("sort_key"), *scores, F.desc("row_id")]
+    extra = ("sort_key", "tfidf_key", "bm25_key", "dense_key")
+    return positions(keyed, "qid", *order).withColumn("rnk", F.col("place") + 1).drop("place", *extra)
 
 
 def keep_top(ranked: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
@@ -347,6 +337,12 @@ def keep_top(ranked: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
     return ranked.where(F.col("rnk") <= keep)
 
 
+def rank_scores(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Fuse and rank scores: ``qid, row_id, tfidf, bm25, dense, fusion, n, rnk``."""
+    ranked = rank_rows(fuse(materialize(scores, "scores"), weights))
+    return ranked.select("qid", "row_id", "tfidf", "bm25", "dense", "fusion", "n", "rnk")
+
+
 def rank_table_rows(
     questions: DataFrame,
     rows: DataFrame,
@@ -356,6 +352,4 @@ def rank_table_rows(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Score, fuse and rank all rows: ``qid, row_id, tfidf, bm25, dense, fusion, n, rnk``."""
-    scores = materialize(score_rows(questions, rows, question_vectors, row_vectors, block_rows))
-    ranked = rank_rows(fuse(scores, weights))
-    return ranked.select("qid", "row_id", "tfidf", "bm25", "dense", "fusion", "n", "rnk")
+    return rank_scores(score_rows(questions, rows, question_vectors, row_vectors, block_rows), weights)

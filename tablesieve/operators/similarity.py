@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesieve.functions import vectors as vx
 from tablesieve.operators.votes import min_max
-from tablesieve.runtime import join_spread
 
 
 def description_text(col_name: Column, description: Column) -> Column:
@@ -20,7 +19,7 @@ def column_similarity(question_vectors: DataFrame, column_vectors: DataFrame) ->
     ``question_vectors(qid, table_id, vector)``, ``column_vectors(table_id, col_ord, col_name, vector)``.
     """
     asked = question_vectors.withColumnRenamed("vector", "q_vector")
-    pairs = join_spread(asked, column_vectors, ["table_id"], "qid")
+    pairs = asked.join(column_vectors, "table_id")
     product = vx.dot(F.col("q_vector"), F.col("vector"))
     raw = pairs.select(
         "qid", "col_ord", "col_name",

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablesieve.operators.columns import top_norm_columns
 from tablesieve.operators.linearize import ROWS_PER_PART, records
-from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, keep_top, rank_table_rows
+from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, keep_top, positions, rank_table_rows
 from tablesieve.plans.filter import kept_cells, row_text
-from tablesieve.runtime import join_spread
 from tablesieve.sources.cells import project
 
 
@@ -37,7 +36,7 @@ def rank_all_columns(
 def rows_only(questions: DataFrame, cells: DataFrame, ranked: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
     """Best rows, all columns: ``qid, rnk, pos, col_name, value``. ``ranked`` as from ``rank_all_columns``."""
     best = keep_top(ranked, ratio).select("qid", "row_id", "rnk")
-    placed = join_spread(best, questions.select("qid", "table_id"), ["qid"], "row_id")
+    placed = best.join(questions.select("qid", "table_id"), "qid")
     return cells.join(placed, ["table_id", "row_id"]).select(
         "qid", "rnk", F.col("col_ord").alias("pos"), "col_name", "value"
     )
@@ -48,14 +47,37 @@ def top_columns(questions: DataFrame, cells: DataFrame, scores: DataFrame, kept_
     return kept_cells(questions, cells, top_norm_columns(scores), kept_rows)
 
 
+def by_position(cells: DataFrame, order: str) -> DataFrame:
+    """Cells with ``place``, the position of their row in the question's own table, from 0."""
+    rows = cells.select("qid", order).distinct()
+    if order == "rnk":
+        places = rows.withColumn("place", F.col("rnk") - 1)
+    else:
+        places = positions(rows, "qid", order)
+    return cells.join(places, ["qid", order])
+
+
 def side_by_side(
-    columns_cells: DataFrame, rows_cells: DataFrame, top_cells: DataFrame, rows_per_part: int = ROWS_PER_PART
+    questions: DataFrame,
+    columns_cells: DataFrame,
+    rows_cells: DataFrame,
+    top_cells: DataFrame,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
-    """One record per question and part holding the three tables as JSON arrays."""
-    tables = [
-        records(columns_cells, ["qid"], "row_id", rows_per_part).withColumnRenamed("text", "column_filtered"),
-        records(rows_cells, ["qid"], "rnk", rows_per_part).withColumnRenamed("text", "row_filtered"),
-        records(top_cells, ["qid"], "rnk", rows_per_part).withColumnRenamed("text", "top_filtered"),
-    ]
-    first, second, third = tables
-    return first.join(second, ["qid", "part"], "full").join(third, ["qid", "part"], "full")
+    """Per question the three tables as JSON arrays, ``rows_per_part`` rows of each side by side.
+
+    ``questions(qid, question, answer)``. Rows are numbered by their position in their own table, so a part holds
+    the same stretch of all three; where a table has ended, its text is null. ``top_columns`` names the columns
+    that were chosen by score length.
+    """
+    names = F.sort_array(F.collect_set(F.struct("pos", "col_name")))
+    chosen = top_cells.select("qid", "pos", "col_name").distinct().groupBy("qid").agg(
+        F.transform(names, lambda c: c.col_name).alias("top_columns")
+    )
+    out = None
+    for cells, order, name in (
+        (columns_cells, "row_id", "column_filtered"), (rows_cells, "rnk", "row_filtered"), (top_cells, "rnk", "top_filtered"),
+    ):
+        table = records(by_position(cells, order), ["qid"], "place", rows_per_part).withColumnRenamed("text", name)
+        out = table if out is None else out.join(table, ["qid", "part"], "full")
+    return out.join(questions.select("qid", "question", "answer"), "qid").join(chosen, "qid", "left")

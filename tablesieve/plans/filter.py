@@ -8,8 +8,8 @@ from tablesieve.functions.text import joined, shown, space_tokens
 from tablesieve.operators.choose import choose_cluster
 from tablesieve.operators.clusters import cluster_columns
 from tablesieve.operators.columns import select_columns
-from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, keep_top, rank_table_rows
-from tablesieve.runtime import join_spread, materialize
+from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, keep_top, rank_scores, score_postings, tokens, with_length
+from tablesieve.runtime import materialize
 
 
 def filter_columns(scores: DataFrame, questions: DataFrame, essential: DataFrame | None = None) -> DataFrame:
@@ -39,6 +39,19 @@ def corpora(questions: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataF
     return keyed.drop("names"), listed
 
 
+def corpus_postings(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """Postings of the rows of each corpus, summed over its columns: ``corpus, row_id, kind, term, tf, len``.
+
+    A token never crosses the border of a cell, so every cell is tokenised once, however many corpora
+    read its column.
+    """
+    keys = ["table_id", "row_id", "col_name"]
+    texts = cells.select(*keys, shown(F.col("value")).alias("text")).repartition(*keys)
+    terms = tokens(texts, keys, "text").groupBy(*keys, "kind", "term").agg(F.count("*").alias("tf"))
+    wanted = materialize(terms, "cell-terms").join(columns, ["table_id", "col_name"]).repartition("corpus", "row_id")
+    return with_length(wanted.groupBy("corpus", "row_id", "kind", "term").agg(F.sum("tf").alias("tf")))
+
+
 def rank_filtered_rows(
     questions: DataFrame,
     cells: DataFrame,
@@ -53,15 +66,12 @@ def rank_filtered_rows(
     ``row_vectors(table_id, row_id, vector)``. Out: ``qid, row_id, tfidf, bm25, dense, fusion, n, rnk``.
     """
     asked, columns = corpora(questions, selected)
-    wanted = join_spread(cells, columns, ["table_id", "col_name"], "row_id")
-    rows = row_text(wanted, ["corpus", "row_id"])
+    counted = materialize(corpus_postings(cells, columns), "postings")
     if row_vectors is not None:
-        row_vectors = join_spread(
-            row_vectors, columns.select("corpus", "table_id").distinct(), ["table_id"], "row_id"
-        ).select("corpus", "row_id", "vector")
-    return rank_table_rows(
-        asked.select("qid", "corpus", "question"), rows, question_vectors, row_vectors, weights, block_rows
-    )
+        tables = columns.select("corpus", "table_id").distinct()
+        row_vectors = row_vectors.join(tables, "table_id").select("corpus", "row_id", "vector")
+    scores = score_postings(asked.select("qid", "corpus", "question"), counted, question_vectors, row_vectors, block_rows)
+    return rank_scores(scores, weights)
 
 
 def kept_cells(questions: DataFrame, cells: DataFrame, selected: DataFrame, kept_rows: DataFrame) -> DataFrame:
@@ -69,9 +79,9 @@ def kept_cells(questions: DataFrame, cells: DataFrame, selected: DataFrame, kept
 
     ``selected(qid, pos, col_name)``, ``kept_rows(qid, row_id, rnk)``.
     """
-    placed = join_spread(kept_rows.select("qid", "row_id", "rnk"), questions.select("qid", "table_id"), ["qid"], "row_id")
+    placed = kept_rows.select("qid", "row_id", "rnk").join(questions.select("qid", "table_id"), "qid")
     in_rows = cells.select("table_id", "row_id", "col_name", "value").join(placed, ["table_id", "row_id"])
-    return join_spread(in_rows, selected.select("qid", "pos", "col_name"), ["qid", "col_name"], "row_id").select(
+    return in_rows.join(selected.select("qid", "pos", "col_name"), ["qid", "col_name"]).select(
         "qid", "rnk", "pos", "col_name", "value"
     )
 

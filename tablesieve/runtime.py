@@ -1,4 +1,9 @@
-"""Session settings and the one way intermediate results are written down."""
+"""Session settings and the one way intermediate results are written down.
+
+Joins on a table or question id are plain joins: where one id holds a large share of the rows, adaptive execution splits its
+partition by measured size and repeats the small side for the splits alone. Nothing is salted or placed by hand, which would
+turn that off.
+"""
 
 from __future__ import annotations
 
@@ -19,8 +24,8 @@ SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # token and cluster work is heavy for its bytes: keep tasks apart that are small on disk
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    # rows are placed once by (corpus, block); joins on more columns may reuse that placement
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # a hot key is split between tasks even where that costs another shuffle afterwards
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -62,20 +67,3 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SALTS = 32
-
-
-def join_spread(big: DataFrame, small: DataFrame, on: list[str], spread_by: str, how: str = "inner") -> DataFrame:
-    """Join where one value of ``on`` may hold a large share of ``big``.
-
-    Rows of ``big`` with equal keys are spread over ``SALTS`` places by ``spread_by`` and ``small``
-    (questions, selected columns) is repeated for each of them. ``small`` is placed by the whole key,
-    as a placement it may already have by part of the key would pull ``big`` together again.
-    ``how`` is inner or left.
-    """
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = salted.repartition(*on, "_salt")
-    return big.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesieve.functions.text import cell_text
-from tablesieve.runtime import join_spread
 
 
 def cells_from_table(df: DataFrame, table_id: Column, row_id: Column, columns: list[str] | None = None) -> DataFrame:
@@ -26,7 +25,7 @@ def cells_from_table(df: DataFrame, table_id: Column, row_id: Column, columns: l
 
 def fetch_tables(questions: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells of each question's table, with ``qid``; a table may be asked by many questions."""
-    return join_spread(cells, questions.select("qid", "table_id"), ["table_id"], "row_id")
+    return cells.join(questions.select("qid", "table_id"), "table_id")
 
 
 def table_status(questions: DataFrame, cells: DataFrame) -> DataFrame:
@@ -46,4 +45,4 @@ def lookup(coordinates: DataFrame, cells: DataFrame) -> DataFrame:
 
 def project(cells: DataFrame, selected: DataFrame) -> DataFrame:
     """Cells of the selected columns: selected(qid, table_id, pos, col_name) gives ``qid, pos`` to each."""
-    return join_spread(cells, selected.select("qid", "table_id", "pos", "col_name"), ["table_id", "col_name"], "row_id")
+    return cells.join(selected.select("qid", "table_id", "pos", "col_name"), ["table_id", "col_name"])

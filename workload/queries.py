@@ -12,7 +12,7 @@ from tablesieve.operators import (
     choose, clusters as cl, columns as co, linearize as ln, profile as pr,
     responses as rs, rows as rw, similarity as si, votes as vo,
 )
-from tablesieve.plans import ablation as ab, evaluation as pe, filter as fl
+from tablesieve.plans import ablation as ab, evaluation as pe, filter as fl, records as pc
 from tablesieve.runtime import materialize, scratch_path, tune
 from tablesieve.sources import cells as sc, questions as sq, results as sr
 from workload import frames as fx, sql
@@ -175,9 +175,8 @@ EXAMPLES_SQL = f"""{fx.CELLS_SQL}, vc AS (SELECT table_id, col_ord, col_name, va
 
 @register("column_examples", f"WITH {EXAMPLES_SQL} SELECT *, col_name || ' (Examples: ' || examples || ')' AS block FROM ex")
 def column_examples(spark, sf):
-    cells = fx.all_cells(spark, sf)
-    listed = pr.column_examples(cells).withColumn("examples", F.array_join("examples", ", "))
-    return listed.join(pr.column_blocks(cells), ["table_id", "col_ord", "col_name"])
+    blocks = pr.column_blocks(fx.all_cells(spark, sf)).where(F.col("examples").isNotNull())
+    return blocks.withColumn("examples", F.array_join("examples", ", "))
 
 
 @register("column_descriptions", f"""WITH {EXAMPLES_SQL}, {fx.PART_QUESTIONS_SQL}
@@ -365,8 +364,8 @@ def doc_inputs(spark, sf):
     return fx.doc_questions(spark, sf), fx.doc_rows(spark, sf), fx.question_vectors(spark, sf), fx.doc_vectors(spark, sf)
 
 
-def doc_scores(spark, sf):
-    return rw.score_rows(*doc_inputs(spark, sf), block_rows=BLOCK)
+def doc_scores(spark, sf, signals=rw.SIGNALS):
+    return rw.score_rows(*doc_inputs(spark, sf), block_rows=BLOCK, signals=signals)
 
 
 RANKED_SQL = f"WITH {fx.DOC_SQL}, {sql.row_scores()}"
@@ -379,17 +378,17 @@ def row_text(spark, sf):
 
 @register("row_tfidf", f"{RANKED_SQL} SELECT qid, row_id, round(tfidf, 6) AS tfidf FROM scored")
 def row_tfidf(spark, sf):
-    return rounded(doc_scores(spark, sf).select("qid", "row_id", "tfidf"))
+    return rounded(doc_scores(spark, sf, ("tfidf",)).select("qid", "row_id", "tfidf"))
 
 
 @register("row_bm25", f"{RANKED_SQL} SELECT qid, row_id, round(bm25, 6) AS bm25 FROM scored")
 def row_bm25(spark, sf):
-    return rounded(doc_scores(spark, sf).select("qid", "row_id", "bm25"))
+    return rounded(doc_scores(spark, sf, ("bm25",)).select("qid", "row_id", "bm25"))
 
 
 @register("row_dense", f"{RANKED_SQL} SELECT qid, row_id, round(dense, 6) AS dense FROM scored")
 def row_dense(spark, sf):
-    return rounded(doc_scores(spark, sf).select("qid", "row_id", "dense"))
+    return rounded(doc_scores(spark, sf, ("dense",)).select("qid", "row_id", "dense"))
 
 
 @register("row_softmax", f"{RANKED_SQL} SELECT qid, row_id, round(tfidf_p, 6) AS tfidf_p, round(bm25_p, 6) AS bm25_p, round(dense_p, 6) AS dense_p FROM soft")
@@ -415,7 +414,7 @@ def text_cells(spark, sf):
     return fx.all_cells(spark, sf).withColumnRenamed("col_ord", "pos")
 
 
-RANK_PART = f"(rnk // {PER_PART}) + 1"
+PLACE_PART = f"(place // {PER_PART}) + 1"
 PART_NO = f"(row_id // {PER_PART}) + 1"
 
 
@@ -437,8 +436,9 @@ def linearize_rows(spark, sf):
 def linearize_header(spark, sf):
     cells = text_cells(spark, sf)
     tables = cells.select("table_id").distinct()
-    wanted = tables.unionByName(tables.select(F.lit("part-none").alias("table_id")).distinct())
-    return ln.or_no_table(ln.table_text(cells, ["table_id"], "row_id", ln.HEADER, PER_PART), wanted, ["table_id"])
+    lost = fx.table(spark, sf, "region").select(F.concat(F.lit("part-none"), F.lit("")).alias("table_id")).distinct()
+    text = ln.table_text(cells, ["table_id"], "row_id", ln.HEADER, PER_PART)
+    return ln.or_no_table(text, cells, tables.unionByName(lost), ["table_id"])
 
 
 @register("linearize_flat", text_sql(VALUE, "' | '", "''", "' '", True))
@@ -462,27 +462,6 @@ def records_pack(spark, sf):
     return ln.records(text_cells(spark, sf), ["table_id"], "row_id", PER_PART)
 
 
-TEMPLATE = ("### Table\n", "\n\n### Question\n", "\n\n### Column Descriptions\n")
-
-
-@register("context_text", f"""WITH {fx.PART_QUESTIONS_SQL}, {fx.PART_CELLS_SQL}, {fx.PART_COLUMNS_SQL},
-    lines AS (SELECT table_id, row_id, string_agg(col_name || ': ' || {VALUE}, '; ' ORDER BY col_ord) AS line FROM pc GROUP BY ALL),
-    parts AS (SELECT qid, {PART_NO} AS part, string_agg(line, ' | ' ORDER BY row_id) AS text FROM lines JOIN pq USING (table_id) GROUP BY qid, {PART_NO}),
-    d AS (SELECT qid, string_agg('- ' || col_name || ': about ' || col_name, chr(10) ORDER BY col_ord) AS listed FROM pcol GROUP BY qid)
-    SELECT qid, 0 AS part, '### Table' || chr(10) AS text FROM pq UNION ALL SELECT * FROM parts
-    UNION ALL SELECT qid, coalesce(max(part) + 1, 1), chr(10) || chr(10) || '### Question' || chr(10) || any_value(question)
-        || chr(10) || chr(10) || '### Column Descriptions' || chr(10) || any_value(listed)
-    FROM pq JOIN d USING (qid) LEFT JOIN parts USING (qid) GROUP BY qid""")
-def context_text(spark, sf):
-    asked = fx.part_questions(spark, sf)
-    cells = sc.fetch_tables(asked, fx.part_cells(spark, sf)).withColumnRenamed("col_ord", "pos")
-    parts = ln.table_text(cells, ["qid"], "row_id", ln.ROWS, PER_PART)
-    described = fx.part_columns(spark, sf).select(
-        "qid", F.col("col_ord").alias("pos"), "col_name", F.concat(F.lit("about "), "col_name").alias("description")
-    )
-    return ln.context_text(asked, parts, described, TEMPLATE)
-
-
 # -- responses and evaluation -------------------------------------------------------------------------------------------
 
 @register("answer_lists", f"WITH {fx.ANSWERS_SQL} SELECT qid, method, array_to_string(answers, '|') AS answers, answer_type FROM ans")
@@ -534,9 +513,12 @@ def part_scores(spark, sf):
     return si.column_scores(columns, vo.reliable_scores(filled), similar)
 
 
+def part_essential_columns(spark, sf):
+    return rs.essential_columns(fx.part_essential(spark, sf), fx.part_columns(spark, sf).drop("table_id"))
+
+
 def part_selected(spark, sf):
-    essential = rs.essential_columns(fx.part_essential(spark, sf), fx.part_columns(spark, sf).drop("table_id"))
-    return materialize(fl.filter_columns(part_scores(spark, sf), fx.part_questions(spark, sf), essential))
+    return materialize(fl.filter_columns(part_scores(spark, sf), fx.part_questions(spark, sf), part_essential_columns(spark, sf)))
 
 
 def part_ranked(spark, sf, selected):
@@ -547,9 +529,8 @@ def part_ranked(spark, sf, selected):
 
 
 def part_filtered(spark, sf):
-    essential = rs.essential_columns(fx.part_essential(spark, sf), fx.part_columns(spark, sf).drop("table_id"))
     return fl.filter_tables(
-        fx.part_questions(spark, sf), fx.part_cells(spark, sf), part_scores(spark, sf), essential,
+        fx.part_questions(spark, sf), fx.part_cells(spark, sf), part_scores(spark, sf), part_essential_columns(spark, sf),
         fx.part_question_vectors(spark, sf).drop("table_id"), fx.part_row_vectors(spark, sf), block_rows=BLOCK,
     )
 
@@ -578,6 +559,26 @@ def filter_text(spark, sf):
     return ln.table_text(part_filtered(spark, sf), ["qid"], "rnk", ln.ROWS, PER_PART)
 
 
+TEMPLATE = ("Given this table:\n", "\n\nAnswer from it: ", "\n\nIts columns mean:\n")
+
+
+@register("context_text", f"""WITH {FILTERED_SQL}, tlines AS (SELECT qid, rnk, string_agg(col_name || ': ' || {VALUE}, '; ' ORDER BY pos) AS line FROM kc GROUP BY ALL),
+    tparts AS (SELECT qid, (rnk // {PER_PART}) + 1 AS part, string_agg(line, ' | ' ORDER BY rnk) AS text FROM tlines GROUP BY ALL),
+    dlist AS (SELECT qid, string_agg('- ' || col_name || ': about ' || col_name, chr(10) ORDER BY col_ord) AS listed FROM pcol GROUP BY qid)
+    SELECT qid, 0 AS part, 'Given this table:' || chr(10) AS text FROM pq UNION ALL SELECT * FROM tparts
+    UNION ALL SELECT qid, coalesce(max(tparts.part) + 1, 1), chr(10) || chr(10) || 'Answer from it: ' || any_value(question)
+        || chr(10) || chr(10) || 'Its columns mean:' || chr(10) || any_value(listed)
+    FROM pq JOIN dlist USING (qid) LEFT JOIN tparts USING (qid) GROUP BY qid""")
+def context_text(spark, sf):
+    """The reduced table of each question with the question and the descriptions around it."""
+    asked = fx.part_questions(spark, sf)
+    parts = materialize(ln.table_text(part_filtered(spark, sf), ["qid"], "rnk", ln.ROWS, PER_PART))
+    described = fx.part_columns(spark, sf).select(
+        "qid", F.col("col_ord").alias("pos"), "col_name", F.concat(F.lit("about "), "col_name").alias("description")
+    )
+    return ln.context_text(asked, parts, described, TEMPLATE)
+
+
 TOKENS = f"len(list_filter(regexp_split_to_array(lower({VALUE}), '{sql.SPACE}'), lambda x: x <> ''))"
 
 
@@ -623,18 +624,81 @@ PACK_SQL = f"""WITH {FILTERED_SQL},
     oc AS (SELECT sel.qid, pc.row_id, sel.pos, sel.col_name, pc.value FROM sel JOIN pq USING (qid) JOIN pc USING (table_id, col_name)),
     tk AS (WITH {TOP_SQL.format(points='cs')} SELECT k.qid, k.rnk, tc.pos, tc.col_name, pc.value FROM ranked k JOIN pq ON pq.qid = k.qid
            JOIN tc ON tc.qid = k.qid JOIN pc ON pc.table_id = pq.table_id AND pc.row_id = k.row_id AND pc.col_name = tc.col_name WHERE {sql.KEEP}),
-    a AS {records_sql('oc', 'qid', 'row_id', 'pos', PART_NO)},
-    b AS {records_sql('ro', 'qid', 'rnk', 'pos', RANK_PART)},
-    d AS {records_sql('tk', 'qid', 'rnk', 'pos', RANK_PART)}
-    SELECT qid, part, a.text AS column_filtered, b.text AS row_filtered, d.text AS top_filtered
-    FROM a FULL JOIN b USING (qid, part) FULL JOIN d USING (qid, part)"""
+    ocp AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY row_id) - 1 AS place FROM oc),
+    rop AS (SELECT *, rnk - 1 AS place FROM ro), tkp AS (SELECT *, rnk - 1 AS place FROM tk),
+    a AS {records_sql('ocp', 'qid', 'place', 'pos', PLACE_PART)},
+    b AS {records_sql('rop', 'qid', 'place', 'pos', PLACE_PART)},
+    d AS {records_sql('tkp', 'qid', 'place', 'pos', PLACE_PART)},
+    names AS (SELECT qid, string_agg(col_name, ',' ORDER BY pos) AS top_columns FROM (SELECT DISTINCT qid, pos, col_name FROM tk) GROUP BY qid)
+    SELECT qid, part, a.text AS column_filtered, b.text AS row_filtered, d.text AS top_filtered, question, 'answer ' || qid AS answer, top_columns
+    FROM a FULL JOIN b USING (qid, part) FULL JOIN d USING (qid, part) JOIN pq USING (qid) LEFT JOIN names USING (qid)"""
 
 
 @register("ablation_pack", PACK_SQL)
 def ablation_pack(spark, sf):
     """Three reduced tables side by side: columns only, rows only, columns by score length."""
-    asked, cells = fx.part_questions(spark, sf), fx.part_cells(spark, sf)
-    selected = part_selected(spark, sf)
-    kept = rw.keep_top(part_ranked(spark, sf, selected))
-    top = ab.top_columns(asked, cells, part_scores(spark, sf), kept)
-    return ab.side_by_side(ab.columns_only(asked, cells, selected), part_rows_only(spark, sf), top, PER_PART)
+    asked, cells = materialize(fx.part_questions(spark, sf)), materialize(fx.part_cells(spark, sf))
+    scores = materialize(part_scores(spark, sf))
+    selected = materialize(fl.filter_columns(scores, asked, part_essential_columns(spark, sf)))
+    kept = materialize(rw.keep_top(part_ranked(spark, sf, selected)))
+    top = materialize(ab.top_columns(asked, cells, scores, kept))
+    answered = asked.withColumn("answer", F.concat(F.lit("answer "), F.col("qid").cast("string")))
+    packed = ab.side_by_side(
+        answered, materialize(ab.columns_only(asked, cells, selected)), materialize(part_rows_only(spark, sf)), top, PER_PART
+    )
+    return packed.withColumn("top_columns", F.array_join("top_columns", ","))
+
+
+# -- what a run knows of each question ------------------------------------------------------------------------------------
+
+MIXED_SQL = f"""{fx.PART_ALL_SQL}, {sql.PART_SCORES},
+    mq AS (SELECT qid, CASE WHEN qid % 7 = 0 THEN 'lost-' || qid ELSE table_id END AS table_id, question FROM pq),
+    ms AS (SELECT * FROM cs WHERE qid % 5 <> 0 AND (qid % 3 <> 0 OR col_ord < 2))"""
+
+
+def mixed_inputs(spark, sf):
+    """Questions of which some ask a lost table, some have no scores and some have two columns."""
+    asked = fx.part_questions(spark, sf)
+    lost = F.concat(F.lit("lost-"), F.col("qid").cast("string"))
+    asked = asked.withColumn("table_id", F.when(F.col("qid") % 7 == 0, lost).otherwise(F.col("table_id")))
+    scores = part_scores(spark, sf).where((F.col("qid") % 5 != 0) & ((F.col("qid") % 3 != 0) | (F.col("col_ord") < 2)))
+    return asked, scores
+
+
+@register("question_status", f"""WITH {MIXED_SQL}, z AS (SELECT mq.qid, CASE WHEN mq.table_id NOT IN (SELECT table_id FROM pc) THEN 'no_table'
+      WHEN k IS NULL THEN 'no_scores' WHEN k < 3 THEN 'few_points' ELSE 'ok' END AS reason
+      FROM mq LEFT JOIN (SELECT qid, count(DISTINCT (round(llm, 12), round(sim, 12))) AS k FROM ms GROUP BY qid) USING (qid))
+    SELECT qid, CASE WHEN reason IN ('ok', 'few_points') THEN 'ok' ELSE 'failed' END AS status, reason FROM z""")
+def question_status(spark, sf):
+    """Every question asked, with what became of it."""
+    asked, scores = mixed_inputs(spark, sf)
+    return pc.question_status(asked, fx.part_cells(spark, sf), scores)
+
+
+@register("question_record", f"""WITH {MIXED_SQL}, {sql.kmeans('ms')}, {sql.cluster_choice('mq')}, {sql.selection('pe')},
+    z AS (SELECT qid, string_agg(col_name || ':' || cluster_id, ',' ORDER BY col_ord) AS columns FROM cl GROUP BY qid),
+    s AS (SELECT qid, string_agg(col_name, ',' ORDER BY pos) AS kept FROM sel GROUP BY qid)
+    SELECT mq.qid, mq.table_id, CASE WHEN mq.table_id NOT IN (SELECT table_id FROM pc) THEN 'failed' WHEN z.qid IS NULL THEN 'failed' ELSE 'ok' END AS status,
+           columns, selected, round(mcdm_score, 4) AS mcdm_score, kept, 'number' AS answer_type, 'number=0.9,person=0.1' AS type_scores
+    FROM mq LEFT JOIN z USING (qid) LEFT JOIN vote USING (qid) LEFT JOIN s USING (qid)""")
+def question_record(spark, sf):
+    """Records of a whole run written as JSON lines and read back."""
+    asked, scores = mixed_inputs(spark, sf)
+    scores = materialize(scores)
+    clusters = materialize(cl.cluster_columns(scores))
+    vote = choose.choose_cluster(clusters, asked)
+    selected = co.select_columns(clusters, vote, part_essential_columns(spark, sf))
+    types = rs.answer_types(asked.select("qid", F.lit('{"number": 0.9, "person": 0.1}').alias("text"))).drop("text")
+    status = pc.question_status(asked, fx.part_cells(spark, sf), scores)
+    records = pc.question_records(asked, status, clusters, vote, selected, types)
+    path = scratch_path(spark, "records")
+    sr.append_results(records, path)
+    back = sr.read_results(spark, path, records.schema)
+    pairs = F.transform("columns", lambda c: F.concat_ws(":", c.col_name, c.cluster_id.cast("string")))
+    scored = F.transform(F.map_entries("type_scores"), lambda e: F.concat_ws("=", e.key, e.value.cast("string")))
+    return sr.round_scores(
+        back.select(
+            "qid", "table_id", "status", F.array_join(pairs, ",").alias("columns"), "vote.selected", "vote.mcdm_score",
+            F.array_join("kept", ",").alias("kept"), "answer_type", F.array_join(scored, ",").alias("type_scores"),
+        )
+    )

@@ -75,6 +75,7 @@ cl AS MATERIALIZED (SELECT qid, col_ord, col_name, llm, sim, k - 1 AS cluster_id
         FROM {points} p JOIN cend USING (qid)))"""
 
 
+# Fixed values in the next body: the keywords, weights and bounds of the question features.
 def cluster_choice(q: str) -> str:
     """CTEs over ``cl`` and ``q(qid, question)`` ending in ``scores`` (per cluster) and ``vote`` (per question)."""
     return rf"""

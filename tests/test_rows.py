@@ -123,3 +123,51 @@ def test_rank_over_many_partitions_equals_a_window(spark):
 def test_share_of_rows_kept(spark, n, kept):
     ranked = spark.range(1, n + 1).select(F.lit(1).alias("qid"), F.col("id").alias("rnk"), F.lit(n).alias("n"))
     assert rw.keep_top(ranked).count() == kept
+
+
+def test_scores_do_not_depend_on_the_spacing_of_ids(spark):
+    def scored(factor):
+        questions, rows = frames(spark)
+        rows = rows.withColumn("row_id", F.col("row_id") * factor)
+        found = rw.score_rows(questions, rows, block_rows=2)
+        blocks = found.select("block").distinct().count()
+        return blocks, sorted((r.qid, r.row_id // factor, round(r.tfidf, 9), round(r.bm25, 9)) for r in found.collect())
+
+    (blocks, dense), (sparse_blocks, sparse) = scored(1), scored(1_000_003)
+    assert dense == sparse and 1 < blocks <= 3 and 1 < sparse_blocks <= 3
+
+
+def sizes(frame):
+    return [n for (n,) in frame.groupBy(F.spark_partition_id()).count().select("count").collect()]
+
+
+def test_a_table_asked_by_many_questions_is_spread(spark, monkeypatch):
+    """Pairs of rows and questions, and products over a word they all share, meet in many places."""
+    monkeypatch.setattr(rw, "GROUP_QUESTIONS", 64)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                                            "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = spark.range(100).select(F.lit("t").alias("corpus"), F.col("id").alias("row_id"), F.concat(F.lit("common word "), F.col("id").cast("string")).alias("text"))
+        asked = spark.range(1000).select(F.col("id").alias("qid"), F.lit("t").alias("corpus"), F.concat(F.lit("common "), F.col("id").cast("string")).alias("question"))
+        found = sizes(rw.score_rows(asked, rows, block_rows=20))
+        assert sum(found) == 100_000 and len(found) >= 16 and max(found) < 20_000
+        counted = materialize(rw.postings(rows))
+        stats = rw.statistics(counted, 20)
+        terms = rw.question_terms(stats, asked, (rw.WORD, rw.PIECE))
+        products = rw.products(counted, stats, terms)
+        assert products.count() >= 100_000 and max(sizes(products)) < 20_000
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
+def test_signals_not_asked_for_are_zero(spark):
+    alone = {(r.qid, r.row_id): r for r in rw.score_rows(*frames(spark), signals=("bm25",)).collect()}
+    full = {(r.qid, r.row_id): r for r in rw.score_rows(*frames(spark)).collect()}
+    assert alone.keys() == full.keys()
+    for key, r in full.items():
+        assert alone[key].tfidf == 0 and alone[key].bm25 == pytest.approx(r.bm25, abs=1e-12)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesieve.llm import bpe, jaccard, language, neighbours, packing, quality, records, sharding, token_counts, toxicity
+from tablesieve.llm import bpe, jaccard, language, neighbours, packing, quality, records, sharding, sql, token_counts, toxicity
 from tablesieve.llm.arrow import prepared
 from tablesieve.runtime import scratch_path
 
@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@register("op1_sharding")
+@register("op1_sharding", sql.sharding(SHARDS, sharding.SEED, sharding.ROW_BYTES))
 def op1(spark, sf):
     """All documents in 40 shards of the same mixture of sources."""
     placed = sharding.shard(table(spark, sf, "documents"), SHARDS)
@@ -95,7 +95,7 @@ def op7(spark, sf):
     )
 
 
-@register("op8_ngram_jaccard")
+@register("op8_ngram_jaccard", sql.near_duplicates(jaccard.SHINGLE, jaccard.PERCENT))
 def op8(spark, sf):
     """Near-duplicate class of every document."""
     return jaccard.near_duplicates(table(spark, sf, "documents"))

@@ -48,22 +48,25 @@ def place_of(member: Column, count: Column) -> Column:
 
 
 def tokens(texts: DataFrame, keys: list[str], text: str, kinds: tuple[str, ...] = (WORD, PIECE)) -> DataFrame:
-    """All tokens of each text: ``keys..., kind, term``, and one mark per text."""
+    """All tokens of each text, ``keys..., len, kind, term``, and one mark per text; ``len`` counts its pieces."""
     body = F.col(text)
     none = F.array().cast("array<string>")
     words = F.coalesce(tx.word_tokens(body), none) if WORD in kinds else none
     pieces = F.coalesce(F.split(F.lower(body), tx.SPACE), none) if PIECE in kinds else none
     # told apart by position: no expression runs once per token before they are rows
+    # a split at runs of white space has empty pieces at its ends only
+    ends = F.get("_p", F.lit(0)).eqNullSafe("").cast("int") + F.get("_p", F.size("_p") - 1).eqNullSafe("").cast("int")
     listed = texts.select(*keys, words.alias("_w"), pieces.alias("_p")).select(
-        *keys, F.size("_w").alias("_words"), (F.size("_w") + F.size("_p")).alias("_all"),
+        *keys, F.greatest(F.lit(0), F.size("_p") - ends).cast("long").alias("len"),
+        F.size("_w").alias("_words"), (F.size("_w") + F.size("_p")).alias("_all"),
         F.posexplode(F.concat("_w", "_p", F.array(F.lit("")))).alias("_pos", "term"),
     )
     kind = F.when(F.col("_pos") < F.col("_words"), WORD).when(F.col("_pos") < F.col("_all"), PIECE).otherwise(MARK)
-    return listed.select(*keys, kind.alias("kind"), "term").where((F.col("kind") != PIECE) | (F.col("term") != ""))
+    return listed.select(*keys, "len", kind.alias("kind"), "term").where((F.col("kind") != PIECE) | (F.col("term") != ""))
 
 
 def with_length(counted: DataFrame) -> DataFrame:
-    """Adds ``len``, the white-space pieces of a row, to counted terms placed by row."""
+    """Adds ``len``, the white-space pieces of a row, to counted terms placed by row that come from several texts."""
     one_row = W.partitionBy("corpus", "row_id")
     return counted.withColumn("len", F.sum(F.when(F.col("kind") == PIECE, F.col("tf")).otherwise(0)).over(one_row))
 
@@ -74,8 +77,8 @@ def postings(rows: DataFrame, kinds: tuple[str, ...] = (WORD, PIECE)) -> DataFra
     The text is shuffled once, by row; counting and lengths stay where the row is.
     """
     placed = rows.select("corpus", "row_id", "text").repartition("corpus", "row_id")
-    counted = tokens(placed, ["corpus", "row_id"], "text", kinds).groupBy("corpus", "row_id", "kind", "term")
-    return with_length(counted.agg(F.count("*").alias("tf")))
+    counted = tokens(placed, ["corpus", "row_id"], "text", kinds).groupBy("corpus", "row_id", "kind", "term", "len")
+    return counted.agg(F.count("*").alias("tf"))
 
 
 @dataclass

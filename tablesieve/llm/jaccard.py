@@ -1,16 +1,16 @@
 """Exact Jaccard self-join of documents on word shingles, by a token-group matrix.
 
-Documents with equal shingle sets are one set. Sets are partitioned into groups of similar ones: min-hash keys
-propose, for every set, the leader of the sets that have the key too, exact verification decides, and linked sets
-are a group. The token-group matrix then holds which groups have which token; a token of one group alone cannot link
-groups and is dropped. A set is a query to the other groups. A link needs an overlap of 4/9 of both sizes, so it
-needs a common token among the first fifth of each set in any order that all sets share; tokens found often in a
-sample come last in it. From the tokens a query shares with the members of a group, and their positions, follows a bound
-of the overlap; only the groups and members whose bound is large enough are opened, that is compared in full.
-
-Similar sets are in one group before the matrix is built, so a large group of near copies is one
-column of it, and no pairs within a group are made. Leaving out pairs within a group loses nothing: its sets are
-connected already.
+Documents with equal shingle sets are one set. Sets are partitioned into groups of similar ones: sets with a common
+min-hash key are compared, in blocks of bounded size, and those connected by links are a group. The token-group
+matrix then holds which groups have which token; a token of one group alone cannot link groups and is dropped. A set
+is a query to the other groups. A link needs an overlap of 4/9 of both sizes, so it needs a common token among the
+first fifth of each set in any order that all sets share; tokens found often in a sample come last in it. From the
+tokens a query shares with the members of a group, and their positions, follows a bound of the overlap; only groups
+and members whose bound is large enough go on. They are bounded once more by sketches of the whole sets, and what still
+qualifies is opened, that is compared in full.
+
+Similar sets are in one group before the matrix is built, so a large group of near copies is one column of it, and no
+pairs within a group are made. Leaving those out loses nothing: the sets of a group are connected already.
 """
 
 from __future__ import annotations
@@ -149,6 +149,47 @@ def frequent_tokens(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names[order], found[order]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The set by 16 bits of each token, sorted: sets have at most as many tokens in common as their sketches."""
+    return np.sort(tokens.astype("<u2")).tobytes()
+
+
+def counted_once(packed: bytes) -> np.ndarray:
+    """Distinct numbers for the values of a sketch: equal values are told apart by how often they came before."""
+    values = np.frombuffer(packed, "<u2").astype(np.int64)
+    return (values << 32) + np.arange(len(values)) - np.searchsorted(values, values)
+
+
+def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler, schema = Shingler(), pa.schema([("set_id", pa.int64()), ("sketch", pa.binary())])
+    for rows in batches:
+        out = []
+        for name, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            tokens = shingler.tokens(text)
+            if set_id(tokens) == name:  # else another row of the same hash
+                out.append((name, sketch(tokens)))
+        yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)] or [[], []])
+
+
+def open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by hub and block, the hub's own sketch first; gives the members whose bound allows a link."""
+    place, hub, out = None, None, []
+    for rows in batches:
+        for name, block, other, member, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if (name, block) != place:
+                place, hub = (name, block), None
+            if not other:
+                hub = counted_once(packed)
+            elif hub is not None:
+                there = counted_once(packed)
+                bound = len(np.intersect1d(hub, there, assume_unique=True))
+                if 100 * bound >= PERCENT * (len(hub) + len(there) - bound):
+                    out.append((name, member))
+        if out:
+            yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
+            out = []
+
+
 def linked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by hub and block, the hub's own text first; gives the sets of the block that link to the hub."""
     shingler, place, hub, out = Shingler(), None, None, []
@@ -162,46 +203,107 @@ def linked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if not other:
                 hub = tokens
             elif hub is not None:
-                common = len(np.intersect1d(hub, tokens, assume_unique=True))
-                if 100 * common >= PERCENT * (len(hub) + len(tokens) - common):
+                if link(hub, tokens):
                     out.append((name, member))
         if out:
             yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
             out = []
 
 
-def linked(pairs: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
-    """The pairs(a, b) of set names that link, compared in full.
+def by_hub(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """``a, block, other, member, value`` of written pairs(a, b), placed by hub ``a`` and block, the hub first.
 
-    Sets to compare with the same hub ``a`` are dealt out in blocks; hubs and members bring one text each.
+    Sets to compare with the same hub are dealt out in blocks. ``sets(set_id, value)`` has one row per set.
     """
-    pairs = materialize(pairs, "pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where(F.col("blocks") > 1)
     block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1)))
     placed = pairs.join(many, "a", "left").select("a", "b", block.alias("block"))
-    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    sources = first_rows.join(wanted, "set_id")
-    # one text per set, also where a row is there twice
-    found = texts.join(sources, "row").groupBy("set_id").agg(F.min("text").alias("text"))
-    found = materialize(found, "set-texts")
-    hubs = placed.select("a", "block").distinct().join(found.withColumnRenamed("set_id", "a"), "a")
-    members = placed.join(found.withColumnRenamed("set_id", "b"), "b")
-    rows = hubs.select("a", "block", F.lit(0).alias("other"), F.col("a").alias("member"), "text").unionByName(
-        members.select("a", "block", F.lit(1).alias("other"), F.col("b").alias("member"), "text")
+    hubs = placed.select("a", "block").distinct().join(sets.withColumnRenamed("set_id", "a"), "a")
+    members = placed.join(sets.withColumnRenamed("set_id", "b"), "b")
+    rows = hubs.select("a", "block", F.lit(0).alias("other"), F.col("a").alias("member"), value).unionByName(
+        members.select("a", "block", F.lit(1).alias("other"), F.col("b").alias("member"), value)
     )
-    ordered = rows.repartition("a", "block").sortWithinPartitions("a", "block", "other")
-    return ordered.mapInArrow(linked_batches, "a long, b long")
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "other")
+
+
+def both_sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+
+
+def linked(pairs: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """The pairs(a, b) of set names that link: bounded by the sets' sketches first, then compared in full."""
+    pairs = materialize(pairs, "pairs")
+    sources = texts.join(first_rows.join(both_sides(pairs), "set_id"), "row").select("set_id", "text")
+    sketches = sources.mapInArrow(sketch_batches, "set_id long, sketch binary").groupBy("set_id")
+    sketches = materialize(sketches.agg(F.min("sketch").alias("sketch")), "sketches")
+    opened = by_hub(pairs, sketches, "sketch").mapInArrow(open_batches, "a long, b long")
+    opened = materialize(opened, "opened")
+    found = set_texts(both_sides(opened), texts, first_rows)
+    return by_hub(opened, found, "text").mapInArrow(linked_batches, "a long, b long")
+
 
+def link(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of tokens link."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
-def proposed(sets: DataFrame) -> DataFrame:
-    """Pairs (leader, set) of sets with a common key and sizes that allow a link."""
-    keys = sets.where(F.col("keys").isNotNull()).select("set_id", "n_shingles", F.explode("keys").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("last")).where("a <> last")
-    sizes = keys.select(F.col("set_id").alias("a"), "key", F.col("n_shingles").alias("n_a")).distinct()
-    leaders = leaders.join(sizes, ["a", "key"]).select("key", "a", "n_a")
-    smaller, larger = F.least("n_a", "n_shingles"), F.greatest("n_a", "n_shingles")
-    pairs = keys.join(leaders, "key").where((F.col("set_id") != F.col("a")) & (100 * smaller >= PERCENT * larger))
-    return pairs.select("a", F.col("set_id").alias("b")).distinct()
+
+def grouped_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by key and block; gives (set, least set of its group) for the sets of a block that links connect.
+
+    A set is compared with the members of a group until it links to one, so a group of similar sets costs few
+    comparisons for each of them.
+    """
+    shingler, place, groups, out = Shingler(), None, [], []
+
+    def close() -> None:
+        for group in groups:
+            least = min(name for name, _ in group)
+            out.extend((name, least) for name, _ in group if name != least)
+
+    for rows in batches:
+        for key, block, name, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if (key, block) != place:
+                close()
+                place, groups = (key, block), []
+            tokens = shingler.tokens(text)
+            if set_id(tokens) != name or any(name == other for g in groups for other, _ in g):
+                continue
+            met, rest = [(name, tokens)], []
+            for group in groups:
+                if any(link(tokens, there) for _, there in group):
+                    met += group
+                else:
+                    rest.append(group)
+            groups = [met, *rest]
+        if out:
+            yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
+            out.clear()
+    close()
+    if out:
+        yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
+
+
+def grouped(sets: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """Links among sets with a common key, found in blocks of ``BLOCK`` sets; the least set of a key is in all its blocks."""
+    keys = sets.where(F.col("keys").isNotNull()).select("set_id", F.explode("keys").alias("key")).distinct()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("least")).where(F.col("n") > 1)
+    sizes = sizes.select("key", "least", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    placed = keys.join(sizes, "key").select("key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), "set_id")
+    split = sizes.where(F.col("blocks") > 1)
+    shown = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "least")
+    placed = materialize(placed.unionByName(shown.withColumnRenamed("least", "set_id")).distinct(), "keyed")
+    found = set_texts(placed.select("set_id").distinct(), texts, first_rows)
+    ordered = placed.join(found, "set_id").select("key", "block", "set_id", "text").repartition("key", "block")
+    return ordered.sortWithinPartitions("key", "block", "set_id").mapInArrow(grouped_batches, "a long, b long")
+
+
+def set_texts(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """``set_id, text`` of the wanted sets: one text per set, also where a row is there twice."""
+    sources = first_rows.join(wanted, "set_id")
+    return materialize(texts.join(sources, "row").groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
 
 
 def qualifying(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -236,7 +338,7 @@ def set_roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
     first_rows = materialize(
         sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("row").alias("row")), "set-rows"
     )
-    groups = components(linked(proposed(sets), texts, first_rows))
+    groups = components(grouped(sets, texts, first_rows))
     links = linked(qualifying(sets, groups), texts, first_rows)
     # links between groups are contracted to their roots
     for side in "ab":
@@ -249,6 +351,23 @@ def set_roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return known.join(joined, "root", "left").select("set_id", F.coalesce("last", "root").alias("root"))
 
 
+def classed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``row, doc_id, n_shingles, set_id, root`` of every row; rows without shingles have neither set nor root."""
+    spark = arrow.prepared(docs.sparkSession)
+    texts = identified(docs, key, text)
+    frequent = spark.sparkContext.broadcast(frequent_tokens(texts.select("text")))
+    sets = materialize(texts.mapInArrow(lambda it: set_batches(it, frequent), SETS), "sets")
+    roots = materialize(set_roots(sets, texts.select("row", "text")), "set-roots")
+    members = sets.select("row", "doc_id", "n_shingles", "set_id")
+    # a set's rows may be a large share of all: the side with one row per set stays small beside them
+    return members.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    key_, text_ = docs[key].cast("long"), docs[text].cast("string").cast("binary")
+    return docs.select(F.xxhash64(key_, text_).alias("row"), key_.alias("doc_id"), text_.alias("text"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's class under links of Jaccard ``PERCENT`` / 100 or more: ``doc_id, n_shingles, component_id``.
 
@@ -260,27 +379,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of any length are read; a text is held by one task at a time. An empty table gives an empty one. Only key and text
     are read.
     """
-    spark = arrow.prepared(docs.sparkSession)
-    key_, text_ = docs[key].cast("long"), docs[text].cast("string").cast("binary")
-    texts = docs.select(F.xxhash64(key_, text_).alias("row"), key_.alias("doc_id"), text_.alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(texts.select("text")))
-    sets = materialize(texts.mapInArrow(lambda it: set_batches(it, frequent), SETS), "sets")
-    roots = materialize(set_roots(sets, texts.select("row", "text")), "set-roots")
-    members = sets.select("doc_id", "n_shingles", "set_id")
-    lowest = members.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    rooted = lowest.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    rooted = materialize(rooted, "rooted")
-    classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(classes, "root").select("set_id", "component_id")
-    # a set's rows may be a large share of all: the side with one row per set stays small beside them
-    return members.join(named, "set_id", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    members = materialize(classed(docs, key, text), "members")
+    classes = members.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return members.join(classes, "root", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: the rows of ``docs`` whose key is the smallest of its class."""
-    classes = near_duplicates(docs, key, text)
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs[key].cast("long") == first["_first"], "left_semi")
+    """One document of each class, that of the smallest key, with all its columns; documents without shingles all stay.
+
+    A class without keys keeps one of its rows. Rows that repeat key and text are one document.
+    """
+    members = materialize(classed(docs, key, text), "members")
+    classes = F.coalesce("root", "row").alias("class")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = members.groupBy(classes).agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row")).distinct()
+    row = F.xxhash64(docs[key].cast("long"), docs[text].cast("string").cast("binary"))
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    named = docs.withColumn(name, row).join(first.withColumnRenamed("_row", name), name, "left_semi")
+    return named.dropDuplicates([name]).select(*docs.columns)

@@ -233,12 +233,12 @@ def both_sides(pairs: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
     """The pairs(a, b) of set names that link: bounded by the sets' sketches first, then compared in full."""
     pairs = materialize(pairs, "pairs")
-    sources = texts.join(first_rows.join(both_sides(pairs), "set_id"), "row").select("set_id", "text")
+    sources = located(both_sides(pairs), texts, first_rows, many=True)
     sketches = sources.mapInArrow(sketch_batches, "set_id long, sketch binary").groupBy("set_id")
     sketches = materialize(sketches.agg(F.min("sketch").alias("sketch")), "sketches")
     opened = by_hub(pairs, sketches, "sketch").mapInArrow(open_batches, "a long, b long")
     opened = materialize(opened, "opened")
-    found = set_texts(both_sides(opened), texts, first_rows)
+    found = set_texts(both_sides(opened), texts, first_rows, many=False)
     return by_hub(opened, found, "text").mapInArrow(linked_batches, "a long, b long")
 
 
@@ -295,15 +295,25 @@ def grouped(sets: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFra
     split = sizes.where(F.col("blocks") > 1)
     shown = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "least")
     placed = materialize(placed.unionByName(shown.withColumnRenamed("least", "set_id")).distinct(), "keyed")
-    found = set_texts(placed.select("set_id").distinct(), texts, first_rows)
+    found = set_texts(placed.select("set_id").distinct(), texts, first_rows, many=True)
     ordered = placed.join(found, "set_id").select("key", "block", "set_id", "text").repartition("key", "block")
     return ordered.sortWithinPartitions("key", "block", "set_id").mapInArrow(grouped_batches, "a long, b long")
 
 
-def set_texts(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
-    """``set_id, text`` of the wanted sets: one text per set, also where a row is there twice."""
-    sources = first_rows.join(wanted, "set_id")
-    return materialize(texts.join(sources, "row").groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
+def located(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame, many: bool) -> DataFrame:
+    """``set_id, text`` of the wanted sets, from one row of each; a row that is there twice comes twice.
+
+    Where the wanted sets are a share of the corpus (``many``), the join is dealt out at every size: a switch to a
+    broadcast would make the work of small tables say nothing about that of large ones.
+    """
+    sources = materialize(first_rows.join(wanted, "set_id").select("set_id", "row"), "sources")
+    return texts.join(sources.hint("shuffle_hash") if many else sources, "row").select("set_id", "text")
+
+
+def set_texts(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame, many: bool) -> DataFrame:
+    """One text for each of the wanted sets, written down."""
+    found = located(wanted, texts, first_rows, many)
+    return materialize(found.groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
 
 
 def qualifying(sets: DataFrame, groups: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesieve.llm import bpe, jaccard, language, neighbours, packing, quality, records, sharding, sql, token_counts, toxicity
+from tablesieve.llm import (
+    bpe, divergence, jaccard, language, merkle, neighbours, packing, quality, records, sharding, sql, token_counts, toxicity,
+)
 from tablesieve.llm.arrow import prepared
 from tablesieve.runtime import scratch_path
 
@@ -113,3 +115,16 @@ def op9(spark, sf):
 def op10(spark, sf):
     """Every document encoded and decoded."""
     return bpe.roundtrip(table(spark, sf, "documents"), WORD_BPE)
+
+
+@register("op11_merkle_manifest", sql.merkle(levels=12, top_levels=5))
+def op11(spark, sf):
+    """Leaf, subroot, root, proof and folded root of every document."""
+    return merkle.verify(table(spark, sf, "documents"))
+
+
+@register("op13_source_divergence", sql.divergence(
+    divergence.LEAST_DOCUMENTS, divergence.SCALE, divergence.ADDED, divergence.REPORTED_TERMS))
+def op13(spark, sf):
+    """Distances between the sources of every language, and their marked terms."""
+    return divergence.audit(table(spark, sf, "documents"))

@@ -49,3 +49,69 @@ def near_duplicates(width: int, percent: int) -> str:
     e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
     r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)"""
+
+
+def merkle(levels: int, top_levels: int) -> str:
+    """All leaves, proofs and folded roots of trees of at most 8^levels leaves and 8^top_levels languages."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(**changed: str) -> str:
+        parts = [changed.get(f, f) for f in fields]
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({p}::VARCHAR)::VARCHAR || ':' || {p}::VARCHAR, '-')" for p in parts) + "))"
+
+    lower = "CASE WHEN tampers THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    steps = [
+        f"d AS (SELECT *, coalesce('l' || lang, '-') AS tree, coalesce({crc32('doc_id::VARCHAR')} % 3 = 0, false) AS tampers FROM documents, crc_table)",
+        f"""b0 AS MATERIALIZED (SELECT tree, doc_id, {leaf()} AS leaf, {leaf(text=f"({lower})")} AS folded, '' AS proof,
+            row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, {leaf()}) - 1 AS pos FROM d)""",
+        "n0 AS MATERIALIZED (SELECT tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM b0)",
+    ]
+
+    def grow(level: int, name: str) -> None:
+        """Runs of a level, the nodes above it, and every leaf's proof and folded digest one level up."""
+        i, j = f"{name}{level}", f"{name}{level + 1}"
+        rows, above = ("b", "c")[name == "t"], f"{('b', 'c')[name == 't']}{level + 1}"
+        own = f"(b.pos % 8)::INTEGER"
+        left, right = f"array_to_string(r.hs[1:{own}], '')", f"array_to_string(r.hs[{own} + 2:], '')"
+        steps.extend([
+            f"r{i} AS MATERIALIZED (SELECT tree, pos // 8 AS pos, n, list(h ORDER BY pos) AS hs FROM {i} GROUP BY tree, pos // 8, n)",
+            f"{j} AS MATERIALIZED (SELECT tree, pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 7) // 8 AS n FROM r{i})",
+            f"""{above} AS MATERIALIZED (SELECT b.* EXCLUDE (folded, proof, pos), b.pos // 8 AS pos,
+                CASE WHEN r.n = 1 THEN b.folded ELSE sha256(concat({left}, b.folded, {right})) END AS folded, concat(b.proof, {left}, {right}) AS proof
+                FROM {rows}{level} b JOIN r{i} r ON r.tree = b.tree AND r.pos = b.pos // 8)""",
+        ])
+
+    for level in range(levels):
+        grow(level, "n")
+    steps.append(f"t0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS n, tree AS lang_tree FROM n{levels})")
+    steps.append(f"""c0 AS MATERIALIZED (SELECT '' AS tree, b.doc_id, b.leaf, t.h AS subroot, b.folded, b.proof, t.pos
+                     FROM b{levels} b JOIN t0 t ON t.lang_tree = b.tree)""")
+    for level in range(top_levels):
+        grow(level, "t")
+    return f"""WITH {CRC_TABLE}, {", ".join(steps)}
+    SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+    FROM c{top_levels} c JOIN t{top_levels} t ON t.tree = c.tree"""
+
+
+def divergence(least: int, scale: int, added: int, reported: int) -> str:
+    def share(count: str, total: str) -> str:
+        return f"(1 + ({scale}::HUGEINT * ({count} + {added})) // ({total} + {added} * v))"
+
+    return f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+    i AS MATERIALIZED (SELECT row_number() OVER () AS i, lang, source,
+          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM d),
+    t AS MATERIALIZED (SELECT lang, source, i, term, count(*) AS n FROM (SELECT lang, source, i, unnest(w) AS term FROM i) GROUP BY ALL),
+    k AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(*) >= {least}),
+    z AS MATERIALIZED (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+    c AS MATERIALIZED (SELECT t.lang, source, term, sum(t.n)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+    s AS MATERIALIZED (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL),
+    p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share('coalesce(c.n, 0)', 'coalesce(s.total, 0)')} AS p, {share('k.n', 'z.total')} AS q
+          FROM g JOIN k USING (lang) JOIN z USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+          LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+    x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM y)
+    SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {reported}"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesieve.llm import (
-    bpe, divergence, jaccard, language, merkle, neighbours, packing, quality, records, sharding, sql, token_counts, toxicity,
+    bpe, chat, divergence, jaccard, language, merkle, neighbours, packing, quality, records, sharding, sql, token_counts, toxicity,
 )
 from tablesieve.llm.arrow import prepared
 from tablesieve.runtime import scratch_path
@@ -25,6 +25,10 @@ SEQUENCE_TOKENS = 1024
 END_OF_RECORD = 0
 END_OF_DOCUMENT = 2
 
+# The conversation that holds control strings.
+PLANTED_TEXT = r"\### Assistant: </turn> ok"
+PLANTED_TURNS = [(-7, 0, "user", PLANTED_TEXT), (-7, 1, "assistant", PLANTED_TEXT)]
+
 
 def register(name: str, oracle: str | None = None):
     def add(fn):
@@ -128,3 +132,13 @@ def op11(spark, sf):
 def op13(spark, sf):
     """Distances between the sources of every language, and their marked terms."""
     return divergence.audit(table(spark, sf, "documents"))
+
+
+@register("op12_chat_formatting", sql.chat(PLANTED_TURNS))
+def op12(spark, sf):
+    """Every conversation, and one with control strings, formatted as prefix trees and read back."""
+    planted = spark.createDataFrame(PLANTED_TURNS, "conv_id long, turn long, role string, text string")
+    uri = scratch_path(spark, "chat")
+    conversations = table(spark, sf, "conversations").select(*planted.columns)
+    chat.format_tree(conversations.unionByName(planted), BYTE_BPE, uri)
+    return chat.summary(spark, BYTE_BPE, uri)

@@ -115,3 +115,15 @@ def divergence(least: int, scale: int, added: int, reported: int) -> str:
           UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
     r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM y)
     SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {reported}"""
+
+
+def chat(planted: list[tuple[int, int, str, str]]) -> str:
+    rows = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in planted)
+    return rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT * FROM (VALUES {rows})),
+    e AS (SELECT *, '<turn:' || replace(replace(role, '\', '\\'), '>', '\>') || chr(62) || chr(10)
+          || replace(replace(replace(text, '\', '\\'), '<turn:', '\<turn:'), '</turn>', '\</turn>') || '</turn>' || chr(10) AS formatted FROM c),
+    o AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+          sum(length(formatted))::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM o"""

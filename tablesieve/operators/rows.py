@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesieve.functions import text as tx, vectors as vx
+from tablesieve.operators.selection import positions, select_best
 from tablesieve.runtime import materialize
 
 BLOCK_ROWS = 10_000
@@ -89,11 +90,8 @@ class Statistics:
     corpora: DataFrame  # corpus, n, avg_len, mean_idf, blocks
 
 
-def statistics(counted: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
-    """Document frequencies and sizes of all corpora of written postings."""
-    is_mark = F.col("kind") == MARK
-    terms = materialize(counted.where(~is_mark).groupBy("corpus", "kind", "term").agg(F.count("*").alias("df")), "terms")
-    sizes = counted.where(is_mark).groupBy("corpus").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
+def corpus_statistics(terms: DataFrame, sizes: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
+    """From written terms(corpus, kind, term, df) and sizes(corpus, n, len); the sizes are written down here."""
     # the vocabulary is reduced to "how many terms have this df" before it meets the corpus size
     spectrum = terms.where(F.col("kind") == PIECE).groupBy("corpus", "df").agg(F.count("*").alias("terms"))
     idf = spectrum.join(sizes, "corpus").select("corpus", "terms", bm25_idf(F.col("n"), F.col("df")).alias("idf"))
@@ -105,6 +103,14 @@ def statistics(counted: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
     return Statistics(terms, materialize(corpora, "corpora"))
 
 
+def statistics(counted: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:
+    """Document frequencies and sizes of all corpora of written postings."""
+    is_mark = F.col("kind") == MARK
+    terms = materialize(counted.where(~is_mark).groupBy("corpus", "kind", "term").agg(F.count("*").alias("df")), "terms")
+    sizes = counted.where(is_mark).groupBy("corpus").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
+    return corpus_statistics(terms, sizes, block_rows)
+
+
 def tfidf_idf(n: Column, df: Column) -> Column:
     """Smoothed idf over ``n`` texts."""
     return F.log((n + 1) / (df + 1)) + 1
@@ -187,16 +193,29 @@ def score_postings(
     """Scores from written postings, as ``score_rows``."""
     stats = statistics(counted, block_rows)
     asked = question_terms(stats, questions, kinds)
-    lengths = asked.where(F.col("kind") == WORD).groupBy("qid").agg(
-        F.sum(F.pow(F.col("qtf") * F.col("idf"), 2)).alias("q_square")
-    )
-    heads = asked.where(F.col("kind") == MARK).select("qid", "corpus", "n", "blocks", "groups", "group")
-    heads = heads.join(lengths, "qid", "left")
     rows = counted.where(F.col("kind") == MARK).select("corpus", "row_id")
     if WORD in kinds:
         rows = rows.join(row_lengths(counted, stats), ["corpus", "row_id"], "left")
     else:
         rows = rows.withColumn("alone", F.lit(0.0))
+    return pair_scores(asked, rows, counted, stats, question_vectors, row_vectors, kinds)
+
+
+def pair_scores(
+    asked: DataFrame,
+    rows: DataFrame,
+    counted: DataFrame,
+    stats: Statistics,
+    question_vectors: DataFrame | None = None,
+    row_vectors: DataFrame | None = None,
+    kinds: tuple[str, ...] = (WORD, PIECE),
+) -> DataFrame:
+    """Scores of all pairs, as ``score_rows``, from the questions' written terms, rows(corpus, row_id, alone) and postings."""
+    lengths = asked.where(F.col("kind") == WORD).groupBy("qid").agg(
+        F.sum(F.pow(F.col("qtf") * F.col("idf"), 2)).alias("q_square")
+    )
+    heads = asked.where(F.col("kind") == MARK).select("qid", "corpus", "n", "blocks", "groups", "group")
+    heads = heads.join(lengths, "qid", "left")
     dense = F.lit(0.0)
     if question_vectors is not None and row_vectors is not None:
         heads = heads.join(
@@ -251,30 +270,42 @@ def score_rows(
     return score_postings(questions, counted, question_vectors, row_vectors, block_rows, kinds)
 
 
+# Scores are summed by the stretch of this width that they lie in, so that no power of e leaves the range of a double.
+STRETCH = 16
+
+
+def softmax_totals(scores: DataFrame, columns: list[str]) -> DataFrame:
+    """``qid, <score>_top, <score>_sum``: greatest score, and the sum of e^(score - greatest), from one pass.
+
+    A sum is kept per stretch of scores, relative to where the stretch begins. Such sums can be added up in any order and
+    before any shuffle, and no greatest score need be known for it; a question has as many of them as its scores have
+    stretches. Where it is known, the sums are scaled to it.
+    """
+    stretch = {c: F.floor(F.col(c) / F.lit(STRETCH)).alias(f"_{c}") for c in columns}
+    start = {c: F.col(f"_{c}").cast("double") * F.lit(STRETCH) for c in columns}
+    placed = scores.select("qid", *columns, *stretch.values())
+    parts = placed.groupBy("qid", *[f"_{c}" for c in columns]).agg(
+        *[F.max(c).alias(f"{c}_top") for c in columns], *[F.sum(F.exp(F.col(c) - start[c])).alias(f"{c}_part") for c in columns]
+    )
+    question = W.partitionBy("qid")
+    topped = parts.select(
+        "qid", *[f"_{c}" for c in columns], *[f"{c}_part" for c in columns], *[F.max(f"{c}_top").over(question).alias(f"{c}_top") for c in columns]
+    )
+    return topped.groupBy("qid").agg(
+        *[F.max(f"{c}_top").alias(f"{c}_top") for c in columns],
+        *[F.sum(F.col(f"{c}_part") * F.exp(start[c] - F.col(f"{c}_top"))).alias(f"{c}_sum") for c in columns],
+    )
+
+
 def softmax(scores: DataFrame, columns: list[str]) -> DataFrame:
     """Softmax of each score over all rows of a question, as ``<score>_p``.
 
-    Maximum and total are pre-aggregated per (corpus, block) before they are combined per question,
-    and go back to the rows by block, so no question's rows meet in one task. ``scores`` is read
-    three times: pass a materialised frame.
+    Greatest scores and sums come from one pass and are written down, one row per question; a second pass divides. ``scores``
+    is read twice: pass a materialised frame.
     """
-    key = ["corpus", "block", "qid"]
-
-    def per_question(parts: DataFrame, combine) -> DataFrame:
-        names = [c for c in parts.columns if c not in key]
-        totals = parts.groupBy("qid").agg(*[combine(c).alias(c) for c in names])
-        # placed by the whole key, or the rows would be pulled together by question
-        return parts.select(key).join(totals, "qid").repartition(*key)
-
-    tops = scores.groupBy(key).agg(*[F.max(c).alias(f"{c}_top") for c in columns])
-    raised = scores.join(per_question(tops, F.max), key)
-    for c in columns:
-        raised = raised.withColumn(f"{c}_e", F.exp(F.col(c) - F.col(f"{c}_top")))
-    sums = raised.groupBy(key).agg(*[F.sum(f"{c}_e").alias(f"{c}_sum") for c in columns])
-    spread = raised.join(per_question(sums, F.sum), key)
-    return spread.select(
-        *scores.columns, *[(F.col(f"{c}_e") / F.col(f"{c}_sum")).alias(f"{c}_p") for c in columns]
-    )
+    totals = materialize(softmax_totals(scores, columns), "totals")
+    parts = [(F.exp(F.col(c) - F.col(f"{c}_top")) / F.col(f"{c}_sum")).alias(f"{c}_p") for c in columns]
+    return scores.join(totals, "qid").select(*scores.columns, *parts)
 
 
 def fuse(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -297,55 +328,68 @@ def significant(value: Column, digits: int = SIGNIFICANT) -> Column:
     return F.when(value == 0, value).otherwise(F.round(value * scale) / scale)
 
 
-def positions(rows: DataFrame, group: str, *order: Column | str) -> DataFrame:
-    """Adds ``place``, the position of each row within its group from 0.
-
-    One global sort gives every row a position; a group's rows may span any number of partitions, and only
-    (group, partition) counts are combined to find where each run starts.
-    """
-    placed = materialize(
-        rows.orderBy(group, *order)
-        .withColumn("_position", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_position", 33))
-    )
-    runs = placed.groupBy(group, "_part").agg(F.min("_position").alias("_first"), F.count("*").alias("_size"))
-    earlier = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = runs.select(group, "_part", "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    return (
-        placed.join(starts, [group, "_part"])
-        .withColumn("place", F.col("_position") - F.col("_first") + F.col("_before"))
-        .drop("_position", "_part", "_first", "_before")
-    )
+SORT_KEYS = ("sort_key", "tfidf_key", "bm25_key", "dense_key")
 
 
-def rank_rows(fused: DataFrame) -> DataFrame:
-    """Add ``rnk``, the place of each row within its question, best first.
+def with_sort_keys(fused: DataFrame) -> DataFrame:
+    """Adds what rows are ranked by, greatest first, before the row id.
 
     Fusion is compared to the digits a double carries, relative to its size, so that the order of summation cannot
     decide between equal rows and no row that matches is lost among those that do not. Then the scores
     themselves decide, to 9 decimals in the order of their weights, and then the larger row id.
     """
     keyed = fused.withColumn("sort_key", significant(F.col("fusion")))
-    scores = [F.desc(c) for c in ("tfidf_key", "bm25_key", "dense_key")]
     for c in ("tfidf", "bm25", "dense"):
         keyed = keyed.withColumn(f"{c}_key", F.round(c, 9) if c in fused.columns else F.lit(0.0))
-    order = [F.desc("sort_key"), *scores, F.desc("row_id")]
-    extra = ("sort_key", "tfidf_key", "bm25_key", "dense_key")
-    return positions(keyed, "qid", *order).withColumn("rnk", F.col("place") + 1).drop("place", *extra)
+    return keyed
+
+
+def rank_rows(fused: DataFrame) -> DataFrame:
+    """Add ``rnk``, the place of each row within its question, best first."""
+    order = [F.desc(c) for c in (*SORT_KEYS, "row_id")]
+    ranked = positions(with_sort_keys(fused), "qid", *order)
+    return ranked.withColumn("rnk", F.col("place") + 1).drop("place", *SORT_KEYS)
+
+
+def kept_count(n: Column, ratio: float) -> Column:
+    """How many of ``n`` rows are kept: the ratio, rounded up, at least one."""
+    return F.greatest(F.lit(1), F.ceil(n * F.lit(float(ratio))))
 
 
 def keep_top(ranked: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
-    """The best ``ratio`` of each question's rows, rounded up, at least one."""
-    keep = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(ratio))))
-    return ranked.where(F.col("rnk") <= keep)
+    """The best ``ratio`` of each question's ranked rows."""
+    return ranked.where(F.col("rnk") <= kept_count(F.col("n"), ratio))
 
 
 def rank_scores(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Fuse and rank scores: ``qid, row_id, tfidf, bm25, dense, fusion, n, rnk``."""
+    """Fuse and rank all scores: ``qid, row_id, tfidf, bm25, dense, fusion, n, rnk``."""
     ranked = rank_rows(fuse(materialize(scores, "scores"), weights))
     return ranked.select("qid", "row_id", "tfidf", "bm25", "dense", "fusion", "n", "rnk")
 
 
+def top_scores(scores: DataFrame, weights: dict[str, float] | None = None, ratio: float = KEEP_RATIO) -> DataFrame:
+    """Fuse scores and rank the best ``ratio`` of each question's rows; the others are never sorted.
+
+    Out as ``rank_scores``, and the same rows and ranks as ``keep_top`` of it.
+    """
+    keyed = with_sort_keys(fuse(materialize(scores, "scores"), weights))
+    best = select_best(keyed, "qid", [*SORT_KEYS, "row_id"], lambda size: kept_count(size, ratio))
+    return best.select("qid", "row_id", "tfidf", "bm25", "dense", "fusion", "n", (F.col("place") + 1).alias("rnk"))
+
+
+def top_table_rows(
+    questions: DataFrame,
+    rows: DataFrame,
+    question_vectors: DataFrame | None = None,
+    row_vectors: DataFrame | None = None,
+    weights: dict[str, float] | None = None,
+    block_rows: int = BLOCK_ROWS,
+    ratio: float = KEEP_RATIO,
+) -> DataFrame:
+    """Score and fuse all rows, and rank the best ``ratio``, as ``top_scores``."""
+    return top_scores(score_rows(questions, rows, question_vectors, row_vectors, block_rows), weights, ratio)
+
+
 def rank_table_rows(
     questions: DataFrame,
     rows: DataFrame,

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablesieve.operators.columns import top_norm_columns
 from tablesieve.operators.linearize import ROWS_PER_PART, records
-from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, keep_top, positions, rank_table_rows
+from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, top_table_rows
+from tablesieve.operators.selection import positions
 from tablesieve.plans.filter import kept_cells, row_text
 from tablesieve.sources.cells import project
 
@@ -17,26 +18,26 @@ def columns_only(questions: DataFrame, cells: DataFrame, selected: DataFrame) ->
     return project(cells, wanted).select("qid", "row_id", "pos", "col_name", "value")
 
 
-def rank_all_columns(
+def top_all_columns(
     questions: DataFrame,
     cells: DataFrame,
     question_vectors: DataFrame | None = None,
     row_vectors: DataFrame | None = None,
     weights: dict[str, float] | None = None,
     block_rows: int = BLOCK_ROWS,
+    ratio: float = KEEP_RATIO,
 ) -> DataFrame:
-    """Rows ranked on all columns; all questions of a table share its statistics."""
+    """The best rows on all columns, ranked; all questions of a table share its statistics."""
     rows = row_text(cells, ["table_id", "row_id"], "col_ord").withColumnRenamed("table_id", "corpus")
     asked = questions.select("qid", F.col("table_id").alias("corpus"), "question")
     if row_vectors is not None:
         row_vectors = row_vectors.withColumnRenamed("table_id", "corpus")
-    return rank_table_rows(asked, rows, question_vectors, row_vectors, weights, block_rows)
+    return top_table_rows(asked, rows, question_vectors, row_vectors, weights, block_rows, ratio)
 
 
-def rows_only(questions: DataFrame, cells: DataFrame, ranked: DataFrame, ratio: float = KEEP_RATIO) -> DataFrame:
-    """Best rows, all columns: ``qid, rnk, pos, col_name, value``. ``ranked`` as from ``rank_all_columns``."""
-    best = keep_top(ranked, ratio).select("qid", "row_id", "rnk")
-    placed = best.join(questions.select("qid", "table_id"), "qid")
+def rows_only(questions: DataFrame, cells: DataFrame, best: DataFrame) -> DataFrame:
+    """Best rows, all columns: ``qid, rnk, pos, col_name, value``. ``best`` as from ``top_all_columns``."""
+    placed = best.select("qid", "row_id", "rnk").join(questions.select("qid", "table_id"), "qid")
     return cells.join(placed, ["table_id", "row_id"]).select(
         "qid", "rnk", F.col("col_ord").alias("pos"), "col_name", "value"
     )

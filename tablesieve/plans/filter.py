@@ -8,7 +8,7 @@ from tablesieve.functions.text import joined, shown, space_tokens
 from tablesieve.operators.choose import choose_cluster
 from tablesieve.operators.clusters import cluster_columns
 from tablesieve.operators.columns import select_columns
-from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, keep_top, rank_scores, score_postings, tokens, with_length
+from tablesieve.operators.rows import BLOCK_ROWS, KEEP_RATIO, rank_scores, score_postings, tokens, top_scores, with_length
 from tablesieve.runtime import materialize
 
 
@@ -52,26 +52,51 @@ def corpus_postings(cells: DataFrame, columns: DataFrame) -> DataFrame:
     return with_length(wanted.groupBy("corpus", "row_id", "kind", "term").agg(F.sum("tf").alias("tf")))
 
 
-def rank_filtered_rows(
+def score_filtered_rows(
     questions: DataFrame,
     cells: DataFrame,
     selected: DataFrame,
     question_vectors: DataFrame | None = None,
     row_vectors: DataFrame | None = None,
-    weights: dict[str, float] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Rank the rows of each question's table on the selected columns alone.
+    """Scores of the rows of each question's table on the selected columns alone, as ``score_rows``.
 
-    ``row_vectors(table_id, row_id, vector)``. Out: ``qid, row_id, tfidf, bm25, dense, fusion, n, rnk``.
+    ``row_vectors(table_id, row_id, vector)``.
     """
     asked, columns = corpora(questions, selected)
     counted = materialize(corpus_postings(cells, columns), "postings")
     if row_vectors is not None:
         tables = columns.select("corpus", "table_id").distinct()
         row_vectors = row_vectors.join(tables, "table_id").select("corpus", "row_id", "vector")
-    scores = score_postings(asked.select("qid", "corpus", "question"), counted, question_vectors, row_vectors, block_rows)
-    return rank_scores(scores, weights)
+    return score_postings(asked.select("qid", "corpus", "question"), counted, question_vectors, row_vectors, block_rows)
+
+
+def rank_filtered_rows(
+    questions: DataFrame,
+    cells: DataFrame,
+    selected: DataFrame,
+    question_vectors: DataFrame | None = None,
+    row_vectors: DataFrame | None = None,
+    weights: dict[str, float] | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """All rows of each question ranked on the selected columns: ``qid, row_id, tfidf, bm25, dense, fusion, n, rnk``."""
+    return rank_scores(score_filtered_rows(questions, cells, selected, question_vectors, row_vectors, block_rows), weights)
+
+
+def top_filtered_rows(
+    questions: DataFrame,
+    cells: DataFrame,
+    selected: DataFrame,
+    question_vectors: DataFrame | None = None,
+    row_vectors: DataFrame | None = None,
+    weights: dict[str, float] | None = None,
+    block_rows: int = BLOCK_ROWS,
+    ratio: float = KEEP_RATIO,
+) -> DataFrame:
+    """The best ``ratio`` of ``rank_filtered_rows``, without sorting the others."""
+    return top_scores(score_filtered_rows(questions, cells, selected, question_vectors, row_vectors, block_rows), weights, ratio)
 
 
 def kept_cells(questions: DataFrame, cells: DataFrame, selected: DataFrame, kept_rows: DataFrame) -> DataFrame:
@@ -102,8 +127,8 @@ def filter_tables(
     ``questions(qid, table_id, question)``, ``scores(qid, col_ord, col_name, llm, sim)``.
     """
     selected = materialize(filter_columns(scores, questions, essential), "columns")
-    ranked = rank_filtered_rows(questions, cells, selected, question_vectors, row_vectors, weights, block_rows)
-    return kept_cells(questions, cells, selected, keep_top(ranked, ratio))
+    best = top_filtered_rows(questions, cells, selected, question_vectors, row_vectors, weights, block_rows, ratio)
+    return kept_cells(questions, cells, selected, best)
 
 
 def reduction(questions: DataFrame, cells: DataFrame, kept: DataFrame) -> DataFrame:

@@ -261,6 +261,23 @@ cu AS (SELECT c_custkey // 100 AS qid, (c_custkey % 100)::INTEGER AS col_ord, 'c
        round((c_acctbal + 1000) / 11000, 9) AS llm, (c_custkey * 7919 % 1009) / 1009.0::DOUBLE AS sim FROM customer)"""
 
 
+def point_sets(spark, sf):
+    """All customers and all parts as two sets of points."""
+    customers = customer_scores(spark, sf).select(
+        F.lit(0).cast("long").alias("qid"), (F.col("qid") * 100 + F.col("col_ord")).alias("col_ord"), "col_name", "llm", "sim"
+    )
+    parts = table(spark, sf, "part").select(
+        F.lit(1).cast("long").alias("qid"), F.col("p_partkey").alias("col_ord"), F.col("p_name").alias("col_name"),
+        F.round(F.col("p_retailprice") / 2000, 9).alias("llm"), (F.col("p_size") / 50).alias("sim"),
+    )
+    return customers.unionByName(parts)
+
+
+POINT_SETS_SQL = CUSTOMER_SCORES_SQL + """,
+big AS (SELECT 0::BIGINT AS qid, qid * 100 + col_ord AS col_ord, col_name, llm, sim FROM cu
+        UNION ALL SELECT 1, p_partkey, p_name, round(p_retailprice / 2000, 9), p_size / 50.0::DOUBLE FROM part)"""
+
+
 # -- events as votes, responses and runs ----------------------------------------------------------------
 
 def event_votes_text(spark, sf):

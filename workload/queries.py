@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablesieve.functions import questions as qf
 from tablesieve.functions.text import json_value
 from tablesieve.operators import (
-    choose, clusters as cl, columns as co, linearize as ln, profile as pr,
+    choose, clusters as cl, columns as co, index as ix, linearize as ln, point_sets as ps, profile as pr,
     responses as rs, rows as rw, similarity as si, votes as vo,
 )
-from tablesieve.plans import ablation as ab, evaluation as pe, filter as fl, records as pc
+from tablesieve.plans import ablation as ab, evaluation as pe, filter as fl, records as pc, scoring as pg
 from tablesieve.runtime import materialize, scratch_path, tune
-from tablesieve.sources import cells as sc, questions as sq, results as sr
+from tablesieve.sources import cells as sc, documents as sd, questions as sq, results as sr, stored as st
+from tablesieve.streaming.resume import run_pending
 from workload import frames as fx, sql
 
 BLOCK = 1000
@@ -70,6 +71,44 @@ def question_scan(spark, sf):
     return sq.read_questions(spark, path).withColumn("answers", F.array_join("answers", ";"))
 
 
+@register("question_document", """SELECT item_id AS qid, 'table_part_' || (item_id % 25 + 1) AS table_id, text || chr(10) || '"' || item_id || '\\' AS question,
+    CASE WHEN item_id % 2 = 0 THEN 'yes' ELSE 'no;7' END AS answers FROM benchmark""")
+def question_document(spark, sf):
+    """The whole benchmark as one JSON document over many lines, read in pieces by many tasks."""
+    items = fx.table(spark, sf, "benchmark").withColumn("key", F.to_json(F.array(F.col("item_id").cast("string"))))
+    key = F.regexp_replace("key", r"^\[|\]$", F.lit(""))
+
+    def text_of(value):
+        return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", F.lit(""))
+
+    question = F.concat("text", F.lit('\n"'), F.col("item_id").cast("string"), F.lit("\\"))
+    answer = F.when(F.col("item_id") % 2 == 0, F.lit('"yes"')).otherwise(F.lit('["no", 7]'))
+    table_id = F.concat(F.lit("part-"), (F.col("item_id") % 25 + 1).cast("string"))
+    low, high = items.agg(F.min("item_id"), F.max("item_id")).first()
+    lines = None
+    for number, (field, value) in enumerate({"question": text_of(question), "answer": answer, "original_table_id": text_of(table_id)}.items()):
+        ends = F.when(F.col("item_id") == high, F.lit("\n }" + (",\n" if number < 2 else "\n}"))).otherwise(F.lit(","))
+        starts = F.when(F.col("item_id") == low, F.lit(("{\n" if number == 0 else "") + f' "{field}": {{\n')).otherwise(F.lit(""))
+        entry = F.concat(starts, F.lit("  "), key, F.lit(": "), value, ends)
+        part = items.select(F.lit(number).alias("field"), "item_id", entry.alias("value"))
+        lines = part if lines is None else lines.unionByName(part)
+    path = scratch_path(spark, "document")
+    # one file, as such documents come
+    lines.coalesce(1).sortWithinPartitions("field", "item_id").select("value").write.text(path)
+    return sd.read_large_questions(spark, path).withColumn("answers", F.array_join("answers", ";"))
+
+
+@register("table_fetch_stored", f"""WITH {fx.PART_QUESTIONS_SQL}, {fx.CELLS_SQL}
+    SELECT qid, 'table_' || replace(table_id, '-', '_') AS table_id, row_id, col_ord, col_name, value FROM pq JOIN c USING (table_id)""")
+def table_fetch_stored(spark, sf):
+    """Cells of each question's table from a folder laid out by table, of which the asked buckets are read."""
+    name = sq.table_name(F.col("table_id"))
+    path = scratch_path(spark, "cells")
+    st.store_cells(materialize(fx.all_cells(spark, sf).withColumn("table_id", name), "cells"), path)
+    asked = fx.part_questions(spark, sf).select("qid", name.alias("table_id"))
+    return st.fetch_stored(spark, path, asked).select("qid", "table_id", "row_id", "col_ord", "col_name", "value")
+
+
 @register("table_fetch", f"""WITH {fx.PART_QUESTIONS_SQL}, {fx.PART_CELLS_SQL},
     pairs AS (SELECT qid, table_id FROM pq UNION ALL SELECT DISTINCT 1000000, 'missing-1' FROM pq)
     SELECT p.qid, 'table_' || replace(p.table_id, '-', '_') AS table_id, coalesce(row_id, -1) AS row_id, coalesce(col_ord, -1) AS col_ord,
@@ -154,6 +193,21 @@ def failure_split(spark, sf):
     return good.withColumn("status", F.lit("ok")).unionByName(bad.drop("error").withColumn("status", F.lit("failed")))
 
 
+@register("stream_resume", """SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 0 ELSE 1 END AS run_seq, length(text) AS chars FROM benchmark""")
+def stream_resume(spark, sf):
+    """Two drops of question files, the second with everything again: every question is worked once."""
+    items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    source, target, state = (scratch_path(spark, n) for n in ("arriving", "worked", "stream-state"))
+
+    def work(batch):
+        return batch.select("qid", F.length("text").alias("chars"))
+
+    for drop in (items.where(F.col("qid") % 2 == 0), items.unionByName(items)):
+        drop.write.mode("append").parquet(source)
+        run_pending(spark, source, items.schema, work, target, state, key="qid").awaitTermination()
+    return sr.read_results(spark, target, "qid long, chars int, run_seq int").select("qid", "run_seq", "chars")
+
+
 # -- profiles ----------------------------------------------------------------------------------------------
 
 @register("table_shape", f"""WITH {fx.CELLS_SQL}, n AS (SELECT table_id, col_ord, any_value(col_name) AS col_name, count(*) AS k FROM c GROUP BY ALL)
@@ -252,6 +306,53 @@ def column_similarity(spark, sf):
     return rounded(si.column_similarity(fx.part_question_vectors(spark, sf), fx.part_column_vectors(spark, sf)))
 
 
+DESCRIBED_SQL = f"""{fx.PART_QUESTIONS_SQL}, {fx.PART_CELLS_SQL}, {fx.PART_SIM_SQL},
+    dc AS (SELECT DISTINCT table_id, col_ord, col_name FROM pc),
+    q AS (SELECT qid, table_id AS corpus, question || ' by size and retailprice of its type' AS question FROM pq WHERE qid % 2 = 1),
+    r AS (SELECT table_id AS corpus, col_ord AS row_id, replace(lower(col_name), '_', ' ') || ' ' || lower('The ' || replace(col_name, '_', ' ') || ' of a part') AS text FROM dc),
+    {sql.row_scores(qv=None, rv=None)},
+    ts AS (SELECT s.qid, s.row_id AS col_ord, dc.col_name, tfidf AS s FROM scored s JOIN dc ON dc.table_id = s.corpus AND dc.col_ord = s.row_id),
+    tsim AS (SELECT qid, col_ord, col_name, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE s END AS sim
+             FROM ts WINDOW w AS (PARTITION BY qid))"""
+
+
+@register("column_similarity_text", f"""WITH {DESCRIBED_SQL} SELECT qid, col_ord, col_name, round(sim, 6) AS sim, 'text' AS basis FROM tsim
+    UNION ALL SELECT qid, col_ord, col_name, round(sim, 6), 'vector' FROM psim WHERE qid % 2 = 0""")
+def column_similarity_text(spark, sf):
+    """Questions with vectors are compared by them, the others by the text of the descriptions."""
+    asked = fx.part_questions(spark, sf)
+    asked = asked.withColumn("question", F.concat("question", F.lit(" by size and retailprice of its type")))
+    described = fx.part_cells(spark, sf).select("table_id", "col_ord", "col_name").distinct().withColumn(
+        "description", F.concat(F.lit("The "), F.translate("col_name", "_", " "), F.lit(" of a part"))
+    )
+    vectors = fx.part_question_vectors(spark, sf).where(F.col("qid") % 2 == 0)
+    return rounded(si.question_similarity(asked, described, vectors, fx.part_column_vectors(spark, sf), block_rows=BLOCK))
+
+
+WORDS_SQL = "list_distinct(string_split(lower(question), ' '))"
+
+
+@register("scorer_failures", f"""WITH {fx.PART_QUESTIONS_SQL}, {fx.PART_COLUMNS_SQL},
+    s AS (SELECT qid, col_ord, col_name, len(list_intersect(list_distinct(string_split(lower(col_name), '_')), {WORDS_SQL}))::DOUBLE
+                 / len(list_distinct(string_split(lower(col_name), '_'))) AS score FROM pcol JOIN pq USING (qid) WHERE qid % 7 <> 0)
+    SELECT qid, col_ord, col_name, round(score, 6) AS score, 'ok' AS status, NULL AS error FROM s
+    UNION ALL SELECT qid, NULL, NULL, NULL, 'failed', 'RuntimeError: no answer to ' || qid FROM pq WHERE qid % 7 = 0""")
+def scorer_failures(spark, sf):
+    """A scorer of one's own that fails for one question in seven; the others are scored."""
+
+    def scorer(question, names):
+        number, _, text = question.partition("\n")
+        if int(number) % 7 == 0:
+            raise RuntimeError(f"no answer to {number}")
+        words = set(text.lower().split(" "))
+        parts = [set(n.lower().split("_")) for n in names]
+        return [len(p & words) / len(p) for p in parts]
+
+    asked = fx.part_questions(spark, sf).select("qid", F.concat(F.col("qid").cast("string"), F.lit("\n"), "question").alias("question"))
+    scored = pg.score_columns(asked, fx.part_columns(spark, sf).drop("table_id"), scorer)
+    return rounded(scored.select("qid", "status", "error", F.inline_outer("columns")))
+
+
 # -- clusters and their choice ---------------------------------------------------------------------------------
 
 def order_clusters(spark, sf):
@@ -279,6 +380,13 @@ def kmeans_rounds(spark, sf):
     return rounded(cl.cluster_columns(fx.customer_scores(spark, sf)).select("qid", "col_ord", "cluster_id", "cx", "cy"))
 
 
+@register("kmeans_large", f"WITH {fx.POINT_SETS_SQL}, {sql.kmeans('big')} SELECT qid, col_ord, cluster_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM cl")
+def kmeans_large(spark, sf):
+    """All customers as one set of points and all parts as another, which stay rows through all rounds."""
+    points = materialize(fx.point_sets(spark, sf), "points")
+    return rounded(ps.cluster_points(points).select("qid", "col_ord", "cluster_id", "cx", "cy"))
+
+
 @register("cluster_quality", f"""WITH {CHOICE_SQL} SELECT qid, cluster_id, round(cohesion, 6) AS cohesion, round(separation, 6) AS separation,
     round(quality, 6) AS quality FROM scores""")
 def cluster_quality(spark, sf):
@@ -404,8 +512,29 @@ def row_fusion(spark, sf):
 
 @register("topk_rows", f"{RANKED_SQL} SELECT qid, row_id, round(fusion, 6) AS fusion, rnk FROM ranked WHERE {sql.KEEP}")
 def topk_rows(spark, sf):
-    ranked = rw.rank_table_rows(*doc_inputs(spark, sf), block_rows=BLOCK)
-    return rounded(rw.keep_top(ranked).select("qid", "row_id", "fusion", "rnk"))
+    best = rw.top_table_rows(*doc_inputs(spark, sf), block_rows=BLOCK)
+    return rounded(best.select("qid", "row_id", "fusion", "rnk"))
+
+
+EARLY_SQL = f"""WITH {fx.DOC_SQL},
+    early AS (WITH q AS (SELECT item_id AS qid, 'src' || (item_id % {fx.SOURCES}) AS corpus, text AS question FROM benchmark WHERE item_id % 2 = 0),
+              r AS (SELECT source AS corpus, doc_id AS row_id, text FROM documents WHERE doc_id % 3 <> 0), {sql.row_scores(qv=None, rv=None)} SELECT * FROM scored),
+    late AS (WITH {sql.row_scores()} SELECT * FROM scored WHERE qid % 2 = 1)
+    SELECT 'early' AS asked, qid, row_id, round(tfidf, 6) AS tfidf, round(bm25, 6) AS bm25, 0.0::DOUBLE AS dense FROM early
+    UNION ALL SELECT 'late', qid, row_id, round(tfidf, 6), round(bm25, 6), round(dense, 6) FROM late"""
+
+
+@register("index_reuse", EARLY_SQL)
+def index_reuse(spark, sf):
+    """A stored index asked by one question set, extended, and asked by another."""
+    asked, rows, question_vectors, row_vectors = doc_inputs(spark, sf)
+    index = ix.Index(spark, scratch_path(spark, "index"))
+    ix.add_rows(index, rows.where(F.col("row_id") % 3 != 0))
+    early = materialize(ix.score_index(index, asked.where(F.col("qid") % 2 == 0), block_rows=BLOCK))
+    ix.add_rows(index, rows)
+    late = ix.score_index(index, asked.where(F.col("qid") % 2 == 1), question_vectors, row_vectors, block_rows=BLOCK)
+    both = early.withColumn("asked", F.lit("early")).unionByName(late.withColumn("asked", F.lit("late")))
+    return rounded(both.select("asked", "qid", "row_id", "tfidf", "bm25", "dense"))
 
 
 # -- text forms -------------------------------------------------------------------------------------------------------
@@ -521,8 +650,8 @@ def part_selected(spark, sf):
     return materialize(fl.filter_columns(part_scores(spark, sf), fx.part_questions(spark, sf), part_essential_columns(spark, sf)))
 
 
-def part_ranked(spark, sf, selected):
-    return fl.rank_filtered_rows(
+def part_best(spark, sf, selected):
+    return fl.top_filtered_rows(
         fx.part_questions(spark, sf), fx.part_cells(spark, sf), selected,
         fx.part_question_vectors(spark, sf).drop("table_id"), fx.part_row_vectors(spark, sf), block_rows=BLOCK,
     )
@@ -606,10 +735,10 @@ ROWS_ONLY_SQL = f"{fx.PART_ALL_SQL}, {ROWS_ONLY_INPUT}, {sql.row_scores()}"
 
 def part_rows_only(spark, sf):
     asked, cells = fx.part_questions(spark, sf), fx.part_cells(spark, sf)
-    ranked = ab.rank_all_columns(
+    best = ab.top_all_columns(
         asked, cells, fx.part_question_vectors(spark, sf).drop("table_id"), fx.part_row_vectors(spark, sf), block_rows=BLOCK
     )
-    return ab.rows_only(asked, cells, ranked)
+    return ab.rows_only(asked, cells, best)
 
 
 @register("ablation_rows_only", f"""WITH {ROWS_ONLY_SQL} SELECT k.qid, k.rnk, pc.col_ord AS pos, pc.col_name, pc.value
@@ -640,7 +769,7 @@ def ablation_pack(spark, sf):
     asked, cells = materialize(fx.part_questions(spark, sf)), materialize(fx.part_cells(spark, sf))
     scores = materialize(part_scores(spark, sf))
     selected = materialize(fl.filter_columns(scores, asked, part_essential_columns(spark, sf)))
-    kept = materialize(rw.keep_top(part_ranked(spark, sf, selected)))
+    kept = materialize(part_best(spark, sf, selected))
     top = materialize(ab.top_columns(asked, cells, scores, kept))
     answered = asked.withColumn("answer", F.concat(F.lit("answer "), F.col("qid").cast("string")))
     packed = ab.side_by_side(

@@ -1,16 +1,19 @@
 """Exact Jaccard self-join of documents on word shingles, by a token-group matrix.
 
 Documents with equal shingle sets are one set. Sets are partitioned into groups of similar ones: sets with a common
-min-hash key are compared, in blocks of bounded size, and those connected by links are a group. The token-group
-matrix then holds which groups have which token; a token of one group alone cannot link groups and is dropped. A set
-is a query to the other groups. A link needs an overlap of 4/9 of both sizes, so it needs a common token among the
-first fifth of each set in any order that all sets share; tokens found often in a sample come last in it. From the
-tokens a query shares with the members of a group, and their positions, follows a bound of the overlap; only groups
-and members whose bound is large enough go on. They are bounded once more by sketches of the whole sets, and what still
-qualifies is opened, that is compared in full.
-
-Similar sets are in one group before the matrix is built, so a large group of near copies is one column of it, and no
-pairs within a group are made. Leaving those out loses nothing: the sets of a group are connected already.
+min-hash key are compared, in blocks of bounded size. Those connected by links form groups of their own, cut to a bounded
+number of members; the others are grouped by their first key and its block. Within a group nothing is left to find: its
+sets are connected, or have been compared.
+
+The token-group matrix says which groups have which tokens. Tokens have one order for all sets, those found often in a sample come
+last. A set is a query to the groups that have a member as large as itself. Such a link takes 8/9 of the query, and four fifths
+of the larger set, so a group can only qualify if it has one of the query's first ninth of tokens among the first fifths of its members: that part of the
+matrix is laid out by token and joined with the queries. For the groups met, the union of all tokens of the group is stored, and
+how many of the query's tokens it has bounds the overlap with every member. Only groups whose bound is large enough are opened: their members
+are bounded one by one by sketches, and what still qualifies is compared in full.
+
+A passage that many sets share is in the last eight ninths of each where it does not make links; then it costs a row per group in the matrix
+and no pairs. A large group of near copies is a few columns.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesieve.llm import arrow
 from tablesieve.llm.components import components
@@ -35,16 +38,16 @@ BANDS, ROWS = 4, 3
 SAMPLE_STEP, FREQUENT = 32, 3
 #: Most frequent tokens kept. Any others only come earlier in the order, which costs time but loses no link.
 MOST_FREQUENT = 200_000
-#: Sets compared with one hub in one place.
+#: Sets compared with one hub in one place, and members of a group.
 BLOCK = 256
 KEPT_WORDS = 500_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SETS = "row long, doc_id long, n_shingles long, set_id long, keys array<long>, tokens array<long>"
+SETS = "row long, twin long, doc_id long, n_shingles long, set_id long, keys array<long>, tokens array<long>"
 SETS_ARROW = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
+    [("row", pa.int64()), ("twin", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
      ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]
 )
 LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -101,7 +104,7 @@ def group_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def first_tokens(tokens: np.ndarray, names: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The tokens of which a link needs a common one: rare ones first, then by how often the sample has them."""
+    """The tokens of which a link needs one: rare ones first, then by how often the sample has them."""
     n = len(tokens)
     need = n - (PERCENT * n + 99) // 100 + 1
     often = np.zeros(n, np.int64)
@@ -125,16 +128,16 @@ def set_batches(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Reco
     shingler, (names, found), seen = Shingler(), frequent.value, set()
     for rows in batches:
         out = []
-        for row, doc, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        for row, twin, doc, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
             tokens = shingler.tokens(text)
             if not len(tokens):
-                out.append((row, doc, 0, None, None, None))
+                out.append((row, twin, doc, 0, None, None, None))
                 continue
             name = set_id(tokens)
             new = name not in seen
             seen.add(name)
             keys = group_keys(tokens) if new else None
-            out.append((row, doc, len(tokens), name, keys, first_tokens(tokens, names, found) if new else None))
+            out.append((row, twin, doc, len(tokens), name, keys, first_tokens(tokens, names, found) if new else None))
         yield arrow.batch(SETS_ARROW, [list(c) for c in zip(*out, strict=True)] or [[]] * len(SETS_ARROW))
 
 
@@ -150,14 +153,14 @@ def frequent_tokens(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """The set by 16 bits of each token, sorted: sets have at most as many tokens in common as their sketches."""
-    return np.sort(tokens.astype("<u2")).tobytes()
+    """The set by 32 bits of each token, sorted: sets have at most as many tokens in common as their sketches."""
+    return np.sort(tokens.astype("<u4")).tobytes()
 
 
 def counted_once(packed: bytes) -> np.ndarray:
     """Distinct numbers for the values of a sketch: equal values are told apart by how often they came before."""
-    values = np.frombuffer(packed, "<u2").astype(np.int64)
-    return (values << 32) + np.arange(len(values)) - np.searchsorted(values, values)
+    values = np.frombuffer(packed, "<u4").astype(np.int64)
+    return (values << 31) + np.arange(len(values)) - np.searchsorted(values, values)
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +174,58 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)] or [[], []])
 
 
+UNIONS_ARROW = pa.schema([("group", pa.int64()), ("union", pa.binary())])
+
+
+def union_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by group; gives the union of its members' sketches, values once. A group has at most about ``BLOCK``."""
+    place, parts, out = None, [], []
+
+    def close() -> None:
+        if parts:
+            out.append((place, np.unique(np.concatenate(parts)).tobytes()))
+
+    for rows in batches:
+        for group, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if group != place:
+                close()
+                place, parts = group, []
+            parts.append(np.frombuffer(packed, "<u4"))
+        if out:
+            yield arrow.batch(UNIONS_ARROW, [list(c) for c in zip(*out, strict=True)])
+            out.clear()
+    close()
+    if out:
+        yield arrow.batch(UNIONS_ARROW, [list(c) for c in zip(*out, strict=True)])
+
+
+def bound_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by group and block, the union first; gives the queries of which the union has enough tokens.
+
+    A query's tokens are counted one by one, so tokens of equal value never lower the bound.
+    """
+    place, union, out = None, None, []
+    for rows in batches:
+        for group, block, other, query, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if (group, block) != place:
+                place, union = (group, block), None
+            values = np.frombuffer(packed, "<u4")
+            if not other:
+                union = values
+            elif union is not None:
+                at = np.minimum(np.searchsorted(union, values), len(union) - 1)
+                if reaches(int((union[at] == values).sum()), len(values)):
+                    out.append((group, query))
+        if out:
+            yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
+            out = []
+
+
+def reaches(overlap: int, size: int) -> bool:
+    """Whether a set of ``size`` can link to one at least as large with this overlap."""
+    return (100 + PERCENT) * overlap >= 2 * PERCENT * size
+
+
 def open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by hub and block, the hub's own sketch first; gives the members whose bound allows a link."""
     place, hub, out = None, None, []
@@ -210,17 +265,17 @@ def linked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             out = []
 
 
-def by_hub(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+def by_hub(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
     """``a, block, other, member, value`` of written pairs(a, b), placed by hub ``a`` and block, the hub first.
 
-    Sets to compare with the same hub are dealt out in blocks. ``sets(set_id, value)`` has one row per set.
+    Sets to compare with the same hub are dealt out in blocks. ``hubs(a, value)`` and ``sets(set_id, value)`` have one row each.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where(F.col("blocks") > 1)
     block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1)))
     placed = pairs.join(many, "a", "left").select("a", "b", block.alias("block"))
-    hubs = placed.select("a", "block").distinct().join(sets.withColumnRenamed("set_id", "a"), "a")
+    first = placed.select("a", "block").distinct().join(hubs, "a")
     members = placed.join(sets.withColumnRenamed("set_id", "b"), "b")
-    rows = hubs.select("a", "block", F.lit(0).alias("other"), F.col("a").alias("member"), value).unionByName(
+    rows = first.select("a", "block", F.lit(0).alias("other"), F.col("a").alias("member"), value).unionByName(
         members.select("a", "block", F.lit(1).alias("other"), F.col("b").alias("member"), value)
     )
     return rows.repartition("a", "block").sortWithinPartitions("a", "block", "other")
@@ -230,16 +285,29 @@ def both_sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
 
-def linked(pairs: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
-    """The pairs(a, b) of set names that link: bounded by the sets' sketches first, then compared in full."""
-    pairs = materialize(pairs, "pairs")
-    sources = located(both_sides(pairs), texts, first_rows, many=True)
-    sketches = sources.mapInArrow(sketch_batches, "set_id long, sketch binary").groupBy("set_id")
+def linked(met: DataFrame, groups: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """The links(a, b) that written met(query, group) lead to: groups by their unions, members by sketches, then in full."""
+    met = materialize(met, "met")
+    holders = groups.join(met.select("group").distinct(), "group", "left_semi").select("set_id", "group")
+    holders = materialize(holders, "holders")
+    wanted = holders.select("set_id").unionByName(met.select(F.col("query").alias("set_id"))).distinct()
+    sketches = located(wanted, texts, first_rows).mapInArrow(sketch_batches, "set_id long, sketch binary").groupBy("set_id")
     sketches = materialize(sketches.agg(F.min("sketch").alias("sketch")), "sketches")
-    opened = by_hub(pairs, sketches, "sketch").mapInArrow(open_batches, "a long, b long")
-    opened = materialize(opened, "opened")
-    found = set_texts(both_sides(opened), texts, first_rows, many=False)
-    return by_hub(opened, found, "text").mapInArrow(linked_batches, "a long, b long")
+    by_group = holders.join(sketches, "set_id").select("group", "sketch").repartition("group").sortWithinPartitions("group")
+    unions = materialize(by_group.mapInArrow(union_batches, "group long, union binary"), "unions")
+    asked = met.select(F.col("group").alias("a"), F.col("query").alias("b"))
+    placed = by_hub(asked, unions.select(F.col("group").alias("a"), F.col("union").alias("sketch")), sketches, "sketch")
+    qualified = materialize(placed.mapInArrow(bound_batches, "a long, b long"), "qualified")
+    # opened: the members that are as large as the query, and not too large
+    queries = groups.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"))
+    members = groups.select(F.col("group").alias("a"), "set_id", "n")
+    sized = (F.col("n") >= F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n"))
+    pairs = qualified.join(queries, "b").join(members, "a").where(sized & (F.col("set_id") != F.col("b")))
+    pairs = materialize(pairs.select(F.col("b").alias("a"), F.col("set_id").alias("b")), "pairs")
+    hubs = sketches.withColumnRenamed("set_id", "a")
+    opened = materialize(by_hub(pairs, hubs, sketches, "sketch").mapInArrow(open_batches, "a long, b long"), "opened")
+    found = set_texts(both_sides(opened), texts, first_rows)
+    return by_hub(opened, found.withColumnRenamed("set_id", "a"), found, "text").mapInArrow(linked_batches, "a long, b long")
 
 
 def link(a: np.ndarray, b: np.ndarray) -> bool:
@@ -286,61 +354,76 @@ def grouped_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
 
 
-def grouped(sets: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+def keyed(sets: DataFrame) -> DataFrame:
+    """``set_id, band, key, block`` of every set under each of its keys that others have too, written down."""
+    keys = sets.where(F.col("keys").isNotNull()).select("set_id", F.posexplode("keys").alias("band", "key")).distinct()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    return materialize(
+        keys.join(sizes, "key").select("set_id", "band", "key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), "blocks"), "keyed"
+    )
+
+
+def grouped(keys: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
     """Links among sets with a common key, found in blocks of ``BLOCK`` sets; the least set of a key is in all its blocks."""
-    keys = sets.where(F.col("keys").isNotNull()).select("set_id", F.explode("keys").alias("key")).distinct()
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("least")).where(F.col("n") > 1)
-    sizes = sizes.select("key", "least", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    placed = keys.join(sizes, "key").select("key", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), "set_id")
-    split = sizes.where(F.col("blocks") > 1)
-    shown = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "least")
-    placed = materialize(placed.unionByName(shown.withColumnRenamed("least", "set_id")).distinct(), "keyed")
-    found = set_texts(placed.select("set_id").distinct(), texts, first_rows, many=True)
+    split = keys.where(F.col("blocks") > 1).groupBy("key", "blocks").agg(F.min("set_id").alias("set_id"))
+    shown = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set_id")
+    placed = materialize(keys.select("key", "block", "set_id").unionByName(shown.select("key", "block", "set_id")).distinct(), "placed")
+    found = set_texts(placed.select("set_id").distinct(), texts, first_rows)
     ordered = placed.join(found, "set_id").select("key", "block", "set_id", "text").repartition("key", "block")
     return ordered.sortWithinPartitions("key", "block", "set_id").mapInArrow(grouped_batches, "a long, b long")
 
 
-def located(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame, many: bool) -> DataFrame:
-    """``set_id, text`` of the wanted sets, from one row of each; a row that is there twice comes twice.
+def group_members(sets: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFrame:
+    """The partition of all sets: ``set_id, n, root, group``, written down.
 
-    Where the wanted sets are a share of the corpus (``many``), the join is dealt out at every size: a switch to a
-    broadcast would make the work of small tables say nothing about that of large ones.
+    Connected sets have a ``root`` and are cut into groups of about ``BLOCK``. Others are with those of their first key and
+    block, all of which they have been compared with; a set alone under its key is a group of its own.
     """
-    sources = materialize(first_rows.join(wanted, "set_id").select("set_id", "row"), "sources")
-    return texts.join(sources.hint("shuffle_hash") if many else sources, "row").select("set_id", "text")
+    named = sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.max("n_shingles").alias("n"))
+    known = named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    home = keys.where(F.col("band") == 0).select("set_id", "key", "block")
+    known = known.join(parts, "root", "left").join(home, "set_id", "left")
+    connected = F.xxhash64(F.lit("r"), "root", F.pmod(F.xxhash64("set_id"), "parts"))
+    group = F.when(F.col("root").isNotNull(), connected).when(F.col("key").isNotNull(), F.xxhash64(F.lit("k"), "key", "block"))
+    return materialize(known.select("set_id", "n", "root", F.coalesce(group, F.xxhash64(F.lit("s"), "set_id")).alias("group")), "groups")
 
 
-def set_texts(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame, many: bool) -> DataFrame:
-    """One text for each of the wanted sets, written down."""
-    found = located(wanted, texts, first_rows, many)
-    return materialize(found.groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
-
+def met_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``query, group``: groups that have one of a query's first tokens, and a member that it may link to.
 
-def qualifying(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of sets of different groups whose overlap may be large enough, by the token-group matrix."""
-    tokens = sets.where(F.col("tokens").isNotNull()).select(
-        "set_id", F.col("n_shingles").alias("n"), F.posexplode("tokens").alias("pos", "token")
+    ``matrix(token, group)`` has one row however many members of a group have a token. A token that many groups have is an
+    ordinary hot key of the join: the queries that have it among their first ninth are few unless they link.
+    """
+    # a set that several tasks met is there several times
+    listed = sets.where(F.col("tokens").isNotNull()).dropDuplicates(["set_id"]).select("set_id", "tokens")
+    listed = materialize(listed.join(groups, "set_id"), "first-tokens")
+    matrix = listed.select("group", "root", "n", F.explode("tokens").alias("token")).groupBy("token", "group", "root").agg(
+        F.min("n").alias("least"), F.max("n").alias("most")
     )
-    same = W.partitionBy("token")
-    shared = tokens.withColumn("low", F.min("set_id").over(same)).withColumn("high", F.max("set_id").over(same))
-    shared = materialize(shared.where("low <> high").select("token", "set_id", "pos", "n").distinct(), "shared")
-    named = shared.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
-    matrix = named.withColumn("group", F.coalesce("root", "set_id")).drop("root")
-    matrix = matrix.withColumn("low", F.min("group").over(same)).withColumn("high", F.max("group").over(same))
-    matrix = materialize(matrix.where("low <> high").drop("low", "high"), "matrix")
-    a, b = (matrix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "pos", "n", "group"))) for s in "ab")
-    smaller, larger = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    met = a.join(b, "token").where(
-        (F.col("set_id_a") < F.col("set_id_b")) & (F.col("group_a") != F.col("group_b")) & (100 * smaller >= PERCENT * larger)
+    matrix = materialize(matrix, "matrix")
+    whole = 100 + PERCENT
+    ninth = F.col("n") - F.floor((2 * PERCENT * F.col("n") + whole - 1) / F.lit(whole)) + 1
+    queries = listed.select(
+        F.col("set_id").alias("query"), F.col("group").alias("own"), F.col("root").alias("own_root"), "n",
+        F.explode(F.slice("tokens", F.lit(1), ninth.cast("int"))).alias("token"),
     )
-    sums = met.groupBy("set_id_a", "set_id_b").agg(
-        F.count("*").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"),
-        F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b"),
-    )
-    # all common tokens up to the last one found are counted; behind it, no more than the rest of either set
-    rest = F.least(F.col("n_a") - F.col("last_a") - 1, F.col("n_b") - F.col("last_b") - 1)
-    bound = (100 + PERCENT) * (F.col("common") + rest) >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    return sums.where(bound).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
+    apart = (F.col("own") != F.col("group")) & ~F.coalesce(F.col("own_root") == F.col("root"), F.lit(False))
+    sized = (F.col("most") >= F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    return queries.join(matrix, "token").where(apart & sized).select("query", "group").distinct()
+
+
+def located(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """``set_id, text`` of the wanted sets, from one row of each; a row that is there twice comes twice."""
+    sources = materialize(first_rows.join(wanted, "set_id").select("set_id", "row"), "sources")
+    return texts.join(sources, "row").select("set_id", "text")
+
+
+def set_texts(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """One text for each of the wanted sets, written down."""
+    found = located(wanted, texts, first_rows)
+    return materialize(found.groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
 
 
 def set_roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -348,34 +431,44 @@ def set_roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
     first_rows = materialize(
         sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("row").alias("row")), "set-rows"
     )
-    groups = components(grouped(sets, texts, first_rows))
-    links = linked(qualifying(sets, groups), texts, first_rows)
+    keys = keyed(sets)
+    roots = components(grouped(keys, texts, first_rows))
+    groups = group_members(sets, roots, keys)
+    links = linked(met_groups(sets, groups), groups, texts, first_rows)
     # links between groups are contracted to their roots
     for side in "ab":
-        root = groups.select(F.col("node").alias(side), "root")
+        root = roots.select(F.col("node").alias(side), "root")
         links = links.join(root, side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
     joined = components(links).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    known = groups.select(F.col("node").alias("set_id"), "root").unionByName(
-        joined.join(groups, joined["root"] == groups["node"], "left_anti").select(F.col("root").alias("set_id"), "root")
+    known = roots.select(F.col("node").alias("set_id"), "root").unionByName(
+        joined.join(roots, joined["root"] == roots["node"], "left_anti").select(F.col("root").alias("set_id"), "root")
     )
     return known.join(joined, "root", "left").select("set_id", F.coalesce("last", "root").alias("root"))
 
 
 def classed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``row, doc_id, n_shingles, set_id, root`` of every row; rows without shingles have neither set nor root."""
+    """``row, twin, doc_id, n_shingles, set_id, root`` of every row; rows without shingles have neither set nor root."""
     spark = arrow.prepared(docs.sparkSession)
     texts = identified(docs, key, text)
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts.select("text")))
     sets = materialize(texts.mapInArrow(lambda it: set_batches(it, frequent), SETS), "sets")
     roots = materialize(set_roots(sets, texts.select("row", "text")), "set-roots")
-    members = sets.select("row", "doc_id", "n_shingles", "set_id")
+    members = sets.select("row", "twin", "doc_id", "n_shingles", "set_id")
     # a set's rows may be a large share of all: the side with one row per set stays small beside them
     return members.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+def row_names(docs: DataFrame, key: str, text: str) -> list[Column]:
+    """Two 64-bit hashes that name a row together; ``row`` alone finds rows, and finds another one now and then."""
     key_, text_ = docs[key].cast("long"), docs[text].cast("string").cast("binary")
-    return docs.select(F.xxhash64(key_, text_).alias("row"), key_.alias("doc_id"), text_.alias("text"))
+    return [F.xxhash64(key_, text_), F.xxhash64(F.lit("twin"), text_, key_)]
+
+
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    row, twin = row_names(docs, key, text)
+    return docs.select(
+        row.alias("row"), twin.alias("twin"), docs[key].cast("long").alias("doc_id"), docs[text].cast("string").cast("binary").alias("text")
+    )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -402,12 +495,15 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     A class without keys keeps one of its rows. Rows that repeat key and text are one document.
     """
     members = materialize(classed(docs, key, text), "members")
-    classes = F.coalesce("root", "row").alias("class")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = members.groupBy(classes).agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row")).distinct()
-    row = F.xxhash64(docs[key].cast("long"), docs[text].cast("string").cast("binary"))
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    named = docs.withColumn(name, row).join(first.withColumnRenamed("_row", name), name, "left_semi")
-    return named.dropDuplicates([name]).select(*docs.columns)
+    # a row without shingles is a class of its own
+    alone = F.when(F.col("root").isNull(), F.struct("row", "twin"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "twin")
+    first = members.groupBy("root", alone.alias("alone")).agg(F.min(order).alias("first")).select("first.row", "first.twin").distinct()
+    names = []
+    for name in ("_row", "_twin"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    named = docs.withColumns(dict(zip(names, row_names(docs, key, text), strict=True)))
+    kept = named.join(first.select(F.col("row").alias(names[0]), F.col("twin").alias(names[1])), names, "left_semi")
+    return kept.dropDuplicates(names).select(*docs.columns)

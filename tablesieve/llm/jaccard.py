@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesieve.llm import arrow
 from tablesieve.llm.components import components
@@ -45,10 +45,10 @@ KEPT_WORDS = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SETS = "row long, twin long, doc_id long, n_shingles long, set_id long, keys array<long>, tokens array<long>"
+SETS = "row long, twin long, doc_id long, n_shingles long, set_id long, keys array<long>, tokens array<long>, rare int"
 SETS_ARROW = pa.schema(
     [("row", pa.int64()), ("twin", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
-     ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))]
+     ("keys", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("rare", pa.int32())]
 )
 LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -103,8 +103,8 @@ def group_keys(tokens: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def first_tokens(tokens: np.ndarray, names: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The tokens of which a link needs one: rare ones first, then by how often the sample has them."""
+def first_tokens(tokens: np.ndarray, names: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, int]:
+    """The tokens of which a link needs one: rare ones first, whose number comes with them, then by how often the sample has them."""
     n = len(tokens)
     need = n - (PERCENT * n + 99) // 100 + 1
     often = np.zeros(n, np.int64)
@@ -112,7 +112,7 @@ def first_tokens(tokens: np.ndarray, names: np.ndarray, found: np.ndarray) -> np
         at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
         often = np.where(names[at] == tokens, found[at], 0)
     order = np.argsort(often, kind="stable")[:need]
-    return tokens[order].view(np.int64)
+    return tokens[order].view(np.int64), int((often[order] == 0).sum())
 
 
 def sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +131,14 @@ def set_batches(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Reco
         for row, twin, doc, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
             tokens = shingler.tokens(text)
             if not len(tokens):
-                out.append((row, twin, doc, 0, None, None, None))
+                out.append((row, twin, doc, 0, None, None, None, None))
                 continue
             name = set_id(tokens)
             new = name not in seen
             seen.add(name)
             keys = group_keys(tokens) if new else None
-            out.append((row, twin, doc, len(tokens), name, keys, first_tokens(tokens, names, found) if new else None))
+            first, rare = first_tokens(tokens, names, found) if new else (None, None)
+            out.append((row, twin, doc, len(tokens), name, keys, first, rare))
         yield arrow.batch(SETS_ARROW, [list(c) for c in zip(*out, strict=True)] or [[]] * len(SETS_ARROW))
 
 
@@ -390,24 +391,36 @@ def group_members(sets: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFra
     return materialize(known.select("set_id", "n", "root", F.coalesce(group, F.xxhash64(F.lit("s"), "set_id")).alias("group")), "groups")
 
 
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """``token, set_id, pos, n``: the first tokens of all sets, without those that one set alone has, written down.
+
+    Tokens that the sample found often are known to be shared and stay where they are. Any other is in a few hundred sets at most,
+    or the sample would have it, so its sets can be looked at together.
+    """
+    tokens = sets.where(F.col("tokens").isNotNull()).select(
+        "set_id", F.col("n_shingles").alias("n"), "rare", F.posexplode("tokens").alias("pos", "token")
+    )
+    often = tokens.where(F.col("pos") >= F.col("rare"))
+    same = W.partitionBy("token")
+    rare = tokens.where(F.col("pos") < F.col("rare")).select("token", "set_id", "pos", "n")
+    rare = rare.withColumn("low", F.min("set_id").over(same)).withColumn("high", F.max("set_id").over(same)).where("low <> high")
+    # a set that several tasks met is there several times
+    return materialize(rare.drop("low", "high").unionByName(often.select("token", "set_id", "pos", "n")).distinct(), "shared")
+
+
 def met_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """``query, group``: groups that have one of a query's first tokens, and a member that it may link to.
 
     ``matrix(token, group)`` has one row however many members of a group have a token. A token that many groups have is an
     ordinary hot key of the join: the queries that have it among their first ninth are few unless they link.
     """
-    # a set that several tasks met is there several times
-    listed = sets.where(F.col("tokens").isNotNull()).dropDuplicates(["set_id"]).select("set_id", "tokens")
-    listed = materialize(listed.join(groups, "set_id"), "first-tokens")
-    matrix = listed.select("group", "root", "n", F.explode("tokens").alias("token")).groupBy("token", "group", "root").agg(
-        F.min("n").alias("least"), F.max("n").alias("most")
-    )
+    listed = materialize(shared_tokens(sets).join(groups.select("set_id", "root", "group"), "set_id"), "first-tokens")
+    matrix = listed.groupBy("token", "group", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = materialize(matrix, "matrix")
     whole = 100 + PERCENT
     ninth = F.col("n") - F.floor((2 * PERCENT * F.col("n") + whole - 1) / F.lit(whole)) + 1
-    queries = listed.select(
-        F.col("set_id").alias("query"), F.col("group").alias("own"), F.col("root").alias("own_root"), "n",
-        F.explode(F.slice("tokens", F.lit(1), ninth.cast("int"))).alias("token"),
+    queries = listed.where(F.col("pos") < ninth).select(
+        F.col("set_id").alias("query"), F.col("group").alias("own"), F.col("root").alias("own_root"), "n", "token"
     )
     apart = (F.col("own") != F.col("group")) & ~F.coalesce(F.col("own_root") == F.col("root"), F.lit(False))
     sized = (F.col("most") >= F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))

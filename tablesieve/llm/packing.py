@@ -160,7 +160,10 @@ def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if counts and not 0 < min(counts) <= max(counts) <= capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    drawn = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(bucket_count(sum(counts.values())))))
+    # a length has buckets by its own number of rows, so that there are few of them beside the rows
+    buckets = spark.createDataFrame([(k, bucket_count(n)) for k, n in counts.items()], "length long, buckets long")
+    drawn = rows.join(F.broadcast(buckets), "length")
+    drawn = drawn.withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets"))).select(*columns, "bucket")
     ranked = numbered(drawn, ["length"], "bucket", order).select(*columns, "place")
     placements = spark.sparkContext.broadcast(sweep(counts, capacity).arrays())
     added = [("sequence_id", pa.int64()), ("offset", pa.int64())]

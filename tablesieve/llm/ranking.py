@@ -1,8 +1,9 @@
 """Places of rows within groups of any size, without sorting a group in one task.
 
-Rows fall into about sqrt(n) buckets by the order they are to be numbered in. Counts per (group, bucket) are
-pre-aggregated and summed up along the buckets; within a bucket rows are numbered by a window. Both the sums of
-a group and the rows of a bucket number about sqrt(n), however much of the table one group holds.
+Rows of a group fall into buckets by the order they are to be numbered in, about sqrt(n) where the group, or the table, has n
+rows. Counts per (group, bucket) are pre-aggregated and summed up along the buckets; within a bucket rows are numbered by a
+window. The sums of a group are at most as many as its buckets, and a bucket has about sqrt(n) of its rows, however much of the table
+one group holds.
 """
 
 from __future__ import annotations

@@ -63,26 +63,33 @@ def frame(payload: bytes) -> bytes:
     return b"".join([size, TAIL.pack(masked(size)), payload, TAIL.pack(masked(payload))])
 
 
-def payload_at(file, offset: int) -> bytes:
-    """The checked payload of the record at ``offset`` of an open file."""
-    file.seek(offset)
-    head = file.read(HEAD.size)
+def payload_at(data: memoryview, offset: int) -> bytes:
+    """The checked payload of the record at ``offset`` of a file's bytes."""
+    head = bytes(data[offset : offset + HEAD.size])
     if len(head) < HEAD.size:
         raise DamagedRecord(f"no record at {offset}")
     size, check = HEAD.unpack(head)
     if masked(head[:8]) != check:
         raise DamagedRecord(f"length at {offset}")
-    payload, tail = file.read(size), file.read(TAIL.size)
+    start = offset + HEAD.size
+    payload, tail = bytes(data[start : start + size]), bytes(data[start + size : start + size + TAIL.size])
     if len(payload) < size or len(tail) < TAIL.size or TAIL.unpack(tail)[0] != masked(payload):
         raise DamagedRecord(f"payload at {offset}")
     return payload
 
 
 def store(uri: str):
-    """File system and path of a folder, through the stores that Arrow knows."""
+    """File system and path of a folder, through the stores that Arrow knows.
+
+    A path without a scheme would mean the disk of whoever reads it, so it is refused.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    if "://" not in uri:
+        raise ValueError(f"{uri} names no store: give it with its scheme")
+    return fs.FileSystem.from_uri(uri)
 
 
 class Writer:
@@ -135,13 +142,15 @@ def write_ids(docs: DataFrame, path: str, end: int, uri: str, key: str = "doc_id
 
     The rows are placed by ranges of the key and sorted within them, so the order of (part, seq) and of
     the records in a file is the order of keys. Missing keys come first, rows of equal keys stay
-    next to each other, in the order of their texts. A missing text counts as empty and still has its end id. An empty
+    next to each other, in an order that their texts give. A missing text counts as empty and still has its end id. An empty
     table has an empty manifest. Only key and text are read.
     """
     spark = arrow.prepared(docs.sparkSession)
     width = 2 if max(library_tokenizer(path).get_vocab_size() - 1, end) < 1 << 16 else 4
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # equal and missing keys can be many: their rows are told apart by their texts
+    named = rows.withColumn("named", F.xxhash64("text"))
+    placed = named.repartitionByRange("doc_id", "named").sortWithinPartitions("doc_id", "named", "text").drop("named")
     manifest = placed.mapInArrow(lambda it: write_batches(it, path, end, width, uri), MANIFEST)
     manifest.write.parquet(f"{uri}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
@@ -157,20 +166,22 @@ def read_batches(batches: Iterator[pa.RecordBatch], uri: str, seed: int | None)
         if seed is not None:
             order = np.random.default_rng([seed, row["part"], row["seq"]]).permutation(len(entries))
         out, held = [], 0
-        with files.open_input_file(f"{folder}/{row['name']}.rec") as file:
-            for place in order:
-                payload = payload_at(file, int(entries["offset"][place]))
-                known, key = KEY.unpack_from(payload)
-                ids = payload[KEY.size :]
-                if row["width"] == 2:
-                    ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                if len(ids) // 4 != entries["ids"][place]:
-                    raise DamagedRecord(f"index entry {place} of {row['name']}")
-                out.append((row["part"], row["seq"], int(place), int(before[place]), key if known else None, len(ids) // 4, ids))
-                held += len(ids)
-                if held >= 8 << 20:
-                    yield arrow.batch(READ_ARROW, [list(c) for c in zip(*out, strict=True)])
-                    out, held = [], 0
+        # one request for a file, whose size is bounded; any order of its records is then a matter of memory
+        with files.open_input_stream(f"{folder}/{row['name']}.rec") as file:
+            data = memoryview(file.read())
+        for place in order:
+            payload = payload_at(data, int(entries["offset"][place]))
+            known, key = KEY.unpack_from(payload)
+            ids = payload[KEY.size :]
+            if row["width"] == 2:
+                ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+            if len(ids) // 4 != entries["ids"][place]:
+                raise DamagedRecord(f"index entry {place} of {row['name']}")
+            out.append((row["part"], row["seq"], int(place), int(before[place]), key if known else None, len(ids) // 4, ids))
+            held += len(ids)
+            if held >= 8 << 20:
+                yield arrow.batch(READ_ARROW, [list(c) for c in zip(*out, strict=True)])
+                out, held = [], 0
         if out:
             yield arrow.batch(READ_ARROW, [list(c) for c in zip(*out, strict=True)])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablesieve.llm import jaccard, neighbours
 from tablesieve.llm.components import components
+from tablesieve.runtime import materialize
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, row string, set_id string, token string, n string, _row string"
@@ -90,10 +91,9 @@ def test_odd_rows(spark):
     assert found == sorted(classes(rows), key=str)
     kept = jaccard.keep_first(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns and {r.n for r in kept.collect()} == {"4"}
-    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == sorted(
-        (r for r in rows if r[0] in {6, 7, 8, 10, 11, 3}), key=lambda r: r[0]
-    ) + [] or {r.doc_id for r in kept.collect()} == {5, 6, 7, 8, 10, None, 11, 3}
-    assert kept.count() == 8
+    # documents without shingles all stay, as does the one without key that has a class of its own
+    stays = [r for r in rows if r[0] in {5, 6, 7, 8, 10, 11, 3}] + [(None, "alone here")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(stays, key=str)
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
 
 
@@ -110,6 +110,29 @@ def test_large_group_of_near_copies(spark):
     assert [r.component_id for r in found] == [0]
 
 
+def boilerplate(n):
+    """Pages that share most of their words and no link: 85 of 127 shingles."""
+    shared = " ".join(f"s{i}" for i in range(89))
+    return [(k, shared + " " + " ".join(f"own{k}x{i}" for i in range(17))) for k in range(n)]
+
+
+def test_shared_passages_make_no_pairs(spark):
+    met = {}
+    for n in (400, 1600):
+        texts = jaccard.identified(docs(spark, boilerplate(n)), "doc_id", "text")
+        frequent = spark.sparkContext.broadcast(jaccard.frequent_tokens(texts.select("text")))
+        sets = materialize(texts.mapInArrow(lambda it, frequent=frequent: jaccard.set_batches(it, frequent), jaccard.SETS), "sets")
+        keys = jaccard.keyed(sets)
+        groups = jaccard.group_members(sets, spark.createDataFrame([], "node long, root long"), keys)
+        met[n] = jaccard.met_groups(sets, groups).count()
+    assert met[1600] <= 4 * max(met[400], 100), met
+
+
+def test_boilerplate_has_no_links(spark):
+    found = jaccard.near_duplicates(docs(spark, boilerplate(500))).collect()
+    assert all(r.doc_id == r.component_id for r in found) and len(found) == 500
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(500, i) for i in range(501, 560)]
@@ -143,8 +166,8 @@ def search(spark, rows, k, step=5):
 
 
 def test_recall_and_order(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
-    monkeypatch.setattr(neighbours, "TASK_QUERIES", 20)
+    monkeypatch.setattr(neighbours, "BUNDLE_ROWS", 64)
+    monkeypatch.setattr(neighbours, "HELD_PAIRS", 500)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16)) * 4
     rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + rng.normal(size=16)]) for i in range(1500)]
@@ -159,7 +182,7 @@ def test_recall_and_order(spark, monkeypatch):
 
 
 def test_ties_copies_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbours, "BUNDLE_ROWS", 16)
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(60)] + [(60 + i, [0.0, 1.0, float(i)]) for i in range(6)]
     rows += [(70, None), (75, []), (80, [0.0, 0.0, 0.0]), (85, [1.0, None, 0.0]), (90, [1.0, float("nan"), 0.0]),
              (95, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (100, [1.0, 1.0])]
@@ -167,6 +190,35 @@ def test_ties_copies_and_odd_vectors(spark, monkeypatch):
     assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_recall_on_the_given_vectors(spark):
+    """At the settings of the query, on the given table."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in table.collect()]
+    found, want = search(spark, rows, 20, 20), brute(rows, 20, 20)
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in want[q]}) for q in want)
+    assert set(found) == set(want) and hits >= 0.9 * 20 * len(want)
+
+
+def test_the_test_ends_searches_early(spark):
+    """Clusters far apart: a query verifies a small share of the rows, in steps, and finds its neighbours."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 16)) * 20
+    rows = [(i, [float(x) for x in centres[i % 100] + rng.normal(size=16) * 0.1]) for i in range(4000)]
+    table = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], VECTORS)
+    found, steps = neighbours.search_steps(table, F.col("vec_id") % 40 == 0, 10)
+    verified = sum(s.agg(F.sum("rows")).first()[0] for s in steps)
+    assert len(steps) > 1 and verified < 0.5 * 100 * 4000
+    want = brute(rows, 10, 40)
+    hits = sum(1 for r in found.collect() if r.vec_id in {i for i, _ in want[r.query_id]})
+    assert hits >= 0.9 * 10 * len(want)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(10)] + [(10 + i, [1.0, 2.0, float(i)]) for i in range(4)] + [(20, [1.0])]
+    found = search(spark, rows, 20, 5)
+    assert set(found) == {0, 5} and {i for i, _ in found[5]} == set(range(10)) - {5}
+
+
 def test_few_and_repeated(spark):
     assert not search(spark, [], 3)
     assert not search(spark, [(0, [1.0, 2.0])], 3)

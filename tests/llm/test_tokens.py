@@ -78,7 +78,7 @@ def test_counts(spark, path):
 
 
 def test_records_round_trip(spark, tmp_path):
-    docs, uri = table(spark).repartition(3), str(tmp_path / "records")
+    docs, uri = table(spark).repartition(3), f"file://{tmp_path}/records"
     assert records.write_ids(docs, BYTE, 0, uri).agg(F.sum("records")).first()[0] == len(ODD)
     want, start = [], 0
     order = sorted(range(len(ODD)), key=lambda i: (-1 if i == 3 else i))
@@ -93,25 +93,41 @@ def test_records_round_trip(spark, tmp_path):
 
 
 def test_records_empty_table_and_damage(spark, tmp_path):
-    uri = str(tmp_path / "none")
+    uri = f"file://{tmp_path}/none"
     records.write_ids(table(spark, []), BYTE, 0, uri)
     assert records.summary(spark, uri).count() == 0
-    writer = records.Writer(str(tmp_path), 0, 4)
+    writer = records.Writer(f"file:{tmp_path}", 0, 4)
     writer.add(7, np.array([1, 2], "<u4").tobytes())
     writer.close()
     path = tmp_path / f"{writer.done[0][2]}.rec"
     data = bytearray(path.read_bytes())
-    with open(path, "rb") as file:
-        assert records.payload_at(file, 0)[-8:] == np.array([1, 2], "<u4").tobytes()
+    assert records.payload_at(memoryview(data), 0)[-8:] == np.array([1, 2], "<u4").tobytes()
     data[-6] ^= 1
-    path.write_bytes(bytes(data))
-    with open(path, "rb") as file, pytest.raises(records.DamagedRecord):
-        records.payload_at(file, 0)
+    for part in (data, data[:-2], data[:5], data[:-12]):
+        with pytest.raises(records.DamagedRecord):
+            records.payload_at(memoryview(part), 0)
+
+
+def test_a_path_without_store_is_refused(tmp_path):
+    with pytest.raises(ValueError, match="names no store"):
+        records.store(str(tmp_path))
+
+
+def test_many_rows_of_one_key(spark, tmp_path):
+    rows = [(3 if i % 3 else None, f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, named string, part string")
+    uri = f"file://{tmp_path}/hot"
+    records.write_ids(docs, BYTE, 0, uri)
+    found = sorted(records.summary(spark, uri).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 100 + [3] * 200
+    tokenizer = encoding.library_tokenizer(BYTE)
+    assert found[-1].start + found[-1].n_tokens == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:], strict=False))
 
 
 def test_files_roll(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "FILE_BYTES", 64)
-    writer = records.Writer(str(tmp_path), 3, 4)
+    writer = records.Writer(f"file://{tmp_path}", 3, 4)
     for key in range(10):
         writer.add(key, np.arange(8, dtype="<u4").tobytes())
     writer.close()

@@ -8,8 +8,8 @@ sets are connected, or have been compared.
 The token-group matrix says which groups have which tokens. Tokens have one order for all sets, those found often in a sample come
 last. A set is a query to the groups that have a member as large as itself. Such a link takes 8/9 of the query, and four fifths
 of the larger set, so a group can only qualify if it has one of the query's first ninth of tokens among the first fifths of its members: that part of the
-matrix is laid out by token and joined with the queries. For the groups met, the union of all tokens of the group is stored, and
-how many of the query's tokens it has bounds the overlap with every member. Only groups whose bound is large enough are opened: their members
+matrix is laid out by token and joined with the queries. For the groups met, the union of its members' first tokens is stored, and then, if the query shares
+as many of them as a link needs, the union of all tokens: how many of the query's tokens it has bounds the overlap with every member. Only groups whose bound is large enough are opened: their members
 are bounded one by one by sketches, and what still qualifies is compared in full.
 
 A passage that many sets share is in the last eight ninths of each where it does not make links; then it costs a row per group in the matrix
@@ -222,6 +222,78 @@ def bound_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             out = []
 
 
+def fifth_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The size of a set and 32 bits of each of its first tokens."""
+    schema = pa.schema([("set_id", pa.int64()), ("first", pa.binary())])
+    for rows in batches:
+        out = []
+        for n, tokens in zip(rows.column(1).to_pylist(), rows.column(2), strict=True):
+            values = tokens.values.to_numpy().astype("<u4")
+            out.append(np.concatenate([np.array([n], "<u4"), np.sort(values)]).tobytes())
+        yield arrow.batch(schema, [rows.column(0), out])
+
+
+def fifth_union_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by group; gives its largest size and the union of its members' first tokens."""
+    schema = pa.schema([("group", pa.int64()), ("first", pa.binary())])
+    place, parts, out = None, [], []
+
+    def close() -> None:
+        if parts:
+            most = np.array([max(p[0] for p in parts)], "<u4")
+            out.append((place, np.concatenate([most, np.unique(np.concatenate([p[1:] for p in parts]))]).tobytes()))
+
+    for rows in batches:
+        for group, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if group != place:
+                close()
+                place, parts = group, []
+            parts.append(np.frombuffer(packed, "<u4"))
+        if out:
+            yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)])
+            out.clear()
+    close()
+    if out:
+        yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)])
+
+
+def first_common(n: int, most: int) -> int:
+    """How many of its first tokens a set of ``n`` must share with those of any set of ``n`` to ``most`` that it links to.
+
+    A link of sizes n and m has an overlap of (n + m) * PERCENT / (100 + PERCENT). What lies behind the first tokens of the one or the other
+    can hold only a part of it; the rest is among the first tokens of both.
+    """
+    largest = min(most, 100 * n // PERCENT)
+    least = None
+    for m in (n, largest):
+        overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
+        for size in (n, m):
+            behind = (PERCENT * size + 99) // 100 - 1
+            least = overlap - behind if least is None else min(least, overlap - behind)
+    # one less: rounding between the two ends
+    return max(1, least - 1)
+
+
+def fifth_bound_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by group and block, the union of first tokens first; gives the queries that share enough of theirs."""
+    place, union, most, out = None, None, 0, []
+    for rows in batches:
+        for group, block, other, query, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if (group, block) != place:
+                place, union = (group, block), None
+            values = np.frombuffer(packed, "<u4")
+            if not other:
+                most, union = int(values[0]), values[1:]
+            elif union is not None:
+                n, first = int(values[0]), values[1:]
+                at = np.minimum(np.searchsorted(union, first), len(union) - 1)
+                if int((union[at] == first).sum()) >= first_common(n, max(n, most)):
+                    out.append((group, query))
+        if out:
+            yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
+            out = []
+
+
 def reaches(overlap: int, size: int) -> bool:
     """Whether a set of ``size`` can link to one at least as large with this overlap."""
     return (100 + PERCENT) * overlap >= 2 * PERCENT * size
@@ -286,9 +358,24 @@ def both_sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
 
+def sharing(met: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written met(query, group) whose first tokens have enough in common; no text is looked at."""
+    holders = materialize(groups.join(met.select("group").distinct(), "group", "left_semi").select("set_id", "group"), "met-holders")
+    wanted = holders.select("set_id").unionByName(met.select(F.col("query").alias("set_id"))).distinct()
+    known = sets.where(F.col("tokens").isNotNull()).join(wanted, "set_id", "left_semi").select("set_id", "n_shingles", "tokens")
+    firsts = known.mapInArrow(fifth_batches, "set_id long, first binary")
+    # a set that several tasks met is there several times
+    firsts = materialize(firsts.groupBy("set_id").agg(F.min("first").alias("first")), "firsts")
+    by_group = holders.join(firsts, "set_id").select("group", "first").repartition("group").sortWithinPartitions("group")
+    unions = materialize(by_group.mapInArrow(fifth_union_batches, "group long, first binary"), "first-unions")
+    asked = met.select(F.col("group").alias("a"), F.col("query").alias("b"))
+    placed = by_hub(asked, unions.withColumnRenamed("group", "a"), firsts, "first")
+    return placed.mapInArrow(fifth_bound_batches, "a long, b long").select(F.col("b").alias("query"), F.col("a").alias("group"))
+
+
 def linked(met: DataFrame, groups: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
-    """The links(a, b) that written met(query, group) lead to: groups by their unions, members by sketches, then in full."""
-    met = materialize(met, "met")
+    """The links(a, b) that met(query, group) lead to: groups by their unions, members by sketches, then in full."""
+    met = materialize(met, "sharing")
     holders = groups.join(met.select("group").distinct(), "group", "left_semi").select("set_id", "group")
     holders = materialize(holders, "holders")
     wanted = holders.select("set_id").unionByName(met.select(F.col("query").alias("set_id"))).distinct()
@@ -447,7 +534,8 @@ def set_roots(sets: DataFrame, texts: DataFrame) -> DataFrame:
     keys = keyed(sets)
     roots = components(grouped(keys, texts, first_rows))
     groups = group_members(sets, roots, keys)
-    links = linked(met_groups(sets, groups), groups, texts, first_rows)
+    met = materialize(met_groups(sets, groups), "met")
+    links = linked(sharing(met, groups, sets), groups, texts, first_rows)
     # links between groups are contracted to their roots
     for side in "ab":
         root = roots.select(F.col("node").alias(side), "root")

@@ -20,10 +20,11 @@ from tablesieve.llm import arrow
 UNKNOWN = "und"
 MARGIN = 0.01
 
-#: Bounds of the training sample: texts per language, characters taken of each, bytes of a dictionary.
+#: The training sample: labelled rows of each language, and the characters of a dictionary that each of them fills.
 SAMPLE_TEXTS = 96
-SAMPLE_CHARS = 4000
-DICTIONARY_BYTES = 112 << 10
+TEXT_CHARS = 1200
+#: A longer text fills its share with parts of so many characters from all of it.
+SPREAD_CHARS = 200
 
 LEVEL = 7
 PART_BYTES = 2048
@@ -40,8 +41,17 @@ def remainder(key: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
+def spread_parts(text: Column) -> Column:
+    """A text of at most ``TEXT_CHARS``, or as much of a longer one: parts at even distances, the first and the last included."""
+    parts = TEXT_CHARS // SPREAD_CHARS
+    room = F.length(text) - SPREAD_CHARS
+    start = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.floor(i * room / (parts - 1)).cast("int") + 1)
+    listed = F.transform(start, lambda at: F.substring(text, at, F.lit(SPREAD_CHARS)))
+    return F.when(F.length(text) <= TEXT_CHARS, text).otherwise(F.array_join(listed, "\n"))
+
+
 def training_texts(known: DataFrame) -> dict[str, list[str]]:
-    """A bounded sample of the texts of each language in known(lang, text).
+    """A bounded sample of the texts of each language in known(lang, text): ``SAMPLE_TEXTS`` of them, by ``spread_parts``.
 
     The hash of a text names its bucket and decides which text of the bucket is taken, so copies count once, a
     language of any size is reduced before the shuffle, and the sample depends on the texts alone.
@@ -51,9 +61,9 @@ def training_texts(known: DataFrame) -> dict[str, list[str]]:
     chosen = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_TEXTS)).alias("bucket")).agg(F.min("h").alias("h"))
     # at most SAMPLE_TEXTS rows per language
     picked = rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"])
-    slices = picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    parts = picked.select("lang", "h", spread_parts(F.col("text")).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     found: dict[str, list[str]] = {}
-    for row in slices.orderBy("lang", "h").toLocalIterator():
+    for row in parts.orderBy("lang", "h").toLocalIterator():
         found.setdefault(row["lang"], []).append(row["text"])
     return found
 
@@ -61,7 +71,7 @@ def training_texts(known: DataFrame) -> dict[str, list[str]]:
 def dictionaries(texts: dict[str, list[str]]) -> dict[str, bytes]:
     """Dictionary bytes of each language, those with most text first: they win where sizes are equal."""
     joined = {lang: "\n".join(t).lower().encode("utf-8") for lang, t in texts.items()}
-    return {lang: joined[lang][:DICTIONARY_BYTES] for lang in sorted(joined, key=lambda k: (-len(joined[k]), k))}
+    return {lang: joined[lang] for lang in sorted(joined, key=lambda k: (-len(joined[k]), k))}
 
 
 class Classifier:
@@ -113,8 +123,8 @@ def identify(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str =
     One row comes out per row that goes in; only key and text are read. A missing text, or one without a letter, is
     ``und`` with score 0 and rejected; so is everything when no language is known. Equal sizes go to the
     language with more training text and are rejected as narrow. Missing keys stay missing, repeated rows get
-    equal results, long texts are compressed part by part, an empty table gives an empty one. Dictionaries take
-    ``DICTIONARY_BYTES`` per language in every worker.
+    equal results, long texts are compressed part by part, an empty table gives an empty one. A dictionary has
+    ``SAMPLE_TEXTS`` times ``TEXT_CHARS`` characters at most, in every worker.
     """
     arrow.prepared(docs.sparkSession)
     contents = tuple(dictionaries(training_texts(known)).items())

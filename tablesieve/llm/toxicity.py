@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 from tablesieve.llm import arrow
 from tablesieve.runtime import materialize
 
-#: Bounds of the fit: labelled documents (those whose hashed ids are smallest) and features (the most telling).
+#: Bound of the fit: labelled documents (those whose hashed ids are smallest).
 MOST_LABELLED = 12_000
-MOST_FEATURES = 1024
-LEAST_TEXTS = 2
+#: A feature takes part if so many of these have it, and it is by so much more frequent with one label.
+LEAST_TEXTS = 5
 LEAST_LOG_ODDS = 1.0
 
 PREFIX = 5
@@ -78,7 +78,7 @@ def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def telling_features(sample: DataFrame) -> list[str]:
-    """The ``MOST_FEATURES`` features of sample(doc_id, label, text) that tell the labels apart best."""
+    """All features of sample(doc_id, label, text) that tell the labels apart; the sample bounds their number."""
     found = sample.mapInArrow(feature_batches, "doc_id long, label int, features array<string>")
     sizes = sample.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).first()
     p, q = float(sizes["p"] or 0), float(sizes["q"] or 0)
@@ -89,13 +89,8 @@ def telling_features(sample: DataFrame) -> list[str]:
     )
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (q + 1))
-    chi2 = (p + q) * F.pow(a * (q - b) - b * (p - a), 2) / (p * q * (a + b) * (p + q + 1 - a - b))
-    best = (
-        seen.where((a + b >= LEAST_TEXTS) & (F.abs(odds) >= LEAST_LOG_ODDS))
-        .orderBy(F.desc(chi2), "feature")
-        .limit(MOST_FEATURES)
-    )
-    return [r["feature"] for r in best.select("feature").collect()]
+    telling = seen.where((a + b >= LEAST_TEXTS) & (F.abs(odds) >= LEAST_LOG_ODDS))
+    return [r["feature"] for r in telling.select("feature").orderBy("feature").collect()]
 
 
 def place_batches(batches: Iterator[pa.RecordBatch], names: list[str], groups) -> Iterator[pa.RecordBatch]:
@@ -113,30 +108,46 @@ def place_batches(batches: Iterator[pa.RecordBatch], names: list[str], groups) -
         yield arrow.batch(schema, [rows.column(1), own, swapped])
 
 
+class Sparse:
+    """Rows of few (place, value) pairs, for products with a vector from either side."""
+
+    def __init__(self, rows: list[dict[int, float]], size: int):
+        self.count, self.size = len(rows), size
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.place = np.array([p for r in rows for p in r], np.int64)
+        self.value = np.array([v for r in rows for v in r.values()], float)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.place], self.count)
+
+    def turned(self, y: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, self.value * y[self.row], self.size)
+
+
+def changes(own: list[list[int]], swapped: list[list[list[int]]]) -> list[dict[int, float]]:
+    """What swaps change, each kind of change once: 1 for a feature that goes, -1 for one that comes."""
+    kinds = set()
+    for before, others in zip(own, swapped, strict=True):
+        have = set(before)
+        for after in others:
+            new = set(after)
+            kinds.add((tuple(sorted(have - new)), tuple(sorted(new - have))))
+    return [dict.fromkeys(gone, 1.0) | dict.fromkeys(come, -1.0) for gone, come in sorted(kinds) if gone or come]
+
+
 def fit_weights(own: list[list[int]], swapped: list[list[list[int]]], label: np.ndarray, size: int) -> tuple[np.ndarray, float]:
     """Weights and bias: logistic loss with balanced labels, plus the squared change of the margin for each swap."""
-
-    def dense(rows: list[list[int]]) -> np.ndarray:
-        x = np.zeros((len(rows), size), np.float32)
-        for i, places in enumerate(rows):
-            x[i, places] = 1
-        return x
-
-    x = dense(own)
-    pairs = [(i, s) for i, row in enumerate(swapped) for s in row]
-    changed = np.zeros((0, size), np.float32)
-    if pairs:
-        changed = np.unique(x[[i for i, _ in pairs]] - dense([s for _, s in pairs]), axis=0)
-        changed = changed[np.abs(changed).any(axis=1)]
-    weight = np.where(label > 0, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1)).astype(np.float32)
+    x = Sparse([dict.fromkeys(r, 1.0) for r in own], size)
+    changed = Sparse(changes(own, swapped), size)
+    weight = np.where(label > 0, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
     w = np.zeros(size + 1)
     mean, square = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -30, 30)))
         miss = weight * (p - label)
-        slope = np.append(x.T @ miss.astype(np.float32) + L2 * w[:-1], miss.sum())
-        if len(changed):
-            slope[:-1] += 2 * SWAP_WEIGHT * (changed.T @ (changed @ w[:-1].astype(np.float32))) / len(changed)
+        slope = np.append(x.turned(miss) + L2 * w[:-1], miss.sum())
+        if changed.count:
+            slope[:-1] += 2 * SWAP_WEIGHT * changed.turned(changed.times(w[:-1])) / changed.count
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         w -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -161,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, groups=IDENTITY
         lambda it: place_batches(it, names, groups), "label int, own array<int>, swapped array<array<int>>"
     )
     rows = places.toArrow()
-    label = rows.column("label").to_numpy().astype(np.float32)
+    label = rows.column("label").to_numpy().astype(float)
     weights, bias = fit_weights(rows.column("own").to_pylist(), rows.column("swapped").to_pylist(), label, len(names))
     return {n: float(v) for n, v in zip(names, weights, strict=True) if v}, bias
 

@@ -21,9 +21,10 @@ from tablesieve.runtime import materialize
 
 #: Bound of the fit: labelled documents (those whose hashed ids are smallest).
 MOST_LABELLED = 12_000
-#: A feature takes part if so many of these have it, and it is by so much more frequent with one label.
-LEAST_TEXTS = 5
+#: A feature takes part if so many of these have it, it is by so much more frequent with one label, and its chi-square test says so.
+LEAST_TEXTS = 2
 LEAST_LOG_ODDS = 1.0
+LEAST_CHI2 = 10.83
 
 PREFIX = 5
 RATE, STEPS, L2, SWAP_WEIGHT = 0.1, 300, 1e-4, 1.0
@@ -89,7 +90,8 @@ def telling_features(sample: DataFrame) -> list[str]:
     )
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (q + 1))
-    telling = seen.where((a + b >= LEAST_TEXTS) & (F.abs(odds) >= LEAST_LOG_ODDS))
+    chi2 = (p + q) * F.pow(a * (q - b) - b * (p - a), 2) / (p * q * (a + b) * (p + q + 1 - a - b))
+    telling = seen.where((a + b >= LEAST_TEXTS) & (F.abs(odds) >= LEAST_LOG_ODDS) & (chi2 >= LEAST_CHI2))
     return [r["feature"] for r in telling.select("feature").orderBy("feature").collect()]
 
 

@@ -5,7 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow.parquet as pq
+import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from tablesieve.llm import language, quality, toxicity, trees
@@ -106,6 +107,32 @@ def test_language_held_out(spark):
     assert np.mean([r.rejected for r in long]) < 0.02
 
 
+def test_language_one_text_at_a_time(spark):
+    """The same dictionaries and plain zstandard, one text after the other."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    known = table.where(F.col("doc_id") % 4 != 0).select("lang", "text")
+    contents = language.dictionaries(language.training_texts(known))
+    assert len(contents) == 4
+    packers = {}
+    for name, content in contents.items():
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers[name] = zstandard.ZstdCompressor(level=7, dict_data=held, write_content_size=False, write_dict_id=False)
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for r in language.identify(table, known).collect():
+        data = texts[r.doc_id].lower().encode()
+        sizes = {n: sum(len(p.compress(data[i : i + 2048])) for i in range(0, max(1, len(data)), 2048)) for n, p in packers.items()}
+        best = min(sizes, key=sizes.get) if re.search(r"[^\W\d_]", texts[r.doc_id]) else "und"
+        assert r.lang_pred == best, r.doc_id
+
+
+def test_training_takes_parts_from_all_of_a_text(spark):
+    long = "".join(f"{i:06d} word " for i in range(20_000))
+    found = language.training_texts(spark.createDataFrame([("en", long), ("en", "short text"), ("de", long[:1200])], "lang string, text string"))
+    parts = max(found["en"], key=len).split("\n")
+    assert len(parts) == 6 and parts[0] == long[:200] and parts[-1] == long[-200:] and all(p in long for p in parts)
+    assert "short text" in found["en"] and found["de"] == [long[:1200]]
+
+
 def test_language_odd_rows(spark):
     known = spark.createDataFrame(
         [("en", "the cat and the dog sat on the mat " * 9)] * 50 + [("de", "der hund und die katze saßen auf dem dach " * 9)] * 3
@@ -132,6 +159,34 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted for r in toxic]) > 0.85 and np.mean([r.predicted for r in clean]) < 0.02
 
 
+def test_toxicity_one_text_at_a_time(spark):
+    """Weights applied to the words of one text after the other, without the operator's functions."""
+    table, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    weights, bias = toxicity.fit(table, labels, "doc_id", "text")
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for r in toxicity.score(table, labels).collect():
+        words = set(regex.findall(r"[\p{L}\p{M}\p{N}]+", texts[r.doc_id].lower()))
+        found = words | {"*" + w[:5] for w in words if len(w) > 5}
+        want = 1 / (1 + np.exp(-np.clip(bias + sum(weights.get(f, 0.0) for f in found), -30, 30)))
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_weights_are_those_of_dense_matrices():
+    rng = np.random.default_rng(8)
+    own = [sorted(rng.choice(30, rng.integers(0, 8), replace=False).tolist()) for _ in range(60)]
+    swapped = [[sorted({*row[1:], int(rng.integers(30))})] if row and i % 2 else [] for i, row in enumerate(own)]
+    x = np.zeros((60, 30))
+    for i, row in enumerate(own):
+        x[i, row] = 1
+    sparse = toxicity.Sparse([dict.fromkeys(r, 1.0) for r in own], 30)
+    w, y = rng.normal(size=30), rng.normal(size=60)
+    assert np.allclose(sparse.times(w), x @ w) and np.allclose(sparse.turned(y), x.T @ y)
+    dense = {tuple(x[i] - np.isin(np.arange(30), s)) for i, row in enumerate(swapped) for s in row}
+    found = toxicity.changes(own, swapped)
+    rows = {tuple(np.array([r.get(j, 0.0) for j in range(30)])) for r in found}
+    assert rows == {d for d in dense if any(d)} and len(found) == len(rows)
+
+
 def biased(spark):
     """Toxic texts that mostly name one group, clean ones that hardly do."""
     draw = random.Random(6)

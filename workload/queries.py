@@ -833,14 +833,14 @@ def question_record(spark, sf):
     )
 
 
-@register("run_resumed", f"""WITH {FILTERED_SQL}, lines AS (SELECT qid, rnk, string_agg(col_name || ': ' || {VALUE}, '; ' ORDER BY pos) AS line FROM kc GROUP BY ALL),
-    parts AS (SELECT qid, (rnk // {PER_PART}) + 1 AS part, string_agg(line, ' | ' ORDER BY rnk) AS text FROM lines GROUP BY ALL),
-    best AS (SELECT k.qid, count(*) AS kept_rows, max(round(fusion, 6)) AS top_score FROM ranked k WHERE {sql.KEEP} GROUP BY k.qid),
-    cols AS (SELECT qid, string_agg(col_name || '=' || description, ',' ORDER BY pos) AS columns FROM
+@register("run_resumed", f"""WITH {FILTERED_SQL}, rlines AS (SELECT qid, rnk, string_agg(col_name || ': ' || {VALUE}, '; ' ORDER BY pos) AS line FROM kc GROUP BY ALL),
+    rparts AS (SELECT qid, (rnk // {PER_PART}) + 1 AS part, string_agg(line, ' | ' ORDER BY rnk) AS text FROM rlines GROUP BY ALL),
+    rbest AS (SELECT k.qid, count(*) AS kept_rows, max(round(fusion, 6)) AS top_score FROM ranked k WHERE {sql.KEEP} GROUP BY k.qid),
+    rcols AS (SELECT qid, string_agg(col_name || '=' || description, ',' ORDER BY pos) AS columns FROM
              (SELECT qid, pos, col_name, 'about ' || col_name AS description FROM sel) GROUP BY qid),
-    vt AS (SELECT qid, count(*) AS votes FROM pv GROUP BY qid)
+    rvotes AS (SELECT qid, count(*) AS votes FROM pv GROUP BY qid)
     SELECT qid, CASE WHEN qid % 2 = 0 THEN 1 ELSE 2 END AS run, 'ok' AS status, part, text, kept_rows, top_score, columns, votes
-    FROM parts JOIN best USING (qid) JOIN cols USING (qid) JOIN vt USING (qid) WHERE qid % 7 <> 0
+    FROM rparts JOIN rbest USING (qid) JOIN rcols USING (qid) JOIN rvotes USING (qid) WHERE qid % 7 <> 0
     UNION ALL SELECT qid, CASE WHEN qid % 2 = 0 THEN 1 ELSE 2 END, 'failed', NULL, NULL, NULL, NULL, NULL, NULL FROM pq WHERE qid % 7 = 0""")
 def run_resumed(spark, sf):
     """A run over half of the questions, one over all that takes up the rest, and everything known of them read back."""

@@ -386,11 +386,26 @@ def linked(met: DataFrame, groups: DataFrame, texts: DataFrame, first_rows: Data
     asked = met.select(F.col("group").alias("a"), F.col("query").alias("b"))
     placed = by_hub(asked, unions.select(F.col("group").alias("a"), F.col("union").alias("sketch")), sketches, "sketch")
     qualified = materialize(placed.mapInArrow(bound_batches, "a long, b long"), "qualified")
-    # opened: the members that are as large as the query, and not too large
+    # a query needs one link to a connected set of groups: one of them is opened first, the others if that gives none
+    keyed_ = groups.select(F.col("group").alias("a"), F.coalesce("root", "group").alias("key")).distinct()
+    qualified = materialize(qualified.join(keyed_, "a"), "keyed-groups")
+    first = materialize(qualified.groupBy("b", "key").agg(F.min("a").alias("a")), "first-groups")
+    links = materialize(opened_groups(first, groups, sketches, texts, first_rows), "links")
+    members = groups.select(F.col("set_id").alias("member"), F.coalesce("root", "group").alias("key"))
+    found = links.select(F.col("a").alias("b"), F.col("b").alias("member")).join(members, "member").select("b", "key").distinct()
+    rest = qualified.join(first, ["b", "key", "a"], "left_anti").join(found, ["b", "key"], "left_anti")
+    rest = materialize(rest, "other-groups")
+    if rest.isEmpty():
+        return links
+    return links.unionByName(opened_groups(rest, groups, sketches, texts, first_rows))
+
+
+def opened_groups(qualified: DataFrame, groups: DataFrame, sketches: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """Links(a, b) of each query ``b`` to the members of group ``a`` that are as large as the query, and not too large."""
     queries = groups.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"))
     members = groups.select(F.col("group").alias("a"), "set_id", "n")
     sized = (F.col("n") >= F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n"))
-    pairs = qualified.join(queries, "b").join(members, "a").where(sized & (F.col("set_id") != F.col("b")))
+    pairs = qualified.select("a", "b").join(queries, "b").join(members, "a").where(sized & (F.col("set_id") != F.col("b")))
     pairs = materialize(pairs.select(F.col("b").alias("a"), F.col("set_id").alias("b")), "pairs")
     hubs = sketches.withColumnRenamed("set_id", "a")
     opened = materialize(by_hub(pairs, hubs, sketches, "sketch").mapInArrow(open_batches, "a long, b long"), "opened")

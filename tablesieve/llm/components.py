@@ -33,9 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         trees = flattened(apart.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hook")))
         rounds.append(trees.select("node", F.col("root").alias("above")))
         # a link that is its node's hook lies within a tree
-        left = apart.join(trees.withColumnRenamed("node", "a"), "a").where(F.col("b") <> F.col("hook")).select("root", "b").distinct()
+        left = apart.join(trees.withColumnRenamed("node", "a"), "a").where(F.col("b") != F.col("hook")).select("root", "b").distinct()
         ends = trees.select(F.col("node").alias("b"), F.col("root").alias("end"))
-        left = left.join(ends, "b", "left").select("root", F.coalesce("end", "b").alias("end")).where("root <> end")
+        left = left.join(ends, "b", "left").select("root", F.coalesce("end", "b").alias("end")).where(F.col("root") != F.col("end"))
         apart = materialize(left.select(F.greatest("root", "end").alias("a"), F.least("root", "end").alias("b")).distinct(), "apart")
     roots = nodes.select("node", F.col("node").alias("root"))
     for trees in rounds:

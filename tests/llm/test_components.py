@@ -23,7 +23,8 @@ def plain(links):
 
 
 def ids(n):
-    return random.Random(n).sample(range(-(1 << 62), 1 << 62), n)
+    draw = random.Random(n)
+    return [draw.getrandbits(63) - (1 << 62) for _ in range(n)]
 
 
 GRAPHS = {

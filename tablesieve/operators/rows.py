@@ -27,6 +27,11 @@ from tablesieve.runtime import materialize
 BLOCK_ROWS = 10_000
 GROUP_QUESTIONS = 256
 
+#: Bytes of text that a task counts: the counts of its terms take about a hundred times as much memory.
+TASK_TEXT = 4_000_000
+#: Bytes of text below which another task gains nothing.
+LEAST_TEXT = 64_000
+
 # Parameters of the scores.
 BM25_K1 = 1.5
 BM25_B = 0.75
@@ -48,6 +53,18 @@ def place_of(member: Column, count: Column) -> Column:
     return F.pmod(F.xxhash64(member), count)
 
 
+def text_tasks(texts: DataFrame, text: str) -> int:
+    """In how many tasks texts are counted, by their bytes: as many as there are cores while texts are few.
+
+    Exchanges that are left to adaptive execution grow to its size of a partition, which is meant for rows as they are read
+    and is far too much for text whose terms are held apart.
+    """
+    (size,) = texts.agg(F.sum(F.octet_length(text))).first()
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    size = size or 0
+    return max(1, -(-size // TASK_TEXT), min(cores, size // LEAST_TEXT))
+
+
 def tokens(texts: DataFrame, keys: list[str], text: str, kinds: tuple[str, ...] = (WORD, PIECE)) -> DataFrame:
     """All tokens of each text, ``keys..., len, kind, term``, and one mark per text; ``len`` counts its pieces."""
     body = F.col(text)
@@ -75,9 +92,11 @@ def with_length(counted: DataFrame) -> DataFrame:
 def postings(rows: DataFrame, kinds: tuple[str, ...] = (WORD, PIECE)) -> DataFrame:
     """Counted terms of rows(corpus, row_id, text): ``corpus, row_id, kind, term, tf, len``.
 
-    The text is shuffled once, by row; counting and lengths stay where the row is.
+    The text is shuffled once, by row; counting and lengths stay where the row is. ``rows`` is read twice, at first for
+    the bytes of its texts: their number of tasks grows with them, so a task holds the terms of ``TASK_TEXT`` bytes.
     """
-    placed = rows.select("corpus", "row_id", "text").repartition("corpus", "row_id")
+    texts = rows.select("corpus", "row_id", "text")
+    placed = texts.repartition(text_tasks(texts, "text"), "corpus", "row_id")
     counted = tokens(placed, ["corpus", "row_id"], "text", kinds).groupBy("corpus", "row_id", "kind", "term", "len")
     return counted.agg(F.count("*").alias("tf"))
 

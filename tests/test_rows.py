@@ -171,3 +171,15 @@ def test_signals_not_asked_for_are_zero(spark):
     assert alone.keys() == full.keys()
     for key, r in full.items():
         assert alone[key].tfidf == 0 and alone[key].bm25 == pytest.approx(r.bm25, abs=1e-12)
+
+
+def test_tasks_that_count_terms_grow_with_the_text(spark, monkeypatch):
+    """Texts that fit into one partition of an exchange are still counted in as many tasks as their bytes ask for."""
+    monkeypatch.setattr(rw, "TASK_TEXT", 10_000, raising=False)
+    text = F.repeat(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" ")), 40)
+    corpus = (F.col("id") % 2).cast("string").alias("corpus")
+    rows = spark.range(1000).select(corpus, F.col("id").alias("row_id"), text.alias("text"))
+    counted = rw.postings(rows).withColumn("task", F.spark_partition_id())
+    found = counted.where(F.col("kind") == rw.MARK).collect()
+    tasks = [r.task for r in found]
+    assert len(found) == 1000 and len(set(tasks)) >= 25 and max(map(tasks.count, set(tasks))) < 100

@@ -8,9 +8,9 @@ question whose centres stand still takes no part in later rounds. Starts, distan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tablesieve.operators.clusters import MOST_ROUNDS, cluster_columns, nearest, steady
+from tablesieve.operators.clusters import MOST_ROUNDS, cluster_columns, steady
 from tablesieve.operators.selection import positions
 from tablesieve.runtime import materialize
 
@@ -18,6 +18,8 @@ from tablesieve.runtime import materialize
 ARRAY_POINTS = 10_000
 
 COORDINATE = "decimal(28,15)"
+#: Centres of a question: the first, middle and last of its points.
+CENTRES = 3
 
 
 def first_centres(points: DataFrame) -> DataFrame:
@@ -35,9 +37,22 @@ def first_centres(points: DataFrame) -> DataFrame:
 
 
 def assigned(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Points with the number ``k`` of their nearest centre and the ``centres`` of their question."""
-    point = F.struct(F.col("llm").alias("x"), F.col("sim").alias("y"))
-    return points.join(centres, "qid").withColumn("k", nearest(F.col("centres"), point))
+    """Points with the number ``k`` of their nearest centre and the ``centres`` of their question.
+
+    As ``clusters.nearest``, with a column per centre in place of an array: it runs for every point in every round. There are
+    at most ``CENTRES``; the distance to one that is missing is null and takes no part.
+    """
+    placed = points.join(centres, "qid")
+
+    def distance(i: int) -> Column:
+        dx, dy = F.get("centres", F.lit(i))["x"] - F.col("llm"), F.get("centres", F.lit(i))["y"] - F.col("sim")
+        return steady(dx * dx + dy * dy, 9)
+
+    names = [f"_d{i}" for i in range(CENTRES)]
+    placed = placed.select("*", *[distance(i).alias(name) for i, name in enumerate(names)])
+    placed = placed.withColumn("_least", F.least(*names))
+    number = F.coalesce(*[F.when(F.col(name) == F.col("_least"), i) for i, name in enumerate(names)])
+    return placed.withColumn("k", number).drop("_least", *names)
 
 
 def next_centres(points: DataFrame, centres: DataFrame) -> DataFrame:

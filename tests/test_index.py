@@ -87,3 +87,18 @@ def test_equal_points_and_no_points(spark):
     same = spark.createDataFrame([(1, i, "c", 0.5, 0.5) for i in range(50)], "qid long, col_ord long, col_name string, llm double, sim double")
     assert {r.cluster_id for r in ps.cluster_points(materialize(same)).collect()} == {0}
     assert ps.cluster_points(materialize(same.where(F.lit(False)))).collect() == []
+
+
+def test_nearest_centre_by_columns_is_that_of_the_array(spark):
+    """Ties, fewer centres than three, missing and odd coordinates; no function runs over an array for each point."""
+    odd = float("nan")
+    centres = spark.createDataFrame(
+        [(1, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]), (2, [(0.5, 0.5)]), (3, [(0.0, None), (1.0, 1.0)]), (4, [(odd, 0.0), (0.0, 0.0)]), (5, [])],
+        "qid long, centres array<struct<x:double,y:double>>",
+    )
+    values = [(q, x, y) for q in range(1, 6) for x in (0.0, 0.5, 1.5, 2.0, odd, None) for y in (0.0, 0.5, 1.5, None)]
+    found = ps.assigned(spark.createDataFrame(values, "qid long, llm double, sim double"), centres)
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    point = F.struct(F.col("llm").alias("x"), F.col("sim").alias("y"))
+    assert found.where(~F.col("k").eqNullSafe(cl.nearest(F.col("centres"), point))).count() == 0
+    assert found.count() == len(values)

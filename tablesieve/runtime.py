@@ -24,6 +24,9 @@ SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # token and cluster work is heavy for its bytes: keep tasks apart that are small on disk
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # a task holds the rows of its partition sorted or hashed, some thirty times their bytes on disk: partitions are not put
+    # together beyond this
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     # a hot key is split between tasks even where that costs another shuffle afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

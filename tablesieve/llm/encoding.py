@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import functools
 import json
+import operator
 import os
 import re
+from itertools import compress
 
 import numpy as np
 
@@ -26,6 +28,9 @@ SPLIT = rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^{SPACES}\w]|_)+|[{SPACE
 TOGETHER_CHARS = 1 << 20
 KEPT_PIECES = 1_000_000
 KEPT_LENGTH = 64
+#: The library takes some hundred bytes of its own for each text that it is given, and as long as for several merges.
+JOINED_PIECES = 256
+CALL_TEXTS = 256
 
 
 def library_tokenizer(path: str):
@@ -93,6 +98,11 @@ class Encoder:
         self.findall = re.compile(SPLIT).findall
         self.agreement = Agreement(self._same_split)
         self.kept: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        # a space is written so by byte-level tokenizers
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.joins = self.by_piece and not any(" " in name for name in self.specials.names)
 
     def _same_split(self, char: str) -> bool:
         probe = f"a{char}b1{char} {char}."
@@ -101,30 +111,58 @@ class Encoder:
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text as the library gives them, some at a time: what it makes of a text is held until the call ends."""
+        out: list[list[int]] = []
+        for at in range(0, len(texts), CALL_TEXTS):
+            found = self.library.encode_batch_fast(texts[at : at + CALL_TEXTS], add_special_tokens=False)
+            out.extend(e.ids for e in found)
+        return out
+
+    def _joined(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that have one space, at their start, encoded as texts of many pieces.
+
+        The split cuts before each of those spaces, so a piece's ids go from one token that opens with a space to the next.
+        """
+        runs = [pieces[at : at + JOINED_PIECES] for at in range(0, len(pieces), JOINED_PIECES)]
+        out: dict[str, bytes] = {}
+        for run, found in zip(runs, self._encoded(["".join(run) for run in runs]), strict=True):
+            starts = np.flatnonzero(self.opens[found]).tolist()
+            if len(starts) != len(run) or starts[0]:
+                out.update((p, self._packed(ids)) for p, ids in zip(run, self._encoded(run), strict=True))
+                continue
+            data, width = self._packed(found), self.dtype.itemsize
+            ends = [*starts[1:], len(found)]
+            out.update((p, data[a * width : b * width]) for p, a, b in zip(run, starts, ends, strict=True))
+        return out
+
     def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of new pieces, which are kept; those of long pieces are only handed on."""
         if len(self.kept) + len(pieces) > KEPT_PIECES:
             self.kept.clear()
-        new = list(pieces)
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        packed = {p: self._packed(e.ids) for p, e in zip(new, found, strict=True)}
+        joined = [p for p in pieces if p[0] == " " and p[1:2].strip()] if self.joins else []
+        packed = self._joined(joined)
+        rest = [p for p in pieces if p not in packed]
+        packed.update((p, self._packed(ids)) for p, ids in zip(rest, self._encoded(rest), strict=True))
         self.kept.update((p, ids) for p, ids in packed.items() if len(p) <= KEPT_LENGTH)
         return packed
 
     def _pieces(self, parts: list[str]) -> list[bytes]:
         """Ids of plain parts of bounded size altogether."""
-        split, out, new = [self.findall(part) for part in parts], [], set()
-        for pieces in split:
-            ids = list(map(self.kept.get, pieces))
-            out.append(ids)
-            # no piece is without ids
-            if not all(ids):
-                new.update(p for p, known in zip(pieces, ids, strict=True) if not known)
+        known, out, new = self.kept.__getitem__, [], set()
+        for part in parts:
+            pieces = self.findall(part)
+            try:
+                out.append(b"".join(map(known, pieces)))
+            except KeyError:
+                # what is known is held, as the look-up may let go of it; no piece is without ids
+                ids = list(map(self.kept.get, pieces))
+                new.update(compress(pieces, map(operator.not_, ids)))
+                out.append((pieces, ids))
         found = self._look_up(new) if new else {}
-        for place, (pieces, ids) in enumerate(zip(split, out, strict=True)):
-            if not all(ids):
-                ids = [known or found[p] for p, known in zip(pieces, ids, strict=True)]
-            out[place] = b"".join(ids)
+        for place, held in enumerate(out):
+            if not isinstance(held, bytes):
+                out[place] = b"".join([ids or found[p] for p, ids in zip(*held, strict=True)])
         return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:

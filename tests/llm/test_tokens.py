@@ -61,6 +61,29 @@ def test_kept_pieces_are_bounded(monkeypatch):
         assert len(small.kept) <= 5
 
 
+def test_new_pieces_are_given_together_and_in_bounded_calls():
+    """Pieces that open with a space share texts, no call holds many, and every piece keeps the ids it has alone."""
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, []
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.calls.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    fresh = encoding.Encoder(BYTE)
+    fresh.library = counting = Counting(fresh.library)
+    named = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    texts = [" ".join(f"w{named(i)}x \u00e9{named(i)} z\u3000{named(i)} it's ({i})" for i in range(n, n + 900)) + "\n  end" for n in (0, 900, 1800)]
+    assert [np.frombuffer(f, "<u4").tolist() for f in fresh.ids(texts)] == [library(BYTE, t) for t in texts]
+    assert max(counting.calls) <= 256 and sum(counting.calls) < 0.6 * len(fresh.kept)
+    assert all(np.frombuffer(ids, "<u4").tolist() == library(BYTE, p) for p, ids in list(fresh.kept.items())[::37])
+
+
 @pytest.mark.parametrize("path", [BYTE, PIECE])
 def test_counts(spark, path):
     rows = token_counts.count_tokens(table(spark), path, 100).collect()

@@ -28,7 +28,7 @@ SPLIT = rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^{SPACES}\w]|_)+|[{SPACE
 TOGETHER_CHARS = 1 << 20
 KEPT_PIECES = 1_000_000
 KEPT_LENGTH = 64
-#: The library takes some hundred bytes of its own for each text that it is given, and as long as for several merges.
+#: A text costs the library more than the merges of a piece do, so pieces share texts; a call holds what it makes of all its texts.
 JOINED_PIECES = 256
 CALL_TEXTS = 256
 

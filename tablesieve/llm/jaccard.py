@@ -8,9 +8,10 @@ sets are connected, or have been compared.
 The token-group matrix says which groups have which tokens. Tokens have one order for all sets, those found often in a sample come
 last. A set is a query to the groups that have a member as large as itself. Such a link takes 8/9 of the query, and four fifths
 of the larger set, so a group can only qualify if it has one of the query's first ninth of tokens among the first fifths of its members: that part of the
-matrix is laid out by token and joined with the queries. For the groups met, the union of its members' first tokens is stored, and then, if the query shares
-as many of them as a link needs, the union of all tokens: how many of the query's tokens it has bounds the overlap with every member. Only groups whose bound is large enough are opened: their members
-are bounded one by one by sketches, and what still qualifies is compared in full.
+matrix is laid out by token and joined with the queries. A few rare tokens more are asked for than this ninth, and as many must be met. For the groups met, the union of its members' first tokens is stored, and then, if the query shares
+as many of them as a link needs, the union of all tokens: how many of the query's tokens it has bounds the overlap with every member. Only groups whose bound is large enough are opened: queries come
+to the sketches of the members, many queries to a group at once, and what still qualifies is compared in full. A query and a group are a row, never a query
+and a member.
 
 A passage that many sets share is in the last eight ninths of each where it does not make links; then it costs a row per group in the matrix
 and no pairs. A large group of near copies is a few columns.
@@ -40,6 +41,8 @@ SAMPLE_STEP, FREQUENT = 32, 3
 MOST_FREQUENT = 200_000
 #: Sets compared with one hub in one place, and members of a group.
 BLOCK = 256
+#: Tokens of a group's members that are looked up together; where there are more, members are compared one by one.
+HELD_TOKENS = 4_000_000
 KEPT_WORDS = 500_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -299,20 +302,49 @@ def reaches(overlap: int, size: int) -> bool:
     return (100 + PERCENT) * overlap >= 2 * PERCENT * size
 
 
+class Members:
+    """Sketches of the members of a group, looked up together."""
+
+    def __init__(self, held: list[tuple[int, bytes]]):
+        self.names, self.packed = [name for name, _ in held], [packed for _, packed in held]
+        self.sizes = np.array([len(packed) // 4 for packed in self.packed], np.int64)
+        self.values = None
+        if self.sizes.sum() <= HELD_TOKENS:
+            values = np.concatenate([counted_once(packed) for packed in self.packed])
+            order = np.argsort(values, kind="stable")
+            self.values, self.owners = values[order], np.repeat(np.arange(len(held)), self.sizes)[order]
+
+    def common(self, query: np.ndarray) -> np.ndarray:
+        """How many tokens of a query each member has at most."""
+        if self.values is None:
+            return np.array([len(np.intersect1d(query, counted_once(packed), assume_unique=True)) for packed in self.packed])
+        low, high = np.searchsorted(self.values, query), np.searchsorted(self.values, query, "right")
+        many = high - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(self.owners[at], minlength=len(self.names))
+
+    def qualified(self, name: int, packed: bytes, one: bool) -> list[int]:
+        """Other members, as large as the query at least, whose bound allows a link; of them the nearest alone, where one is enough."""
+        query = counted_once(packed)
+        common = self.common(query)
+        union = len(query) + self.sizes - common
+        fits = np.flatnonzero((self.sizes >= len(query)) & (100 * common >= PERCENT * union))
+        found = [(-common[k] / union[k], self.names[k]) for k in fits if self.names[k] != name]
+        return [min(found)[1]] if found and one else [member for _, member in found]
+
+
 def open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by hub and block, the hub's own sketch first; gives the members whose bound allows a link."""
-    place, hub, out = None, None, []
+    """Rows come by group and block of queries, the members first; gives (query, member) where the bound allows a link."""
+    place, held, members, out = None, [], None, []
     for rows in batches:
-        for name, block, other, member, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if (name, block) != place:
-                place, hub = (name, block), None
+        for group, block, other, one, name, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if (group, block) != place:
+                place, held, members = (group, block), [], None
             if not other:
-                hub = counted_once(packed)
-            elif hub is not None:
-                there = counted_once(packed)
-                bound = len(np.intersect1d(hub, there, assume_unique=True))
-                if 100 * bound >= PERCENT * (len(hub) + len(there) - bound):
-                    out.append((name, member))
+                held.append((name, packed))
+            elif held:
+                members = members or Members(held)
+                out.extend((name, member) for member in members.qualified(name, packed, one))
         if out:
             yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
             out = []
@@ -362,8 +394,9 @@ def sharing(met: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """The written met(query, group) whose first tokens have enough in common; no text is looked at."""
     holders = materialize(groups.join(met.select("group").distinct(), "group", "left_semi").select("set_id", "group"), "met-holders")
     wanted = holders.select("set_id").unionByName(met.select(F.col("query").alias("set_id"))).distinct()
-    known = sets.where(F.col("tokens").isNotNull()).join(wanted, "set_id", "left_semi").select("set_id", "n_shingles", "tokens")
-    firsts = known.mapInArrow(fifth_batches, "set_id long, first binary")
+    # half as long, before they are dealt out
+    firsts = sets.where(F.col("tokens").isNotNull()).select("set_id", "n_shingles", "tokens").mapInArrow(fifth_batches, "set_id long, first binary")
+    firsts = firsts.join(wanted, "set_id", "left_semi")
     # a set that several tasks met is there several times
     firsts = materialize(firsts.groupBy("set_id").agg(F.min("first").alias("first")), "firsts")
     by_group = holders.join(firsts, "set_id").select("group", "first").repartition("group").sortWithinPartitions("group")
@@ -387,28 +420,50 @@ def linked(met: DataFrame, groups: DataFrame, texts: DataFrame, first_rows: Data
     placed = by_hub(asked, unions.select(F.col("group").alias("a"), F.col("union").alias("sketch")), sketches, "sketch")
     qualified = materialize(placed.mapInArrow(bound_batches, "a long, b long"), "qualified")
     # a query needs one link to a connected set of groups: one of them is opened first, the others if that gives none
-    keyed_ = groups.select(F.col("group").alias("a"), F.coalesce("root", "group").alias("key")).distinct()
-    qualified = materialize(qualified.join(keyed_, "a"), "keyed-groups")
-    first = materialize(qualified.groupBy("b", "key").agg(F.min("a").alias("a")), "first-groups")
-    links = materialize(opened_groups(first, groups, sketches, texts, first_rows), "links")
-    members = groups.select(F.col("set_id").alias("member"), F.coalesce("root", "group").alias("key"))
-    found = links.select(F.col("a").alias("b"), F.col("b").alias("member")).join(members, "member").select("b", "key").distinct()
-    rest = qualified.join(first, ["b", "key", "a"], "left_anti").join(found, ["b", "key"], "left_anti")
+    keyed_ = groups.select(F.col("group").alias("a"), "root", F.coalesce("root", "group").alias("key")).distinct()
+    qualified = materialize(qualified.join(keyed_, "a").select("a", "b", "key", F.col("root").isNotNull().alias("one")), "keyed-groups")
+    members = groups.select(F.col("set_id").alias("b"), F.col("group"), "root", F.coalesce("root", "group").alias("key"))
+    first = materialize(qualified.groupBy("b", "key").agg(F.min("a").alias("a"), F.max("one").alias("one")), "first-groups")
+    opened = opened_groups(first, groups, sketches)
+    links = materialize(confirmed(opened, texts, first_rows), "links")
+
+    def found() -> DataFrame:
+        return links.select("a", "b").join(members, "b").select(F.col("a").alias("b"), "key").distinct()
+
+    rest = qualified.join(first, ["b", "key", "a"], "left_anti").join(found(), ["b", "key"], "left_anti")
     rest = materialize(rest, "other-groups")
-    if rest.isEmpty():
+    if not rest.isEmpty():
+        more = opened_groups(rest, groups, sketches)
+        opened, links = opened.unionByName(more), links.unionByName(materialize(confirmed(more, texts, first_rows), "links"))
+    # where the nearest member is none in full, as hashes of 32 bits were equal, all of its group are tried
+    refuted = opened.join(links, ["a", "b"], "left_anti").join(members.where(F.col("root").isNotNull()), "b")
+    refuted = refuted.select(F.col("a").alias("b"), "key", F.col("group").alias("a")).join(found(), ["b", "key"], "left_anti")
+    refuted = materialize(refuted.select("a", "b", F.lit(False).alias("one")).distinct(), "refuted")
+    if refuted.isEmpty():
         return links
-    return links.unionByName(opened_groups(rest, groups, sketches, texts, first_rows))
-
-
-def opened_groups(qualified: DataFrame, groups: DataFrame, sketches: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
-    """Links(a, b) of each query ``b`` to the members of group ``a`` that are as large as the query, and not too large."""
-    queries = groups.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"))
-    members = groups.select(F.col("group").alias("a"), "set_id", "n")
-    sized = (F.col("n") >= F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n"))
-    pairs = qualified.select("a", "b").join(queries, "b").join(members, "a").where(sized & (F.col("set_id") != F.col("b")))
-    pairs = materialize(pairs.select(F.col("b").alias("a"), F.col("set_id").alias("b")), "pairs")
-    hubs = sketches.withColumnRenamed("set_id", "a")
-    opened = materialize(by_hub(pairs, hubs, sketches, "sketch").mapInArrow(open_batches, "a long, b long"), "opened")
+    return links.unionByName(confirmed(opened_groups(refuted, groups, sketches), texts, first_rows))
+
+
+def opened_groups(asked: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs(a, b) of a query and a member that is as large at least and may link to it, written down.
+
+    ``asked(a, b, one)`` is written and names group ``a`` and query ``b``; ``one`` tells that one link to the group is enough. Queries of a group
+    are dealt out in blocks, and each block has the group's members, so there are about as many rows as queries and members.
+    """
+    blocks = asked.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    held = groups.select(F.col("group").alias("a"), "set_id").join(blocks, "a").join(sketches, "set_id").select(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.lit(0).alias("other"), F.lit(False).alias("one"), "set_id", "sketch",
+    )
+    queries = asked.withColumnRenamed("b", "set_id").join(blocks, "a").join(sketches, "set_id").select(
+        "a", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.lit(1).alias("other"), "one", "set_id", "sketch"
+    )
+    rows = held.unionByName(queries).repartition("a", "block").sortWithinPartitions("a", "block", "other")
+    return materialize(rows.mapInArrow(open_batches, "a long, b long"), "opened")
+
+
+def confirmed(opened: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """The written pairs(a, b) of sets that link."""
     found = set_texts(both_sides(opened), texts, first_rows)
     return by_hub(opened, found.withColumnRenamed("set_id", "a"), found, "text").mapInArrow(linked_batches, "a long, b long")
 
@@ -494,39 +549,51 @@ def group_members(sets: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFra
 
 
 def shared_tokens(sets: DataFrame) -> DataFrame:
-    """``token, set_id, pos, n``: the first tokens of all sets, without those that one set alone has, written down.
+    """``token, set_id, n, asked``: the first tokens of all sets, without those that one set alone has, written down.
 
     Tokens that the sample found often are known to be shared and stay where they are. Any other is in a few hundred sets at most,
-    or the sample would have it, so its sets can be looked at together.
+    or the sample would have it, so its sets can be looked at together. ``asked`` is not 0 where a set asks for the token as a query: its first ninth,
+    and a quarter as many after it as far as they are rare. It is the number of these that any set as large, or larger, has if it links.
     """
+    n, whole = F.col("n_shingles"), 100 + PERCENT
+    ninth = n - F.floor((2 * PERCENT * n + whole - 1) / F.lit(whole)) + 1
+    more = F.greatest(F.lit(0), F.least("rare", ninth + F.floor(ninth / F.lit(4))) - ninth)
     tokens = sets.where(F.col("tokens").isNotNull()).select(
-        "set_id", F.col("n_shingles").alias("n"), "rare", F.posexplode("tokens").alias("pos", "token")
+        "set_id", n.alias("n"), "rare", ninth.alias("ninth"), more.alias("more"), F.posexplode("tokens").alias("pos", "token")
     )
-    often = tokens.where(F.col("pos") >= F.col("rare"))
+    asked = F.when(F.col("pos") < F.col("ninth") + F.col("more"), F.col("more") + 1).otherwise(0).cast("int").alias("asked")
+    columns = ["token", "set_id", "n", asked]
+    often = tokens.where(F.col("pos") >= F.col("rare")).select(*columns)
     same = W.partitionBy("token")
-    rare = tokens.where(F.col("pos") < F.col("rare")).select("token", "set_id", "pos", "n")
+    rare = tokens.where(F.col("pos") < F.col("rare")).select(*columns)
     rare = rare.withColumn("low", F.min("set_id").over(same)).withColumn("high", F.max("set_id").over(same)).where("low <> high")
     # a set that several tasks met is there several times
-    return materialize(rare.drop("low", "high").unionByName(often.select("token", "set_id", "pos", "n")).distinct(), "shared")
+    return materialize(rare.drop("low", "high").unionByName(often).distinct(), "shared")
 
 
 def met_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """``query, group``: groups that have one of a query's first tokens, and a member that it may link to.
+    """``query, group``: groups that have enough of a query's first tokens, and a member that it may link to.
 
     ``matrix(token, group)`` has one row however many members of a group have a token. A token that many groups have is an
-    ordinary hot key of the join: the queries that have it among their first ninth are few unless they link.
+    ordinary hot key of the join: the queries that have it among their first ninth are few unless they link, and what they ask for
+    beyond is rare. Of the tokens that a query and a linked set have in common, those behind the first ones of the one or the other
+    are the last in the order of all; so those they do have in common there are few less than the overlap, as in ``first_common``.
     """
     listed = materialize(shared_tokens(sets).join(groups.select("set_id", "root", "group"), "set_id"), "first-tokens")
     matrix = listed.groupBy("token", "group", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = materialize(matrix, "matrix")
-    whole = 100 + PERCENT
-    ninth = F.col("n") - F.floor((2 * PERCENT * F.col("n") + whole - 1) / F.lit(whole)) + 1
-    queries = listed.where(F.col("pos") < ninth).select(
-        F.col("set_id").alias("query"), F.col("group").alias("own"), F.col("root").alias("own_root"), "n", "token"
+    queries = listed.where(F.col("asked") > 0).select(
+        F.col("set_id").alias("query"), F.col("group").alias("own"), F.col("root").alias("own_root"), "n", "asked", "token"
     )
     apart = (F.col("own") != F.col("group")) & ~F.coalesce(F.col("own_root") == F.col("root"), F.lit(False))
     sized = (F.col("most") >= F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    return queries.join(matrix, "token").where(apart & sized).select("query", "group").distinct()
+    met = queries.join(matrix, "token").where(apart & sized).groupBy("query", "group").agg(
+        F.count("*").alias("common"), F.max("n").alias("n"), F.max("asked").alias("asked"), F.max("most").alias("most")
+    )
+    # a larger set has its first fifth only, which its overlap with the query reaches the less the larger it is
+    whole, largest = 100 + PERCENT, F.least("most", F.floor(100 * F.col("n") / F.lit(PERCENT)))
+    fifth = F.floor(PERCENT * (100 * F.col("n") - PERCENT * largest) / F.lit(100 * whole)) + 1
+    return met.where(F.col("common") >= F.least("asked", fifth)).select("query", "group")
 
 
 def located(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:

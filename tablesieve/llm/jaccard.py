@@ -375,10 +375,11 @@ def by_hub(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, value: str) -> Da
 
     Sets to compare with the same hub are dealt out in blocks. ``hubs(a, value)`` and ``sets(set_id, value)`` have one row each.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where(F.col("blocks") > 1)
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1)))
-    placed = pairs.join(many, "a", "left").select("a", "b", block.alias("block"))
-    first = placed.select("a", "block").distinct().join(hubs, "a")
+    placed = pairs.join(blocks.where(F.col("blocks") > 1), "a", "left").select("a", "b", block.alias("block"))
+    # a block may turn out to have no members; then its hub is there alone
+    first = blocks.join(hubs, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), value)
     members = placed.join(sets.withColumnRenamed("set_id", "b"), "b")
     rows = first.select("a", "block", F.lit(0).alias("other"), F.col("a").alias("member"), value).unionByName(
         members.select("a", "block", F.lit(1).alias("other"), F.col("b").alias("member"), value)
@@ -527,7 +528,8 @@ def grouped(keys: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFra
     split = keys.where(F.col("blocks") > 1).groupBy("key", "blocks").agg(F.min("set_id").alias("set_id"))
     shown = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set_id")
     placed = materialize(keys.select("key", "block", "set_id").unionByName(shown.select("key", "block", "set_id")).distinct(), "placed")
-    found = set_texts(placed.select("set_id").distinct(), texts, first_rows)
+    # not written down: they lie by set already, as the join wants them
+    found = one_text(placed.select("set_id").distinct(), texts, first_rows)
     ordered = placed.join(found, "set_id").select("key", "block", "set_id", "text").repartition("key", "block")
     return ordered.sortWithinPartitions("key", "block", "set_id").mapInArrow(grouped_batches, "a long, b long")
 
@@ -567,8 +569,8 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     same = W.partitionBy("token")
     rare = tokens.where(F.col("pos") < F.col("rare")).select(*columns)
     rare = rare.withColumn("low", F.min("set_id").over(same)).withColumn("high", F.max("set_id").over(same)).where("low <> high")
-    # a set that several tasks met is there several times
-    return materialize(rare.drop("low", "high").unionByName(often).distinct(), "shared")
+    # a set that several tasks met is there several times; rare tokens lie by token already, where this needs no other shuffle
+    return materialize(rare.drop("low", "high").distinct().unionByName(often.distinct()), "shared")
 
 
 def met_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -579,7 +581,11 @@ def met_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     beyond is rare. Of the tokens that a query and a linked set have in common, those behind the first ones of the one or the other
     are the last in the order of all; so those they do have in common there are few less than the overlap, as in ``first_common``.
     """
-    listed = materialize(shared_tokens(sets).join(groups.select("set_id", "root", "group"), "set_id"), "first-tokens")
+    # sets that are alone, most of all, need not be looked up
+    alone = F.xxhash64(F.lit("s"), "set_id")
+    several = groups.where(F.col("group") != alone).select("set_id", "root", "group")
+    listed = shared_tokens(sets).join(several, "set_id", "left").withColumn("group", F.coalesce("group", alone))
+    listed = materialize(listed, "first-tokens")
     matrix = listed.groupBy("token", "group", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = materialize(matrix, "matrix")
     queries = listed.where(F.col("asked") > 0).select(
@@ -602,10 +608,14 @@ def located(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataF
     return texts.join(sources, "row").select("set_id", "text")
 
 
+def one_text(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """One text for each of the wanted sets."""
+    return located(wanted, texts, first_rows).groupBy("set_id").agg(F.min("text").alias("text"))
+
+
 def set_texts(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
     """One text for each of the wanted sets, written down."""
-    found = located(wanted, texts, first_rows)
-    return materialize(found.groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
+    return materialize(one_text(wanted, texts, first_rows), "set-texts")
 
 
 def set_roots(sets: DataFrame, texts: DataFrame) -> DataFrame:

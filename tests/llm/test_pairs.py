@@ -128,6 +128,48 @@ def test_shared_passages_make_no_pairs(spark):
     assert met[1600] <= 4 * max(met[400], 100), met
 
 
+def test_groups_are_met_by_several_tokens(spark):
+    """Texts of 200 words that share a few rare shingles, no more than any link needs, do not meet."""
+    texts = [" ".join(f"s{k // 2}x{i}" if i < 7 else f"own{k}x{i}" for i in range(200)) for k in range(400)]
+    rows = jaccard.identified(docs(spark, list(enumerate(texts))), "doc_id", "text")
+    frequent = spark.sparkContext.broadcast((np.array([], np.uint64), np.array([], np.int64)))
+    sets = materialize(rows.mapInArrow(lambda it: jaccard.set_batches(it, frequent), jaccard.SETS), "sets")
+    groups = jaccard.group_members(sets, spark.createDataFrame([], "node long, root long"), jaccard.keyed(sets))
+    assert jaccard.met_groups(sets, groups).count() == 0
+
+
+def test_a_group_is_looked_up_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    base[1] = base[0] + np.uint64(1 << 32)  # equal in a sketch
+    held = [(k, jaccard.sketch(np.concatenate([base[: 300 - 20 * k], rng.integers(0, 1 << 63, 20 * k, dtype=np.uint64)]))) for k in range(6)]
+    query = np.concatenate([base[:290], rng.integers(0, 1 << 63, 8, dtype=np.uint64)])
+    for limit in (jaccard.HELD_TOKENS, 0):
+        monkeypatch.setattr(jaccard, "HELD_TOKENS", limit)
+        members = jaccard.Members(held)
+        assert members.common(jaccard.counted_once(jaccard.sketch(query))).tolist() == [290, 280, 260, 240, 220, 200]
+        assert members.qualified(9, jaccard.sketch(query), False) == [0, 1]
+        assert members.qualified(9, jaccard.sketch(query), True) == [0]
+        assert members.qualified(0, jaccard.sketch(query), True) == [1]
+
+
+def test_queries_and_members_are_rows_by_themselves(spark, monkeypatch):
+    """Many queries that come to a large group make a pair where they link, and none elsewhere."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    near = [(k, jaccard.sketch(np.concatenate([base[:196], rng.integers(0, 1 << 63, 4, dtype=np.uint64)]))) for k in range(100)]
+    # enough of the group's tokens for a link to one of these, not for two
+    far = [(k, jaccard.sketch(np.concatenate([base[:150], rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))) for k in range(100, 400)]
+    linked = [(400, jaccard.sketch(base))]
+    sketches = spark.createDataFrame([(k, bytearray(s)) for k, s in near + far + linked], "set_id long, sketch binary")
+    groups = spark.createDataFrame([(k, -1) for k in range(100)], "set_id long, group long")
+    asked = spark.createDataFrame([(-1, k, True) for k in range(100, 401)], "a long, b long, one boolean")
+    found = jaccard.opened_groups(asked, groups, sketches).collect()
+    assert [r.a for r in found] == [400]
+    every = jaccard.opened_groups(asked.withColumn("one", F.lit(False)), groups, sketches).collect()
+    assert sorted(r.b for r in every) == list(range(100)) and {r.a for r in every} == {400}
+
+
 def test_boilerplate_has_no_links(spark):
     found = jaccard.near_duplicates(docs(spark, boilerplate(500))).collect()
     assert all(r.doc_id == r.component_id for r in found) and len(found) == 500

@@ -6,11 +6,12 @@ number of members; the others are grouped by their first key and its block. With
 sets are connected, or have been compared.
 
 The token-group matrix says which groups have which tokens. Tokens have one order for all sets, those found often in a sample come
-last. A set is a query to the groups that have a member as large as itself. Such a link takes 8/9 of the query, and four fifths
-of the larger set, so a group can only qualify if it has one of the query's first ninth of tokens among the first fifths of its members: that part of the
-matrix is laid out by token and joined with the queries. A few rare tokens more are asked for than this ninth, and as many must be met. For the groups met, the union of its members' first tokens is stored, and then, if the query shares
-as many of them as a link needs, the union of all tokens: how many of the query's tokens it has bounds the overlap with every member. Only groups whose bound is large enough are opened: queries come
-to the sketches of the members, many queries to a group at once, and what still qualifies is compared in full. A query and a group are a row, never a query
+last. A link takes 8/9 of the smaller set, and four fifths of the larger one, so it has one of the first ninth of the smaller set's tokens among
+the first fifth of the larger one's. Such tokens of the members of a group are a row of the matrix, which is laid out by token and joined with the sets.
+A few rare tokens more are asked for than this ninth, and as many must be met. Of two groups, the one with fewer members sends its sets to the other:
+as smaller sets to look for larger ones there, as larger ones to be looked for, or both. So a large group of near copies costs a row for each set that
+stands near it, not for each of its own. Sets that are sent come to the first tokens of the members, and where they share as many of them as a link needs,
+to the sketches of the members, many sets to a group at once; what still qualifies is compared in full. A set and a group are a row, never a set
 and a member.
 
 A passage that many sets share is in the last eight ninths of each where it does not make links; then it costs a row per group in the matrix
@@ -178,53 +179,6 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)] or [[], []])
 
 
-UNIONS_ARROW = pa.schema([("group", pa.int64()), ("union", pa.binary())])
-
-
-def union_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by group; gives the union of its members' sketches, values once. A group has at most about ``BLOCK``."""
-    place, parts, out = None, [], []
-
-    def close() -> None:
-        if parts:
-            out.append((place, np.unique(np.concatenate(parts)).tobytes()))
-
-    for rows in batches:
-        for group, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if group != place:
-                close()
-                place, parts = group, []
-            parts.append(np.frombuffer(packed, "<u4"))
-        if out:
-            yield arrow.batch(UNIONS_ARROW, [list(c) for c in zip(*out, strict=True)])
-            out.clear()
-    close()
-    if out:
-        yield arrow.batch(UNIONS_ARROW, [list(c) for c in zip(*out, strict=True)])
-
-
-def bound_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by group and block, the union first; gives the queries of which the union has enough tokens.
-
-    A query's tokens are counted one by one, so tokens of equal value never lower the bound.
-    """
-    place, union, out = None, None, []
-    for rows in batches:
-        for group, block, other, query, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if (group, block) != place:
-                place, union = (group, block), None
-            values = np.frombuffer(packed, "<u4")
-            if not other:
-                union = values
-            elif union is not None:
-                at = np.minimum(np.searchsorted(union, values), len(union) - 1)
-                if reaches(int((union[at] == values).sum()), len(values)):
-                    out.append((group, query))
-        if out:
-            yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
-            out = []
-
-
 def fifth_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The size of a set and 32 bits of each of its first tokens."""
     schema = pa.schema([("set_id", pa.int64()), ("first", pa.binary())])
@@ -236,72 +190,50 @@ def fifth_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield arrow.batch(schema, [rows.column(0), out])
 
 
-def fifth_union_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by group; gives its largest size and the union of its members' first tokens."""
-    schema = pa.schema([("group", pa.int64()), ("first", pa.binary())])
-    place, parts, out = None, [], []
-
-    def close() -> None:
-        if parts:
-            most = np.array([max(p[0] for p in parts)], "<u4")
-            out.append((place, np.concatenate([most, np.unique(np.concatenate([p[1:] for p in parts]))]).tobytes()))
-
-    for rows in batches:
-        for group, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if group != place:
-                close()
-                place, parts = group, []
-            parts.append(np.frombuffer(packed, "<u4"))
-        if out:
-            yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)])
-            out.clear()
-    close()
-    if out:
-        yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)])
-
-
-def first_common(n: int, most: int) -> int:
-    """How many of its first tokens a set of ``n`` must share with those of any set of ``n`` to ``most`` that it links to.
+def first_common(n: int, least: int, most: int) -> int | None:
+    """How many of its first tokens a set of ``n`` must share with those of any set of ``least`` to ``most`` that it links to; None: no such link.
 
     A link of sizes n and m has an overlap of (n + m) * PERCENT / (100 + PERCENT). What lies behind the first tokens of the one or the other
     can hold only a part of it; the rest is among the first tokens of both.
     """
-    largest = min(most, 100 * n // PERCENT)
-    least = None
-    for m in (n, largest):
+    smallest, largest = max(least, -(-PERCENT * n // 100)), min(most, 100 * n // PERCENT)
+    if smallest > largest:
+        return None
+    fewest = None
+    for m in (smallest, largest):
         overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
         for size in (n, m):
             behind = (PERCENT * size + 99) // 100 - 1
-            least = overlap - behind if least is None else min(least, overlap - behind)
+            fewest = overlap - behind if fewest is None else min(fewest, overlap - behind)
     # one less: rounding between the two ends
-    return max(1, least - 1)
+    return max(1, fewest - 1)
 
 
 def fifth_bound_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by group and block, the union of first tokens first; gives the queries that share enough of theirs."""
-    place, union, most, out = None, None, 0, []
+    """Rows come by group and block, the members' first tokens first; gives the queries that share enough of theirs with all of them together."""
+    schema = pa.schema([("query", pa.int64()), ("group", pa.int64()), ("down", pa.bool_())])
+    place, held, union, out = None, [], None, []
     for rows in batches:
-        for group, block, other, query, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        for group, block, other, _, down, query, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
             if (group, block) != place:
-                place, union = (group, block), None
+                place, held, union = (group, block), [], None
             values = np.frombuffer(packed, "<u4")
             if not other:
-                most, union = int(values[0]), values[1:]
-            elif union is not None:
+                held.append(values)
+            elif held:
+                if union is None:
+                    least, most = min(int(h[0]) for h in held), max(int(h[0]) for h in held)
+                    union = np.unique(np.concatenate([h[1:] for h in held]))
                 n, first = int(values[0]), values[1:]
+                needed = first_common(n, least if down else max(n, least), most)
                 at = np.minimum(np.searchsorted(union, first), len(union) - 1)
-                if int((union[at] == first).sum()) >= first_common(n, max(n, most)):
-                    out.append((group, query))
+                if needed is not None and int((union[at] == first).sum()) >= needed:
+                    out.append((query, group, down))
         if out:
-            yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
+            yield arrow.batch(schema, [list(c) for c in zip(*out, strict=True)])
             out = []
 
 
-def reaches(overlap: int, size: int) -> bool:
-    """Whether a set of ``size`` can link to one at least as large with this overlap."""
-    return (100 + PERCENT) * overlap >= 2 * PERCENT * size
-
-
 class Members:
     """Sketches of the members of a group, looked up together."""
 
@@ -323,30 +255,41 @@ class Members:
         at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
         return np.bincount(self.owners[at], minlength=len(self.names))
 
-    def qualified(self, name: int, packed: bytes, one: bool) -> list[int]:
-        """Other members, as large as the query at least, whose bound allows a link; of them the nearest alone, where one is enough."""
+    def nearest(self, name: int, packed: bytes, one: bool, down: bool = False) -> list[tuple[float, int]]:
+        """Nearness and name of the other members whose bound allows a link; the nearest alone, where one is enough.
+
+        Members smaller than the query are left out but for ``down``: they are queries themselves.
+        """
         query = counted_once(packed)
         common = self.common(query)
         union = len(query) + self.sizes - common
-        fits = np.flatnonzero((self.sizes >= len(query)) & (100 * common >= PERCENT * union))
-        found = [(-common[k] / union[k], self.names[k]) for k in fits if self.names[k] != name]
-        return [min(found)[1]] if found and one else [member for _, member in found]
+        fits = np.flatnonzero((down | (self.sizes >= len(query))) & (100 * common >= PERCENT * union))
+        found = [(common[k] / union[k], self.names[k]) for k in fits if self.names[k] != name]
+        return [min(found, key=lambda f: (-f[0], f[1]))] if found and one else found
+
+    def qualified(self, name: int, packed: bytes, one: bool) -> list[int]:
+        """The members of ``nearest`` that are as large as the query at least."""
+        return [member for _, member in self.nearest(name, packed, one)]
+
+
+OPENED = "a long, b long, group long, one boolean, near double"
+OPENED_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.int64()), ("one", pa.bool_()), ("near", pa.float64())])
 
 
 def open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by group and block of queries, the members first; gives (query, member) where the bound allows a link."""
+    """Rows come by group and block of queries, the members first; gives queries and members whose bound allows a link."""
     place, held, members, out = None, [], None, []
     for rows in batches:
-        for group, block, other, one, name, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        for group, block, other, one, down, name, packed in zip(*(c.to_pylist() for c in rows.columns), strict=True):
             if (group, block) != place:
                 place, held, members = (group, block), [], None
             if not other:
                 held.append((name, packed))
             elif held:
                 members = members or Members(held)
-                out.extend((name, member) for member in members.qualified(name, packed, one))
+                out.extend((name, member, group, one, near) for near, member in members.nearest(name, packed, one, down))
         if out:
-            yield arrow.batch(LINKS_ARROW, [list(c) for c in zip(*out, strict=True)])
+            yield arrow.batch(OPENED_ARROW, [list(c) for c in zip(*out, strict=True)])
             out = []
 
 
@@ -391,80 +334,94 @@ def both_sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
 
+def dealt(asked: DataFrame, holders: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """``a, block, other, one, down, set_id, value``: queries and members of the groups they ask, placed by group and block, the members first.
+
+    ``asked(a, b, one, down)`` is written and names group ``a`` and query ``b``. Queries of a group are dealt out in blocks, and each block has the
+    group's members, so there are about as many rows as queries and members. Values are looked up once for both.
+    """
+    blocks = asked.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    no = F.lit(False)
+    held = holders.select(F.col("group").alias("a"), "set_id").join(blocks, "a").select(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.lit(0).alias("other"), no.alias("one"), no.alias("down"), "set_id",
+    )
+    queries = asked.withColumnRenamed("b", "set_id").join(blocks, "a").select(
+        "a", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.lit(1).alias("other"), "one", "down", "set_id"
+    )
+    rows = held.unionByName(queries).join(values, "set_id").select("a", "block", "other", "one", "down", "set_id", value)
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "other")
+
+
+def asked_and_held(asked: DataFrame, holders: DataFrame) -> DataFrame:
+    return holders.select("set_id").unionByName(asked.select(F.col("b").alias("set_id"))).distinct()
+
+
 def sharing(met: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The written met(query, group) whose first tokens have enough in common; no text is looked at."""
+    """The written met(query, group, down) whose first tokens have enough in common; no text is looked at."""
     holders = materialize(groups.join(met.select("group").distinct(), "group", "left_semi").select("set_id", "group"), "met-holders")
-    wanted = holders.select("set_id").unionByName(met.select(F.col("query").alias("set_id"))).distinct()
+    asked = met.select(F.col("group").alias("a"), F.col("query").alias("b"), F.lit(False).alias("one"), "down")
     # half as long, before they are dealt out
     firsts = sets.where(F.col("tokens").isNotNull()).select("set_id", "n_shingles", "tokens").mapInArrow(fifth_batches, "set_id long, first binary")
-    firsts = firsts.join(wanted, "set_id", "left_semi")
+    firsts = firsts.join(asked_and_held(asked, holders), "set_id", "left_semi")
     # a set that several tasks met is there several times
-    firsts = materialize(firsts.groupBy("set_id").agg(F.min("first").alias("first")), "firsts")
-    by_group = holders.join(firsts, "set_id").select("group", "first").repartition("group").sortWithinPartitions("group")
-    unions = materialize(by_group.mapInArrow(fifth_union_batches, "group long, first binary"), "first-unions")
-    asked = met.select(F.col("group").alias("a"), F.col("query").alias("b"))
-    placed = by_hub(asked, unions.withColumnRenamed("group", "a"), firsts, "first")
-    return placed.mapInArrow(fifth_bound_batches, "a long, b long").select(F.col("b").alias("query"), F.col("a").alias("group"))
+    firsts = firsts.groupBy("set_id").agg(F.min("first").alias("first"))
+    return dealt(asked, holders, firsts, "first").mapInArrow(fifth_bound_batches, "query long, group long, down boolean")
 
 
 def linked(met: DataFrame, groups: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
-    """The links(a, b) that met(query, group) lead to: groups by their unions, members by sketches, then in full."""
+    """The links(a, b) that met(query, group, down) lead to: members by sketches, then in full."""
     met = materialize(met, "sharing")
-    holders = groups.join(met.select("group").distinct(), "group", "left_semi").select("set_id", "group")
+    holders = groups.join(met.select("group").distinct(), "group", "left_semi").select("set_id", "group", "root")
     holders = materialize(holders, "holders")
-    wanted = holders.select("set_id").unionByName(met.select(F.col("query").alias("set_id"))).distinct()
-    sketches = located(wanted, texts, first_rows).mapInArrow(sketch_batches, "set_id long, sketch binary").groupBy("set_id")
-    sketches = materialize(sketches.agg(F.min("sketch").alias("sketch")), "sketches")
-    by_group = holders.join(sketches, "set_id").select("group", "sketch").repartition("group").sortWithinPartitions("group")
-    unions = materialize(by_group.mapInArrow(union_batches, "group long, union binary"), "unions")
-    asked = met.select(F.col("group").alias("a"), F.col("query").alias("b"))
-    placed = by_hub(asked, unions.select(F.col("group").alias("a"), F.col("union").alias("sketch")), sketches, "sketch")
-    qualified = materialize(placed.mapInArrow(bound_batches, "a long, b long"), "qualified")
-    # a query needs one link to a connected set of groups: one of them is opened first, the others if that gives none
-    keyed_ = groups.select(F.col("group").alias("a"), "root", F.coalesce("root", "group").alias("key")).distinct()
-    qualified = materialize(qualified.join(keyed_, "a").select("a", "b", "key", F.col("root").isNotNull().alias("one")), "keyed-groups")
-    members = groups.select(F.col("set_id").alias("b"), F.col("group"), "root", F.coalesce("root", "group").alias("key"))
-    first = materialize(qualified.groupBy("b", "key").agg(F.min("a").alias("a"), F.max("one").alias("one")), "first-groups")
-    opened = opened_groups(first, groups, sketches)
-    links = materialize(confirmed(opened, texts, first_rows), "links")
+
+    def opened_by(asked: DataFrame) -> DataFrame:
+        wanted = asked_and_held(asked, holders)
+        # not written down: they lie by set already, as the join wants them
+        sketches = located(wanted, texts, first_rows).mapInArrow(sketch_batches, "set_id long, sketch binary").groupBy("set_id")
+        return opened_groups(asked, holders, sketches.agg(F.min("sketch").alias("sketch")))
+
+    # a query needs one link to a connected set of groups: the nearest member is compared first, others if that is no link
+    keys = holders.select("group", F.coalesce("root", "group").alias("key"), F.col("root").isNotNull().alias("one")).distinct()
+    asked = met.join(keys, "group").select(F.col("group").alias("a"), F.col("query").alias("b"), "one", "down")
+    opened = opened_by(materialize(asked, "asked-groups")).join(keys.select("group", "key"), "group")
+    opened = materialize(opened.select("a", "b", "key", "group", "one", "near"), "keyed-groups")
+    nearest = opened.where("one").groupBy("a", "key").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
+    nearest = materialize(nearest.unionByName(opened.where("not one").select("a", "key", "b")), "nearest")
+    links = materialize(confirmed(nearest, texts, first_rows), "links")
+    members = holders.select(F.col("set_id").alias("b"), F.coalesce("root", "group").alias("key"))
 
     def found() -> DataFrame:
-        return links.select("a", "b").join(members, "b").select(F.col("a").alias("b"), "key").distinct()
+        return links.join(members, "b").select("a", "key").distinct()
 
-    rest = qualified.join(first, ["b", "key", "a"], "left_anti").join(found(), ["b", "key"], "left_anti")
-    rest = materialize(rest, "other-groups")
+    rest = opened.where("one").join(nearest, ["a", "key", "b"], "left_anti").join(found(), ["a", "key"], "left_anti")
+    rest = materialize(rest.select("a", "b"), "other-members")
     if not rest.isEmpty():
-        more = opened_groups(rest, groups, sketches)
-        opened, links = opened.unionByName(more), links.unionByName(materialize(confirmed(more, texts, first_rows), "links"))
-    # where the nearest member is none in full, as hashes of 32 bits were equal, all of its group are tried
-    refuted = opened.join(links, ["a", "b"], "left_anti").join(members.where(F.col("root").isNotNull()), "b")
-    refuted = refuted.select(F.col("a").alias("b"), "key", F.col("group").alias("a")).join(found(), ["b", "key"], "left_anti")
-    refuted = materialize(refuted.select("a", "b", F.lit(False).alias("one")).distinct(), "refuted")
+        links = links.unionByName(materialize(confirmed(rest, texts, first_rows), "links"))
+    # where the nearest members are none in full, as hashes of 32 bits were equal, all of their groups are tried
+    refuted = opened.where("one").join(found(), ["a", "key"], "left_anti").select(
+        F.col("group").alias("a"), F.col("a").alias("b"), F.lit(False).alias("one"), F.lit(True).alias("down")
+    )
+    refuted = materialize(refuted.distinct(), "refuted")
     if refuted.isEmpty():
         return links
-    return links.unionByName(confirmed(opened_groups(refuted, groups, sketches), texts, first_rows))
+    return links.unionByName(confirmed(opened_by(refuted), texts, first_rows))
 
 
 def opened_groups(asked: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs(a, b) of a query and a member that is as large at least and may link to it, written down.
+    """Pairs of a query ``a`` and a member ``b`` of a group that may link, with ``group, one, near``, written down.
 
-    ``asked(a, b, one)`` is written and names group ``a`` and query ``b``; ``one`` tells that one link to the group is enough. Queries of a group
-    are dealt out in blocks, and each block has the group's members, so there are about as many rows as queries and members.
+    ``asked(a, b, one)`` is written and names group ``a`` and query ``b``; ``one`` tells that one link to the group is enough. Members are as large as the query
+    at least, but for queries with ``down``, if there is that column.
     """
-    blocks = asked.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    held = groups.select(F.col("group").alias("a"), "set_id").join(blocks, "a").join(sketches, "set_id").select(
-        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        F.lit(0).alias("other"), F.lit(False).alias("one"), "set_id", "sketch",
-    )
-    queries = asked.withColumnRenamed("b", "set_id").join(blocks, "a").join(sketches, "set_id").select(
-        "a", F.pmod(F.xxhash64("set_id"), "blocks").alias("block"), F.lit(1).alias("other"), "one", "set_id", "sketch"
-    )
-    rows = held.unionByName(queries).repartition("a", "block").sortWithinPartitions("a", "block", "other")
-    return materialize(rows.mapInArrow(open_batches, "a long, b long"), "opened")
+    if "down" not in asked.columns:
+        asked = asked.withColumn("down", F.lit(False))
+    return materialize(dealt(asked, groups, sketches, "sketch").mapInArrow(open_batches, OPENED), "opened")
 
 
 def confirmed(opened: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:
     """The written pairs(a, b) of sets that link."""
+    opened = opened.select("a", "b")
     found = set_texts(both_sides(opened), texts, first_rows)
     return by_hub(opened, found.withColumnRenamed("set_id", "a"), found, "text").mapInArrow(linked_batches, "a long, b long")
 
@@ -528,6 +485,11 @@ def grouped(keys: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFra
     split = keys.where(F.col("blocks") > 1).groupBy("key", "blocks").agg(F.min("set_id").alias("set_id"))
     shown = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set_id")
     placed = materialize(keys.select("key", "block", "set_id").unionByName(shown.select("key", "block", "set_id")).distinct(), "placed")
+    # similar sets have several keys in common: of blocks with the same sets, one is looked at
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "set_id")).alias(f"x{k}") for k in range(2)]
+    blocks = placed.groupBy("key", "block").agg(F.count("*").alias("n"), *members).where("n > 1")
+    blocks = blocks.groupBy("n", "x0", "x1").agg(F.min(F.struct("key", "block")).alias("first")).select("first.key", "first.block")
+    placed = materialize(placed.join(blocks, ["key", "block"], "left_semi"), "distinct-blocks")
     # not written down: they lie by set already, as the join wants them
     found = one_text(placed.select("set_id").distinct(), texts, first_rows)
     ordered = placed.join(found, "set_id").select("key", "block", "set_id", "text").repartition("key", "block")
@@ -563,43 +525,64 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
     tokens = sets.where(F.col("tokens").isNotNull()).select(
         "set_id", n.alias("n"), "rare", ninth.alias("ninth"), more.alias("more"), F.posexplode("tokens").alias("pos", "token")
     )
-    asked = F.when(F.col("pos") < F.col("ninth") + F.col("more"), F.col("more") + 1).otherwise(0).cast("int").alias("asked")
-    columns = ["token", "set_id", "n", asked]
+    asked = F.when(F.col("pos") < F.col("ninth") + F.col("more"), F.col("more") + 1).otherwise(0)
+    # in one column: there is a row for nearly every token of the input
+    columns = ["token", "set_id", (F.shiftleft("n", 28) + asked).alias("n_asked")]
     often = tokens.where(F.col("pos") >= F.col("rare")).select(*columns)
     same = W.partitionBy("token")
     rare = tokens.where(F.col("pos") < F.col("rare")).select(*columns)
     rare = rare.withColumn("low", F.min("set_id").over(same)).withColumn("high", F.max("set_id").over(same)).where("low <> high")
     # a set that several tasks met is there several times; rare tokens lie by token already, where this needs no other shuffle
-    return materialize(rare.drop("low", "high").distinct().unionByName(often.distinct()), "shared")
+    shared = rare.drop("low", "high").distinct().unionByName(often.distinct())
+    n_asked = F.col("n_asked")
+    shared = shared.select("token", "set_id", F.shiftright(n_asked, 28).alias("n"), n_asked.bitwiseAND(F.lit((1 << 28) - 1)).cast("int").alias("asked"))
+    return materialize(shared, "shared")
 
 
 def met_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """``query, group``: groups that have enough of a query's first tokens, and a member that it may link to.
-
-    ``matrix(token, group)`` has one row however many members of a group have a token. A token that many groups have is an
-    ordinary hot key of the join: the queries that have it among their first ninth are few unless they link, and what they ask for
-    beyond is rare. Of the tokens that a query and a linked set have in common, those behind the first ones of the one or the other
-    are the last in the order of all; so those they do have in common there are few less than the overlap, as in ``first_common``.
+    """``query, group, down``: sets and the groups with as many members as their own, or more, that may have a link for them.
+
+    ``matrix(token, group)`` has one row however many members of a group have a token. Of a linked pair the smaller set asks with its first ninth, and what it
+    asks for beyond is rare; the larger one has the token among its first fifth. The set that is sent may be the one or the other: ``down`` tells that
+    members smaller than itself ask for it. Else they are at least as large. A token that many groups have is an
+    ordinary hot key of the join: the sets that ask for it are few unless they link. Of the tokens that a linked pair has in common, those
+    behind the first ones of the one or the other are the last in the order of all; so those they do have in common there are few less than the
+    overlap, as in ``first_common``.
     """
     # sets that are alone, most of all, need not be looked up
     alone = F.xxhash64(F.lit("s"), "set_id")
     several = groups.where(F.col("group") != alone).select("set_id", "root", "group")
-    listed = shared_tokens(sets).join(several, "set_id", "left").withColumn("group", F.coalesce("group", alone))
-    listed = materialize(listed, "first-tokens")
-    matrix = listed.groupBy("token", "group", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    several = several.join(several.groupBy("group").agg(F.count("*").alias("members")), "group").select("set_id", "root", "group", "members")
+    listed = materialize(shared_tokens(sets).join(several, "set_id", "left"), "first-tokens")
+    asks = F.col("members").isNotNull() & (F.col("asked") > 0)
+    matrix = listed.groupBy("token", F.coalesce("group", alone).alias("group"), "root", "members").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"),
+        F.min(F.when(asks, F.col("n"))).alias("ask_least"), F.max(F.when(asks, F.col("n"))).alias("ask_most"), F.min(F.when(asks, F.col("asked"))).alias("ask_few"),
+    )
     matrix = materialize(matrix, "matrix")
-    queries = listed.where(F.col("asked") > 0).select(
-        F.col("set_id").alias("query"), F.col("group").alias("own"), F.col("root").alias("own_root"), "n", "asked", "token"
+    queries = listed.select(
+        F.col("set_id").alias("query"), F.col("group").alias("own"), F.col("root").alias("own_root"), F.col("members").alias("own_members"), "n", "asked", "token"
     )
-    apart = (F.col("own") != F.col("group")) & ~F.coalesce(F.col("own_root") == F.col("root"), F.lit(False))
-    sized = (F.col("most") >= F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    met = queries.join(matrix, "token").where(apart & sized).groupBy("query", "group").agg(
-        F.count("*").alias("common"), F.max("n").alias("n"), F.max("asked").alias("asked"), F.max("most").alias("most")
+    own, own_members, members = F.coalesce("own", F.xxhash64(F.lit("s"), "query")), F.coalesce("own_members", F.lit(1)), F.coalesce("members", F.lit(1))
+    apart = (own != F.col("group")) & ~F.coalesce(F.col("own_root") == F.col("root"), F.lit(False))
+    n, most = F.col("n"), F.col("most")
+    up = (F.col("asked") > 0) & (own_members <= members) & (most >= n) & (PERCENT * F.col("least") <= 100 * n)
+    ask_least, ask_most = F.col("ask_least"), F.col("ask_most")
+    down = F.coalesce((own_members < members) & (ask_least <= n) & (100 * ask_most >= PERCENT * n), F.lit(False))
+    met = queries.join(matrix, "token").where(apart & (up | down)).groupBy("query", "group").agg(
+        F.count_if(up).alias("up_common"), F.max("n").alias("n"), F.max("asked").alias("asked"), F.max("most").alias("most"),
+        F.count_if(down).alias("down_common"), F.min(F.when(down, F.col("ask_few"))).alias("ask_few"), F.min(F.when(down, ask_least)).alias("ask_least"),
     )
-    # a larger set has its first fifth only, which its overlap with the query reaches the less the larger it is
-    whole, largest = 100 + PERCENT, F.least("most", F.floor(100 * F.col("n") / F.lit(PERCENT)))
-    fifth = F.floor(PERCENT * (100 * F.col("n") - PERCENT * largest) / F.lit(100 * whole)) + 1
-    return met.where(F.col("common") >= F.least("asked", fifth)).select("query", "group")
+    whole = 100 + PERCENT
+
+    def fifth(small: Column, large: Column) -> Column:
+        # a larger set has its first fifth only, which its overlap with the smaller one reaches the less the larger it is
+        return F.floor(PERCENT * (100 * small - PERCENT * large) / F.lit(100 * whole)) + 1
+
+    up = (F.col("up_common") > 0) & (F.col("up_common") >= F.least("asked", fifth(n, F.least(most, F.floor(100 * n / F.lit(PERCENT))))))
+    smallest = F.greatest("ask_least", F.ceil(PERCENT * n / F.lit(100)))
+    down = (F.col("down_common") > 0) & (F.col("down_common") >= F.least("ask_few", fifth(smallest, n)))
+    return met.where(up | down).select("query", "group", F.coalesce(down, F.lit(False)).alias("down"))
 
 
 def located(wanted: DataFrame, texts: DataFrame, first_rows: DataFrame) -> DataFrame:

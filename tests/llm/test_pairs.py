@@ -170,6 +170,34 @@ def test_queries_and_members_are_rows_by_themselves(spark, monkeypatch):
     assert sorted(r.b for r in every) == list(range(100)) and {r.a for r in every} == {400}
 
 
+def test_a_large_group_does_not_ask_for_each_set_near_it(spark):
+    """Of a large group and a set that stands near it, the set is sent; it is found whether it is the larger one or not."""
+    draw = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    near = [" ".join(base[:149] + [f"n{k}"]) for k in range(200)]
+    # about half of the shingles in common, which makes no link
+    far = [" ".join(base[:75] + [f"f{k}x{i}" for i in range(75)]) for k in range(10)]
+    larger, smaller = " ".join(base + [f"l{i}" for i in range(15)]), " ".join(base[:140])
+    texts = near + far + [larger, smaller]
+    draw.shuffle(texts)
+    rows = jaccard.identified(docs(spark, list(enumerate(texts))), "doc_id", "text")
+    frequent = spark.sparkContext.broadcast((np.array([], np.uint64), np.array([], np.int64)))
+    sets = materialize(rows.mapInArrow(lambda it: jaccard.set_batches(it, frequent), jaccard.SETS), "sets")
+    names = {text: jaccard.set_id(jaccard.Shingler().tokens(text.encode())) for text in texts}
+    root = min(names[t] for t in near)
+    roots = spark.createDataFrame([(names[t], root) for t in near], "node long, root long")
+    no_keys = spark.createDataFrame([], "set_id long, band int, key long, block long, blocks long")
+    groups = jaccard.group_members(sets, roots, no_keys)
+    met = materialize(jaccard.met_groups(sets, groups), "met")
+    assert met.count() <= len(far + [larger, smaller]) ** 2
+    first_rows = materialize(sets.groupBy("set_id").agg(F.min("row").alias("row")), "set-rows")
+    links = jaccard.linked(jaccard.sharing(met, groups, sets), groups, rows.select("row", "text"), first_rows).collect()
+    linked = {frozenset((r.a, r.b)) for r in links}
+    for text in (larger, smaller):
+        assert any(names[text] in pair and pair & {names[t] for t in near} for pair in linked)
+    assert not any(names[t] in pair for t in far for pair in linked)
+
+
 def test_boilerplate_has_no_links(spark):
     found = jaccard.near_duplicates(docs(spark, boilerplate(500))).collect()
     assert all(r.doc_id == r.component_id for r in found) and len(found) == 500

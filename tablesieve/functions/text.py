@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F, types as T
 # The token classes the two scores are defined on.
 WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
+# Characters whose class Python and Java agree on, whatever their versions of Unicode.
+PLAIN = r"\x{0}-\x{24F}"
 
 MISSING = "None"
 

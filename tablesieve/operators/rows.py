@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tablesieve.functions import text as tx, vectors as vx
 from tablesieve.operators.selection import positions, select_best
@@ -60,9 +60,20 @@ def text_tasks(texts: DataFrame, text: str) -> int:
     and is far too much for text whose terms are held apart.
     """
     (size,) = texts.agg(F.sum(F.octet_length(text))).first()
-    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return tasks_of(texts.sparkSession, size)
+
+
+def tasks_of(spark: SparkSession, size: int | None) -> int:
+    """In how many tasks ``size`` bytes of text are counted."""
     size = size or 0
-    return max(1, -(-size // TASK_TEXT), min(cores, size // LEAST_TEXT))
+    return max(1, -(-size // TASK_TEXT), min(spark.sparkContext.defaultParallelism, size // LEAST_TEXT))
+
+
+def lowered(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Each text in lower case, missing ones empty, and its words where it has characters beyond ``text.PLAIN``: ``keys..., text, words``."""
+    listed = texts.select(*keys, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    words = F.regexp_extract_all("text", F.lit(tx.WORD), 0)
+    return listed.select(*keys, "text", F.when(F.col("text").rlike(f"[^{tx.PLAIN}]"), words).alias("words"))
 
 
 def tokens(texts: DataFrame, keys: list[str], text: str, kinds: tuple[str, ...] = (WORD, PIECE)) -> DataFrame:
@@ -113,13 +124,18 @@ def corpus_statistics(terms: DataFrame, sizes: DataFrame, block_rows: int = BLOC
     """From written terms(corpus, kind, term, df) and sizes(corpus, n, len); the sizes are written down here."""
     # the vocabulary is reduced to "how many terms have this df" before it meets the corpus size
     spectrum = terms.where(F.col("kind") == PIECE).groupBy("corpus", "df").agg(F.count("*").alias("terms"))
+    return Statistics(terms, corpora_of(spectrum, sizes, block_rows))
+
+
+def corpora_of(spectrum: DataFrame, sizes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What ``Statistics`` has of corpora, written down, from spectrum(corpus, df, terms) of white-space pieces and sizes(corpus, n, len)."""
     idf = spectrum.join(sizes, "corpus").select("corpus", "terms", bm25_idf(F.col("n"), F.col("df")).alias("idf"))
     mean_idf = idf.groupBy("corpus").agg((F.sum(F.col("terms") * F.col("idf")) / F.sum("terms")).alias("mean_idf"))
     corpora = sizes.join(mean_idf, "corpus", "left").select(
         "corpus", "n", (F.col("len") / F.col("n")).alias("avg_len"),
         F.coalesce("mean_idf", F.lit(0.0)).alias("mean_idf"), places(F.col("n"), block_rows).alias("blocks"),
     )
-    return Statistics(terms, materialize(corpora, "corpora"))
+    return materialize(corpora, "corpora")
 
 
 def statistics(counted: DataFrame, block_rows: int = BLOCK_ROWS) -> Statistics:

@@ -27,6 +27,9 @@ SETTINGS = {
     # a task holds the rows of its partition sorted or hashed, some thirty times their bytes on disk: partitions are not put
     # together beyond this
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    # an Arrow batch is held whole by a Python worker, so its rows and its bytes are both limited
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # a hot key is split between tasks even where that costs another shuffle afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tablesieve.operators import clusters as cl, index as ix, point_sets as ps, rows as rw
+from tablesieve.operators import clusters as cl, index as ix, pages as pg, point_sets as ps, rows as rw
 from tablesieve.runtime import materialize, scratch_path
 
 
@@ -66,6 +66,47 @@ def test_only_asked_blocks_are_read_and_no_text(spark, index):
     assert "text" not in index.postings().columns + index.rows().columns + index.terms().columns
 
 
+def test_stored_postings_are_those_of_the_texts(spark, monkeypatch):
+    """Odd white space, letters of many scripts, missing values, ids that repeat: counted in Python as by expressions, however they are cut."""
+    odd = [
+        "Été\u00a0ĀÀ ß STRASSE İstanbul ǅ", "x\x1cy\x85zz\u2003ab\u3000cd\u200bef", "Привет мир_42 ² ⅷⅷ ٣٤ 日本語 한국", "a bb ccc a a-b a--b", "",
+        None, "   ", "\U0001f600\U0001f600 \U00010400\U00010428 e\u0301e", "tab\tline\nfeed\x0bvt\x0cff\rcr", "ſ K Å straße",
+    ]
+    rows = [(("a", "b", None)[i % 3], i // 2 if i % 5 else None, odd[i % len(odd)]) for i in range(60)]
+    rows += [("a", 1000, "same text"), ("a", 1000, "same text"), ("a", 1000, "other text"), ("a", 1000, "a longer one"), ("c", None, "no id"), ("c", None, "no id")]
+    frame = materialize(spark.createDataFrame(rows, "corpus string, row_id long, text string"))
+    columns = ["corpus", "row_id", "kind", "term", "tf", "len"]
+    counted = materialize(rw.postings(frame))
+    want = sorted(map(repr, counted.where(F.col("kind") != rw.MARK).select(columns).collect()))
+    marks = sorted(map(repr, counted.where(F.col("kind") == rw.MARK).select("corpus", "row_id", "len").collect()))
+    for size in (8_000_000, 1):
+        monkeypatch.setattr(pg.functions, "__defaults__", (size,))
+        index = ix.Index(spark, scratch_path(spark, "index-odd"))
+        assert ix.add_rows(index, frame) == len(marks)
+        assert sorted(map(repr, index.postings().select(columns).collect())) == want
+        assert sorted(map(repr, index.rows().select("corpus", "row_id", "len").collect())) == marks
+    small = ix.compact(index, scratch_path(spark, "index-odd-small"), blocks=4)
+    assert sorted(map(repr, small.postings().select(columns).collect())) == want
+
+
+def test_other_ids_and_corpora_that_are_joined(spark, monkeypatch):
+    """Ids of another type, and more corpora than are named in a filter."""
+    monkeypatch.setattr(ix, "NAMED_CORPORA", 1)
+    rows, index = texts(spark, 0, 60).withColumn("row_id", F.concat(F.lit("r"), "row_id")), ix.Index(spark, scratch_path(spark, "index-text"), "string")
+    ix.add_rows(index, rows)
+    assert scored(ix.score_index(index, questions(spark))) == scored(rw.score_rows(questions(spark), rows))
+
+
+def test_an_index_has_a_line_per_page_not_per_posting(spark):
+    """What is shuffled, sorted and written does not grow with the vocabulary: a line of it holds the lists of many terms."""
+    words = F.concat_ws(" ", *[F.concat(F.lit(f"term{i}x"), F.col("id")) for i in range(200)])
+    index = ix.Index(spark, scratch_path(spark, "index-pages"))
+    ix.add_rows(index, spark.range(300).select(F.lit("a").alias("corpus"), F.col("id").alias("row_id"), words.alias("text")))
+    stored = spark.read.parquet(f"{index.path}/postings").count()
+    assert index.terms().count() == index.postings().count() == 2 * 300 * 200
+    assert stored < 3 * ix.BLOCKS * 10
+
+
 def points(spark, sizes):
     rows = [(q, i, f"c{i}", (i * 7919 % 1009) / 1009, (i * i * 31 % 997) / 997) for q, n in sizes.items() for i in range(n)]
     return materialize(spark.createDataFrame(rows, "qid long, col_ord long, col_name string, llm double, sim double"))
